@@ -3,7 +3,7 @@
 The model is modified Kneser-Ney over characters within words, one for each language (the 15 commonest values of
 ``lang``; the others and null share one). Characters fold to 63 classes, so an n-gram is an integer of 6 bits a
 character and the number of different n-grams, hence the size of the model, has a bound whatever the corpus: the highest
-order of at most 5 that has up to ``MOST`` n-grams is taken, and order 3 cannot exceed 16 * 64^3. Spark counts the
+order of at most 5 that has up to ``MOST`` n-grams is taken, and order 3 cannot exceed 16 * 64^3 (4.2 million). Spark counts the
 n-grams of every word of every text; lower orders count different left neighbours. The model is kept as sorted arrays
 of hashed keys with probabilities and back-off weights.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import as_bytes, by_chunk, cut, lookup, slices, splitmix, with_columns
 
-ORDER, LANGS, MOST = 5, 15, 8_000_000
+ORDER, LANGS, MOST = 5, 15, 3_000_000
 LOW, HIGH, STEADY = 8.0, 8.0, 150
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8

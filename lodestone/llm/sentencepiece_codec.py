@@ -27,6 +27,7 @@ from lodestone.llm.common import by_chunk, lookup, slices, splitmix, spread, wit
 
 SPACE, LITERAL = 0x2581, 0x110000  # a space; a U+2581 of the text itself
 ZIPF = 10.0
+FILTER = 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -59,14 +60,16 @@ class Vocabulary:
         self.blob = np.frombuffer(b"".join(blobs), np.uint8)
         self.blob_len = np.array([len(x) for x in blobs], np.int64)
         self.blob_at = np.cumsum(self.blob_len) - self.blob_len
-        self.by_len: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by_len: dict[int, tuple[np.ndarray, ...]] = {}
         for n in sorted({len(pieces[i]) for i in real}):
             at = [j for j, i in enumerate(real) if len(pieces[i]) == n]
             codes = np.array([[ord(c) for c in pieces[real[j]]] for j in at], np.uint64)
             keys = (splitmix(codes) * powers(BASE, n)).sum(axis=1, dtype=np.uint64)
             order = np.argsort(keys)
             assert len(np.unique(keys)) == len(keys), "two pieces of one hash"
-            self.by_len[n] = keys[order], np.array([real[j] for j in at], np.int32)[order], ranks[at][order]
+            likely = np.zeros(1 << FILTER, bool)  # most substrings end here
+            likely[keys >> np.uint64(64 - FILTER)] = True
+            self.by_len[n] = keys[order], np.array([real[j] for j in at], np.int32)[order], ranks[at][order], likely
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -86,17 +89,19 @@ class Vocabulary:
         for k in range(1, longest + 1):
             if k in self.by_len:
                 at = starts[None, :] + np.arange(n - k + 1)[:, None]
-                keys, piece_ids, scores = self.by_len[k]
-                found = lookup(keys, (grams[at + k] - grams[at]) * inv[at])
-                hit = found >= 0
-                score[k][hit], ids[k][hit] = scores[found[hit]], piece_ids[found[hit]]
+                keys, piece_ids, scores, likely = self.by_len[k]
+                probe = ((grams[at + k] - grams[at]) * inv[at]).ravel()
+                cell = np.flatnonzero(likely[probe >> np.uint64(64 - FILTER)])
+                found = lookup(keys, probe[cell])
+                cell, found = cell[found >= 0], found[found >= 0]
+                score[k].reshape(-1)[cell], ids[k].reshape(-1)[cell] = scores[found], piece_ids[found]
         best, back = np.zeros((n + 1, m)), np.zeros((n + 1, m), np.int16)
         for j in range(1, n + 1):
             best[j] = -np.inf
             for k in range(min(longest, j), 0, -1):  # of equal sums the longest last piece stays
                 v = best[j - k] + score[k][j - k]
-                better = v > best[j]
-                best[j][better], back[j][better] = v[better], k
+                np.putmask(back[j], v > best[j], k)
+                np.maximum(best[j], v, out=best[j])
         out, where = np.full((m, n), -1, np.int32), np.zeros((m, n), np.int64)
         pos, count, rows = np.full(m, n), np.zeros(m, np.int64), np.arange(m)
         while len(rows):
@@ -200,8 +205,25 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", limit:
     return with_columns(df.withColumn("__ld_text", run(F.col(ids))), {"decoded_text": F.col("__ld_text")}).drop("__ld_text")
 
 
+def transcode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", limit: int = 1 << 21) -> DataFrame:
+    """encode and decode in one Python stage: docs with token_ids, n_tokens and decoded_text."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def both(texts: list[bytes]) -> pd.DataFrame:
+        ids = shared.value.encode(texts)
+        return pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "decoded_text": pd.Series(shared.value.decode(ids), dtype=object)})
+
+    @F.pandas_udf("token_ids array<int>, decoded_text string")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return by_chunk(it, both, limit)
+
+    got = docs.withColumn("__ld_sp", run(F.col(text)))
+    new = {"token_ids": F.col("__ld_sp.token_ids"), "n_tokens": F.size("__ld_sp.token_ids").cast("long"), "decoded_text": F.col("__ld_sp.decoded_text")}
+    return with_columns(got, new).drop("__ld_sp")
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """Ids of every whole text and whether they decode to it exactly."""
     vocabulary = Vocabulary.load(path)
-    out = decode(encode(docs, vocabulary), vocabulary)
+    out = transcode(docs, vocabulary)
     return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded_text", 256).alias("decoded_sha256"), (F.col("decoded_text") == F.coalesce("text", F.lit(""))).alias("round_trip"))
