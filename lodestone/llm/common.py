@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but these six characters (what ``bytes.split()`` takes as white space).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,13 +74,34 @@ def as_bytes(texts: Iterable) -> list[bytes]:
     return [x.encode("utf-8", "replace") if isinstance(x, str) else b"" for x in texts]
 
 
-def by_chunk(it: Iterator, f, limit: int) -> Iterator[pd.DataFrame]:
-    """Apply f(list of bytes, *other columns) to runs of texts of about ``limit`` bytes; give back one frame a batch."""
-    for batch in it:
-        cols = batch if isinstance(batch, tuple) else (batch,)
-        texts = as_bytes(cols[0])
-        parts = [f(texts[s], *(c.iloc[s] for c in cols[1:])) for s in slices(np.fromiter(map(len, texts), np.int64, len(texts)), limit)]
-        yield pd.concat(parts, ignore_index=True) if parts else f([], *(c.iloc[:0] for c in cols[1:]))
+def map_chunks(df: DataFrame, inputs: list[str], f, fields: str, keep: list[str] | None = None, limit: int = 1 << 20) -> DataFrame:
+    """The columns ``keep`` of df (all by default) and the new ``fields``, made by f for runs of rows of about ``limit`` bytes.
+
+    f gets the first of ``inputs`` as a list of bytes (null: empty) and the others as lists; it returns a dict of columns.
+    Small runs go out as they are made, so that a worker holds one run's work besides the batch it reads. A kept column
+    named like a new one is replaced.
+    """
+    new = StructType.fromDDL(fields)
+    names = {n.lower() for n in new.names}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
+    work = [f"__ld_in{i}" for i in range(len(inputs))]
+    source = df.select(*[df[f"`{c}`"] for c in kept], *[df[f"`{c}`"].alias(w) for c, w in zip(inputs, work, strict=True)])
+    schema = StructType([*[df.schema[c] for c in kept], *new.fields])
+    arrow_new = to_arrow_schema(new)
+
+    def run(it: Iterator) -> Iterator:
+        for batch in it:
+            texts = batch.column(len(kept))
+            if not pa.types.is_binary(texts.type):
+                texts = texts.cast(pa.binary())
+            texts = texts.to_pylist()
+            for s in slices(np.fromiter((len(x) if x else 0 for x in texts), np.int64, len(texts)), limit):
+                part = batch.slice(s.start, s.stop - s.start)
+                out = f([x or b"" for x in texts[s]], *(part.column(len(kept) + i).to_pylist() for i in range(1, len(inputs))))
+                made = [v if isinstance(v, pa.Array) else pa.array(v, type=t.type, from_pandas=True) for t in arrow_new for v in (out[t.name],)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=[*kept, *new.names])
+
+    return source.mapInArrow(run, schema)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

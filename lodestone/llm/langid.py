@@ -12,15 +12,12 @@ named like an output column is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_bytes, by_chunk, held_out, with_columns
+from lodestone.llm.common import as_bytes, held_out, map_chunks
 
 ORDERS = (2, 3, 4)
 BITS = 20
@@ -64,7 +61,7 @@ class Model:
     def decide(self, texts: list[bytes]) -> np.ndarray:
         return self.kernel(texts) @ self.weights[:-1] + self.weights[-1]
 
-    def frame(self, texts: list[bytes]) -> pd.DataFrame:
+    def answer(self, texts: list[bytes]) -> dict:
         names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
         if self.langs and texts:
             z = self.decide(texts).astype(np.float64) * self.sharp
@@ -72,7 +69,7 @@ class Model:
             has = np.fromiter((bool(LETTER.search(x.decode("utf-8", "replace"))) for x in texts), bool, len(texts))
             names = np.where(has, np.array(self.langs, object)[z.argmax(axis=1)], names)
             scores = np.where(has, e.max(axis=1) / e.sum(axis=1), 0.0)
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        return {"lang_pred": names, "score": scores}
 
 
 def fit_texts(texts: list[bytes], labels: list[str], landmarks: int = 32, ridge: float = 1e-2, sharp: float = 6.0) -> Model:
@@ -120,28 +117,20 @@ def fit(docs: DataFrame, per_lang: int = 256, max_langs: int = 64, max_bytes: in
     return fit_texts(as_bytes(got["text"]), got["lang"].tolist())
 
 
-def predict(docs: DataFrame, model: Model, limit: int = 1 << 20) -> DataFrame:
-    """docs with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns ``keep``) with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2^20 table, landmarks x their n-grams
-
-    @F.pandas_udf("lang_pred string, score double")
-    def score(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return by_chunk(it, shared.value.frame, limit)
-
-    scored = docs.withColumn("__ld_lang", score(F.col("text")))
-    out = with_columns(scored, {"lang_pred": F.col("__ld_lang.lang_pred"), "score": F.col("__ld_lang.score")})
-    return out.drop("__ld_lang")
+    return map_chunks(docs, ["text"], lambda texts: shared.value.answer(texts), "lang_pred string, score double", keep)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The rows of the registered query."""
     model = fit(docs)
-    return predict(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id"), 3, 1), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model, ["doc_id"]).select("doc_id", F.coalesce(held_out(F.col("doc_id"), 3, 1), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: documents that no language can be given (null or without a letter) go."""
-    names = docs.columns
     model = fit(docs)
-    scored = predict(docs.select("*", F.struct(*[F.col(f"`{c}`") for c in names]).alias("__ld_row")), model)
-    return scored.where(F.col("lang_pred") != "und").select("__ld_row.*")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__ld_row")
+    return predict(docs.select("text", row), model, ["__ld_row"]).where(F.col("lang_pred") != "und").select("__ld_row.*")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_bytes, by_chunk, cut, lookup, slices, splitmix, with_columns
+from lodestone.llm.common import as_bytes, cut, lookup, map_chunks, splitmix
 
 ORDER, LANGS, MOST = 5, 15, 3_000_000
 LOW, HIGH, STEADY = 8.0, 8.0, 150
@@ -180,7 +180,7 @@ _COUNTED[[b for b in range(256) if b & 0xC0 != 0x80 and b not in (32, *range(9,
 _SYMBOL[list(SYMBOLS)] = 1
 
 
-def measure(texts: list[bytes], langs: np.ndarray, model: Model) -> pd.DataFrame:
+def measure(texts: list[bytes], langs: np.ndarray, model: Model) -> dict:
     lists = [x.split() for x in texts]
     n = np.fromiter(map(len, lists), np.int64, len(lists))
     ends = np.cumsum(n)
@@ -219,25 +219,20 @@ def measure(texts: list[bytes], langs: np.ndarray, model: Model) -> pd.DataFrame
         ppl = np.where(length > 0, -log / np.maximum(length, 1), np.nan)
     else:
         ppl = np.full(len(texts), np.nan)
-    return pd.DataFrame({"n_words": n, "word_chars": _sums(_COUNTED[data], upto), "n_symbols": _sums(_SYMBOL[data], upto), "n_dup_lines": np.array(dups, np.int64), "n_repeat_words": _sums(repeated, ends), "log_ppl": ppl})
+    return {"n_words": n, "word_chars": _sums(_COUNTED[data], upto), "n_symbols": _sums(_SYMBOL[data], upto), "n_dup_lines": np.array(dups, np.int64), "n_repeat_words": _sums(repeated, ends), "log_ppl": ppl}
 
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score(docs: DataFrame, model: Model, limit: int = 1 << 20) -> DataFrame:
-    """docs with the counts of the base rules, base_failed, lang_no and log_ppl."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns ``keep``) with the counts of the base rules, log_ppl, lang_no and base_failed."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST n-grams an order
-
-    @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double")
-    def run(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        return by_chunk(it, lambda texts, langs: measure(texts, langs.to_numpy(), shared.value), limit)
-
-    number = lang_number(model.names).cast("int")
-    got = docs.withColumn("__ld_lang", number).withColumn("__ld_q", run(F.col("text"), F.col("__ld_lang")))
-    q = {c: F.col(f"__ld_q.{c}") for c in STATS}
-    failed = (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
-    return with_columns(got, q | {"base_failed": failed, "lang_no": F.col("__ld_lang"), "log_ppl": F.when(~F.isnan("__ld_q.log_ppl"), F.col("__ld_q.log_ppl"))}).drop("__ld_lang", "__ld_q")
+    fields = ", ".join(f"{c} long" for c in STATS) + ", log_ppl double, lang_no int"
+    numbered = docs.withColumn("__ld_lang", lang_number(model.names).cast("int"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "base_failed"]
+    out = map_chunks(numbered, ["text", "__ld_lang"], lambda texts, langs: measure(texts, np.array(langs, np.int64), shared.value) | {"lang_no": langs}, fields, keep)
+    return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def judge(scored: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -253,6 +248,5 @@ def judge(scored: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    docs = docs.select("doc_id", "lang", "text")
-    scored = cut(score(docs, fit(docs)).drop("text"))
+    scored = cut(score(docs, fit(docs), ["doc_id"]))
     return judge(scored).select("doc_id", *STATS, "base_failed", "kept", "log_ppl", "ppl_low", "ppl_high")

@@ -16,14 +16,12 @@ texts of any length; repeated rows give equal ids; a clashing input column is re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_chunk, lookup, slices, splitmix, spread, with_columns
+from lodestone.llm.common import lookup, map_chunks, splitmix, spread
 
 SPACE, LITERAL = 0x2581, 0x110000  # a space; a U+2581 of the text itself
 ZIPF = 10.0
@@ -115,9 +113,10 @@ class Vocabulary:
             rows = rows[pos[rows] > 0]
         return out, where, count
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's begin and end."""
         if not any(texts):
-            return [np.empty(0, np.int32) for _ in texts]
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         decoded = [" " + x.decode("utf-8", "replace") if x else "" for x in texts]
         lens = np.fromiter(map(len, decoded), np.int64, len(decoded))
         codes = np.frombuffer("".join(decoded).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
@@ -165,65 +164,52 @@ class Vocabulary:
         at[ordered] = np.cumsum(counts[ordered]) - counts[ordered]
         tokens = np.concatenate(flat)[spread(at[inverse], counts[inverse])]
         upto = np.append(0, np.cumsum(counts[inverse]))
-        word_at = np.searchsorted(starts, begins)
-        word_end = np.searchsorted(starts, begins + lens)
-        return [tokens[upto[a] : upto[b]] for a, b in zip(word_at, word_end, strict=True)]
+        return tokens, upto[np.searchsorted(starts, np.append(begins, len(codes)))]
 
-    def decode(self, rows: list[np.ndarray]) -> list[str]:
-        lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        ids = np.concatenate([np.empty(0, np.int32), *rows]).astype(np.int64)
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids given as by encode."""
+        ids = ids.astype(np.int64)
         data = self.blob[spread(self.blob_at[ids], self.blob_len[ids])].tobytes()
-        upto = np.append(0, np.cumsum(self.blob_len[ids]))
-        ends = np.cumsum(lens)
-        pieces = [data[upto[e - n] : upto[e]].decode("utf-8", "replace") for e, n in zip(ends, lens, strict=True)]
-        return [x[1:] if x[:1] == " " else x for x in pieces]
+        at = np.append(0, np.cumsum(self.blob_len[ids]))[ends]
+        return [data[a + (data[a : a + 1] == b" ") : z].decode("utf-8", "replace") if z > a else "" for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", limit: int = 1 << 20) -> DataFrame:
-    """docs with token_ids (array of int) and n_tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the piece file
+def _columns(ids: np.ndarray, ends: np.ndarray) -> dict:
+    return {"token_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), "n_tokens": np.diff(ends)}
 
-    @F.pandas_udf("array<int>")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for frame in by_chunk(it, lambda texts: pd.DataFrame({"ids": pd.Series(shared.value.encode(texts), dtype=object)}), limit):
-            yield frame["ids"]
 
-    out = with_columns(docs.withColumn("__ld_ids", run(F.col(text))), {"token_ids": F.col("__ld_ids"), "n_tokens": F.size("__ld_ids").cast("long")})
-    return out.drop("__ld_ids")
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns ``keep``) with token_ids (array of int) and n_tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the piece file
+    return map_chunks(docs, [text], lambda texts: _columns(*shared.value.encode(texts)), "token_ids array<int>, n_tokens long", keep)
 
 
-def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", limit: int = 1 << 19) -> DataFrame:
-    """df with decoded_text; null ids decode to the empty text."""
+def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns ``keep``) with decoded_text; null ids decode to the empty text."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf("string")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in it:
-            rows = [np.empty(0, np.int32) if x is None else np.asarray(x, np.int32) for x in batch]
-            yield pd.Series([t for s in slices(np.fromiter(map(len, rows), np.int64, len(rows)), limit) for t in shared.value.decode(rows[s])], dtype=object)
+    def run(rows: list[bytes], lists: list) -> dict:
+        arrays = [np.asarray(x or [], np.int32) for x in lists]
+        ends = np.append(0, np.cumsum([len(x) for x in arrays])).astype(np.int64)
+        return {"decoded_text": shared.value.decode(np.concatenate([np.empty(0, np.int32), *arrays]), ends)}
 
-    return with_columns(df.withColumn("__ld_text", run(F.col(ids))), {"decoded_text": F.col("__ld_text")}).drop("__ld_text")
+    sized = df.withColumn("__ld_size", F.expr(f"cast(repeat('x', size(`{ids}`)) as binary)"))  # a row counts as many bytes as it has ids
+    return map_chunks(sized, ["__ld_size", ids], run, "decoded_text string", df.columns if keep is None else keep)
 
 
-def transcode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", limit: int = 1 << 21) -> DataFrame:
-    """encode and decode in one Python stage: docs with token_ids, n_tokens and decoded_text."""
+def transcode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """encode and decode in one Python stage: docs (or ``keep``) with token_ids, n_tokens, decoded_text and round_trip."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def both(texts: list[bytes]) -> pd.DataFrame:
-        ids = shared.value.encode(texts)
-        return pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "decoded_text": pd.Series(shared.value.decode(ids), dtype=object)})
-
-    @F.pandas_udf("token_ids array<int>, decoded_text string")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return by_chunk(it, both, limit)
+    def run(texts: list[bytes]) -> dict:
+        ids, ends = shared.value.encode(texts)
+        back = shared.value.decode(ids, ends)
+        return _columns(ids, ends) | {"decoded_text": back, "round_trip": [a.encode() == b for a, b in zip(back, texts, strict=True)]}
 
-    got = docs.withColumn("__ld_sp", run(F.col(text)))
-    new = {"token_ids": F.col("__ld_sp.token_ids"), "n_tokens": F.size("__ld_sp.token_ids").cast("long"), "decoded_text": F.col("__ld_sp.decoded_text")}
-    return with_columns(got, new).drop("__ld_sp")
+    return map_chunks(docs, [text], run, "token_ids array<int>, n_tokens long, decoded_text string, round_trip boolean", keep)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """Ids of every whole text and whether they decode to it exactly."""
-    vocabulary = Vocabulary.load(path)
-    out = transcode(docs, vocabulary)
-    return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded_text", 256).alias("decoded_sha256"), (F.col("decoded_text") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    out = transcode(docs, Vocabulary.load(path), keep=["doc_id"])
+    return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded_text", 256).alias("decoded_sha256"), "round_trip")
