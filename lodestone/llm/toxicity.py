@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs, in numpy.
 
 A word's input is the vector of the word (words of at least ``MIN_DOCS`` documents of the training sample, else none)
-beside the mean vector of its character trigrams. Two gated recurrent layers read a window of ``SPAN`` words forward and
+beside the mean vectors of its character trigrams and of its beginnings of 3 to 8 bytes (compounds share them). Two gated recurrent layers read a window of ``SPAN`` words forward and
 backward, attention pools their states, and a logistic unit scores the window. All windows of a text, each overlapping
 half of the one before, are scored; a text's score is its highest window's, calibrated by a logistic curve.
 
@@ -26,8 +26,9 @@ from lodestone.llm.common import as_bytes, held_out, lookup, map_chunks
 
 SPAN, STEP = 64, 32
 DIM, HIDDEN, TRIGRAMS = 12, 12, 1 << 12
+BEGINNINGS, BITS = range(3, 9), 15
 PER_CLASS, MAX_WINDOWS, MIN_DOCS, MAX_CHARS = 1500, 24, 6, 20_000
-EPOCHS, BATCH, RATE = 10, 256, 0.01
+EPOCHS, BATCH, RATE = 11, (32, 256), 0.01
 MARKS = b".,!?;:\"'()*#$%&|<>"
 THRESHOLD = 0.3
 
@@ -53,6 +54,18 @@ def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], np.cumsum(count) - count
 
 
+def beginnings(words: list[bytes]) -> np.ndarray:
+    """(words, 6): the hash class of each beginning that is shorter than its word, else 0."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    data = np.frombuffer(b"".join(words) + b"\0" * BEGINNINGS.stop, np.uint8).astype(np.uint32)
+    at, code, out = np.cumsum(n) - n, np.zeros(len(words), np.uint32), []
+    for k in range(1, BEGINNINGS.stop):
+        code = code * np.uint32(0x01000193) ^ data[at + k - 1]
+        if k in BEGINNINGS:
+            out.append(np.where(n > k, (code * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)) + np.uint32(1), 0))
+    return np.stack(out, axis=1).astype(np.int64)
+
+
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts of so many words: each window's text, its first word and its number of words (an empty text has one)."""
     n = np.maximum(0, -(-(counts - SPAN) // STEP)) + 1
@@ -68,10 +81,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 class Network:
     def __init__(self, keys: np.ndarray, seed: int = 1):
-        r, h, d = np.random.default_rng(seed), HIDDEN, 2 * DIM
+        r, h, d = np.random.default_rng(seed), HIDDEN, 3 * DIM
         w = lambda *s, k=1.0: (r.standard_normal(s) * k).astype(np.float32)
         self.keys = keys  # sorted crc32 of the known words; vector 0 is for all others
-        self.p = {"E": w(len(keys) + 1, DIM, k=0.1), "C": w(TRIGRAMS, DIM, k=0.1), "A": w(2 * h, h, k=0.3), "a": w(h, k=0.3), "o": w(2 * h, k=0.3), "b": np.zeros(1, np.float32)}
+        self.p = {"E": w(len(keys) + 1, DIM, k=0.1), "C": w(TRIGRAMS, DIM, k=0.1), "Q": w((1 << BITS) + 1, DIM, k=0.1), "A": w(2 * h, h, k=0.3), "a": w(h, k=0.3), "o": w(2 * h, k=0.3), "b": np.zeros(1, np.float32)}
         for s in "fb":
             self.p |= {f"W{s}": w(d, 3 * h, k=0.3), f"U{s}": w(h, 3 * h, k=0.3), f"c{s}": np.zeros(3 * h, np.float32)}
         self.scale, self.shift = 1.0, 0.0
@@ -81,9 +94,11 @@ class Network:
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
         rows, (tri, at) = self.word_rows(words), trigrams(words)
-        n = np.diff(np.append(at, len(tri)))
+        n, pre = np.diff(np.append(at, len(tri))), beginnings(words)
         chars = np.add.reduceat(self.p["C"][tri], at, axis=0) / n[:, None] if len(words) else np.zeros((0, DIM))
-        return np.concatenate([self.p["E"][rows], chars], axis=1).astype(np.float32), (rows, tri, n)
+        known = (pre > 0).astype(np.float32) / len(BEGINNINGS)
+        start = sum(self.p["Q"][pre[:, k]] * known[:, k : k + 1] for k in range(len(BEGINNINGS)))
+        return np.concatenate([self.p["E"][rows], chars, start], axis=1).astype(np.float32), (rows, tri, n, pre, known)
 
     def run(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows. ids: (SPAN, windows) of rows of x; mask: 1 where there is a word. keep: also what backward() needs."""
@@ -205,29 +220,32 @@ def fit_texts(texts: list[bytes], labels: np.ndarray, share: float, seed: int =
 
     starts = np.flatnonzero(np.append(True, np.diff(text) > 0))
     many = np.diff(np.append(starts, len(text)))
+    size_of = int(np.clip(len(texts) // 6, *BATCH))
     for epoch in range(EPOCHS):
         z = rng.random(len(text)) if epoch == 0 else score_all()
         order = np.lexsort((-z, text))  # each text's windows, the highest first
         chosen = np.concatenate([order[starts], (starts + rng.integers(0, many))[labels == 0]])
         chosen = rng.permutation(chosen[train[text[chosen]]])
-        for i in range(0, len(chosen), BATCH):
-            part = chosen[i : i + BATCH]
+        for i in range(0, len(chosen), size_of):
+            part = chosen[i : i + size_of]
             where, mask = gather(part)
             used, local = np.unique(where, return_inverse=True)
-            x, (rows, tri, n) = net.inputs([words[w] for w in used])
+            x, (rows, tri, n, pre, known) = net.inputs([words[w] for w in used])
             drop = (rng.random(len(used)) < 0.1) & (used > 0)  # a word now and then unknown
             x[drop, :DIM], rows = net.p["E"][0], np.where(drop, 0, rows)
             local = local.reshape(where.shape)
             z, kept = net.run(x, local, mask, keep=True)
             d_logit = ((sigmoid(z) - labels[text[part]]) / len(part)).astype(np.float32)
             g, d_x = net.backward(x, local, mask, kept, d_logit)
-            g["E"], g["C"] = np.zeros_like(net.p["E"]), np.zeros_like(net.p["C"])
+            g |= {k: np.zeros_like(net.p[k]) for k in "ECQ"}
             np.add.at(g["E"], rows, d_x[:, :DIM])
-            np.add.at(g["C"], tri, np.repeat(d_x[:, DIM:] / n[:, None], n, axis=0))
+            np.add.at(g["C"], tri, np.repeat(d_x[:, DIM : 2 * DIM] / n[:, None], n, axis=0))
+            for k in range(len(BEGINNINGS)):
+                np.add.at(g["Q"], pre[:, k], d_x[:, 2 * DIM :] * known[:, k : k + 1])
             tick += 1
             for k, v in net.p.items():
                 m1, m2 = moment[k]
-                gk = g[k] + (1e-4 * v if k in "EC" else 0)
+                gk = g[k] + (1e-4 * v if k in "ECQ" else 0)
                 m1 += 0.1 * (gk - m1)
                 m2 += 0.01 * (gk * gk - m2)
                 v -= (RATE * (m1 / (1 - 0.9**tick)) / (np.sqrt(m2 / (1 - 0.99**tick)) + 1e-6)).astype(np.float32)
