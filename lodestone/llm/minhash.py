@@ -2,14 +2,15 @@
 
 A document is the set of its distinct shingles of five words (A-Z lower-cased), as 64-bit hashes. The first byte of a
 hash names one of 256 buckets; of a bucket's least hash the register keeps the number of leading zeros and the next ten
-bits (Yu and Weber 2017). Documents of equal sets are one class from the start. Bands of six registers propose pairs:
+bits (Yu and Weber 2017). Documents of equal sets are one class from the start. Bands of six registers propose groups,
+split by set size (two overlapping size classes for each document, as linked sets differ little in size); groups of the
+same members count once, and a large group is dealt to blocks of at most 128 members each way.
 
-1. In each band's group every member is compared with the least member. The estimate of the Jaccard similarity, less
-   the expected chance collisions, discards what is five standard errors below the threshold; the rest is verified on
-   the full sets. Components of these links follow.
-2. Groups that still hold several components are compared within, in blocks of at most 128 against 128 members, only
-   across components, again estimate first and full sets after; a block hands back at most a spanning forest, never
-   its pairs. Groups of the same members count once.
+1. In each block pair, registers cut to eight bits give the Jaccard estimates, less the expected chance collisions. A
+   member without any partner within five standard errors of the threshold leaves the block; most leave here.
+2. The others are compared with the least member of their block on the full sets; components of these links follow.
+3. Blocks that still hold several components are compared within, only across components, estimate first (full
+   registers) and full sets after; a block hands back at most a spanning forest, never its pairs.
 
 So every pair that shares a band is compared or already connected. At the threshold of 0.85 a pair of large sets misses
 all 42 bands with a probability of (1 - 0.85^6)^42, about 2e-9.
@@ -21,8 +22,6 @@ and kept. Other columns pass through, clashing ones are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -38,6 +37,8 @@ PERCENT = 85
 BLOCK = 128
 #: Registers of different sets that agree by chance, in all: 0.17 * 2^(p - r + 1) for 2^p buckets and r mantissa bits.
 COLLISIONS = 0.1699 * 2.0 ** (8 - MANTISSA + 1)
+#: Buckets of the short registers (eight bits, 0 is empty); two different ones agree once in 255 times.
+SHORT = 128
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +105,28 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, perc
     return (estimate >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1))) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
+def short(regs: np.ndarray) -> np.ndarray:
+    part = regs[:, :SHORT].astype(np.uint32)
+    return np.where(part > 0, 1 + (part * np.uint32(0x9E3779B1) >> np.uint32(16)) % 255, 0).astype(np.uint8)
+
+
+def partnered(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The members of a block pair that may be linked to another one."""
+    pdf = pdf.drop_duplicates("doc", ignore_index=True)
+    r, n, side = np.frombuffer(b"".join(pdf["short"]), np.uint8).reshape(-1, SHORT), pdf["n"].to_numpy(), pdf["side"].to_numpy()
+    t, found = percent / 100, np.zeros(len(pdf), bool)
+    for i in range(len(pdf) - 1):
+        rest = slice(i + 1, len(pdf))
+        used = ((r[i] | r[rest]) > 0).sum(axis=1)
+        same = ((r[i] == r[rest]) & (r[i] > 0)).sum(axis=1)
+        estimate = (same - used / 255) / np.maximum(used, 1) / (254 / 255)
+        ok = (estimate >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1))) | (used == 0)
+        ok &= (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])) & ((side[rest] != side[i]) | (side[i] == 2))
+        found[rest] |= ok
+        found[i] |= ok.any()
+    return pdf.loc[found, ["gid", "doc", "side"]]
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = int((lookup(a, b) >= 0).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -144,18 +167,25 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         keys, used = band_keys(_regs(regs))
         return {"keys": [k[u] for k, u in zip(keys, used, strict=True)]}
 
-    banded = map_chunks(reps, ["regs", "regs"], bands, "keys array<long>", ["doc"]).select("doc", F.explode("keys").alias("key"))
-    centres = cut(banded.groupBy("key").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).where("centre < last").drop("last"))
-    members = cut(banded.join(centres, "key"))
+    banded = map_chunks(reps, ["regs", "regs"], bands, "keys array<long>", ["doc", "n"]).select("doc", "n", F.explode("keys").alias("key"))
+    shared = cut(banded.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / (percent - 1e-6)))).cast("int")
+    members = cut(banded.join(shared, "key").withColumn("size", F.explode(F.array(size, size + 1))).select("doc", F.xxhash64("key", "size").alias("key")))
     release(spark)
-    pairs = members.where("doc > centre").select("doc", "centre").distinct()
-    side = lambda x: reps.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    likely = map_chunks(
-        pairs.join(side("doc"), "doc").join(side("centre"), "centre"), ["r_doc", "r_doc", "r_centre", "n_doc", "n_centre"],
-        lambda _, a, b, na, nb: {"ok": plausible(_regs(a), _regs(b), np.array(na), np.array(nb), percent)}, "ok boolean", ["doc", "centre"], 1 << 18,
-    )
-    likely = cut(likely.where("ok").select("doc", "centre"))
-    wanted = members.select("doc").distinct()
+    one_each = members.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2")).where("lo < hi")
+    one_each = cut(one_each.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = members.join(one_each, "key").withColumn("bs", blocks).withColumn("b", F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int"))
+    # a block meets each other block once, and itself (side 2: all pairs within count)
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)))
+    dealt = dealt.select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("gid"), "doc", F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"))
+    brief = map_chunks(reps, ["regs", "regs"], lambda _, regs: {"short": [x.tobytes() for x in short(_regs(regs))]}, "short binary", ["doc", "n"])
+    met = cut(dealt.join(brief, "doc").groupBy("gid").applyInPandas(lambda pdf: partnered(pdf, percent), "gid long, doc long, side int"))
+    release(spark)
+    centres = cut(met.groupBy("gid").agg(F.min("doc").alias("centre")))
+    placed = cut(met.join(centres, "gid"))
+    pairs = placed.where("doc > centre").select("doc", "centre").distinct()
+    wanted = met.select("doc").distinct()
 
     def full(texts: list[bytes]) -> dict:
         h, n = shingle_sets(texts)
@@ -169,21 +199,14 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def check(_: list[bytes], a: list, b: list) -> dict:
         return {"ok": [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]}
 
-    checked = likely.join(sets.withColumnRenamed("shingles", "x"), "doc").join(sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("y")), "centre")
+    checked = pairs.join(sets.withColumnRenamed("shingles", "x"), "doc").join(sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("y")), "centre")
     links = cut(map_chunks(checked, ["x", "x", "y"], check, "ok boolean", ["doc", "centre"]).where("ok").select(F.col("doc").alias("a"), F.col("centre").alias("b")))
     release(spark)
     first = components(links, "a", "b")
     own = F.coalesce("component", "doc").alias("comp")
-    placed = cut(members.select("key", "doc").join(first.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", own))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2")).where("lo < hi")
-    open_keys = cut(open_keys.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int")
-    residual = placed.join(open_keys, "key").withColumn("bs", blocks).withColumn("b", mine)
-    # a block meets each other block once, and itself (side 2: all pairs within count)
-    residual = residual.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)))
-    residual = residual.select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("gid"), "doc", "comp", F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"))
-    loaded = residual.join(sets, "doc").join(reps, "doc").dropDuplicates(["gid", "doc", "n"])
+    placed = cut(placed.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("gid", "doc", "side", own))
+    still = cut(placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gid"))
+    loaded = placed.join(still, "gid").join(sets, "doc").join(reps, "doc").dropDuplicates(["gid", "doc", "n"])
     more = cut(loaded.groupBy("gid").applyInPandas(lambda pdf: forest(pdf, percent), "a long, b long"))
     final = components(links.union(more), "a", "b")
     release(spark)
