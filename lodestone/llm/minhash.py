@@ -2,9 +2,10 @@
 
 A document is the set of its distinct shingles of five words (A-Z lower-cased), as 64-bit hashes. The first byte of a
 hash names one of 256 buckets; of a bucket's least hash the register keeps the number of leading zeros and the next ten
-bits (Yu and Weber 2017). Documents of equal sets are one class from the start. Bands of six registers propose groups,
-split by set size (two overlapping size classes for each document, as linked sets differ little in size); groups of the
-same members count once, and a large group is dealt to blocks of at most 128 members each way.
+bits (Yu and Weber 2017). Documents of equal sets are one class from the start. Bands of eight registers propose groups;
+for this alone an empty register borrows from another one by a fixed probe sequence (Shrivastava 2017), so that small
+sets do not meet on a single common shingle. Groups of the same members count once, and a large group is dealt to blocks
+of at most 128 members each way.
 
 1. In each block pair, registers cut to eight bits give the Jaccard estimates, less the expected chance collisions. A
    member without any partner within five standard errors of the threshold leaves the block; most leave here.
@@ -13,7 +14,7 @@ same members count once, and a large group is dealt to blocks of at most 128 mem
    registers) and full sets after; a block hands back at most a spanning forest, never its pairs.
 
 So every pair that shares a band is compared or already connected. At the threshold of 0.85 a pair of large sets misses
-all 42 bands with a probability of (1 - 0.85^6)^42, about 2e-9.
+all 32 bands with a probability of (1 - 0.85^8)^32, about 4e-5; at 0.9, 2e-8.
 
 Edge cases: a document of fewer than five words is one shingle, its whole sequence; null, empty and wordless texts have
 no shingle and are linked with nothing. Rows of one doc_id are one document; rows without doc_id are linked with nothing
@@ -32,7 +33,7 @@ from lodestone.llm.common import cut, lookup, map_chunks, release, splitmix, wit
 from lodestone.llm.components import components
 
 WIDTH, BUCKETS, MANTISSA = 5, 256, 10
-ROWS, BANDS = 6, 42
+ROWS, BANDS, PROBES = 8, 32, 64
 PERCENT = 85
 BLOCK = 128
 #: Registers of different sets that agree by chance, in all: 0.17 * 2^(p - r + 1) for 2^p buckets and r mantissa bits.
@@ -87,13 +88,27 @@ def sketch(texts: list[bytes]) -> dict:
     return {"n_shingles": n, "k1": total(splitmix(h)), "k2": total(splitmix(h ^ np.uint64(0x5BD1E995CAFEF00D))), "regs": [r.tobytes() for r in regs]}
 
 
-def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, BANDS) keys and whether the band has a register."""
-    part = regs[:, : ROWS * BANDS].reshape(len(regs), BANDS, ROWS)
+def dense(regs: np.ndarray) -> np.ndarray:
+    """Empty registers filled from others: the first full one of PROBES hashed places, else the next full one."""
+    out, home = regs.copy(), np.arange(BUCKETS, dtype=np.uint64)
+    open_rows = np.flatnonzero((regs == 0).any(axis=1) & regs.any(axis=1))
+    for a in range(1, PROBES + BUCKETS):
+        if not len(open_rows):
+            break
+        place = (splitmix(home * np.uint64(1000) + np.uint64(a)) % np.uint64(BUCKETS)).astype(np.int64) if a <= PROBES else (np.arange(BUCKETS) + a - PROBES) % BUCKETS
+        now = out[open_rows]
+        out[open_rows] = now = np.where(now == 0, regs[open_rows][:, place], now)
+        open_rows = open_rows[(now == 0).any(axis=1)]
+    return out
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) keys."""
+    part = dense(regs)[:, : ROWS * BANDS].reshape(len(regs), BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), part.shape[:2])
     for k in range(ROWS):
         key = splitmix(key ^ (part[:, :, k].astype(np.uint64) << np.uint64(8)))
-    return key.view(np.int64), part.any(axis=2)
+    return key.view(np.int64)
 
 
 def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -164,13 +179,11 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = cut(real.alias("s").join(classes.alias("c"), on, "left_semi").dropDuplicates(["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "regs"))
 
     def bands(_: list[bytes], regs: list) -> dict:
-        keys, used = band_keys(_regs(regs))
-        return {"keys": [k[u] for k, u in zip(keys, used, strict=True)]}
+        return {"keys": list(band_keys(_regs(regs)))}
 
-    banded = map_chunks(reps, ["regs", "regs"], bands, "keys array<long>", ["doc", "n"]).select("doc", "n", F.explode("keys").alias("key"))
+    banded = map_chunks(reps, ["regs", "regs"], bands, "keys array<long>", ["doc"]).select("doc", F.explode("keys").alias("key"))
     shared = cut(banded.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"))
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / (percent - 1e-6)))).cast("int")
-    members = cut(banded.join(shared, "key").withColumn("size", F.explode(F.array(size, size + 1))).select("doc", F.xxhash64("key", "size").alias("key")))
+    members = cut(banded.join(shared, "key"))
     release(spark)
     one_each = members.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2")).where("lo < hi")
     one_each = cut(one_each.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m"))
