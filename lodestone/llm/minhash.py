@@ -5,7 +5,7 @@ hash names one of 256 buckets; of a bucket's least hash the register keeps the n
 bits (Yu and Weber 2017). Documents of equal sets are one class from the start. Bands of eight registers propose groups;
 for this alone an empty register borrows from another one by a fixed probe sequence (Shrivastava 2017), so that small
 sets do not meet on a single common shingle. Groups of the same members count once, and a large group is dealt to blocks
-of at most 128 members each way.
+of at most 512 members each way.
 
 1. In each block pair, registers cut to eight bits give the Jaccard estimates, less the expected chance collisions. A
    member without any partner within five standard errors of the threshold leaves the block; most leave here.
@@ -35,7 +35,7 @@ from lodestone.llm.components import components
 WIDTH, BUCKETS, MANTISSA = 5, 256, 10
 ROWS, BANDS, PROBES = 8, 32, 64
 PERCENT = 85
-BLOCK = 128
+BLOCK = 512
 #: Registers of different sets that agree by chance, in all: 0.17 * 2^(p - r + 1) for 2^p buckets and r mantissa bits.
 COLLISIONS = 0.1699 * 2.0 ** (8 - MANTISSA + 1)
 #: Buckets of the short registers (eight bits, 0 is empty); two different ones agree once in 255 times.
@@ -183,7 +183,7 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     banded = map_chunks(reps, ["regs", "regs"], bands, "keys array<long>", ["doc"]).select("doc", F.explode("keys").alias("key"))
     shared = cut(banded.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"))
-    members = cut(banded.join(shared, "key"))
+    members = cut(banded.join(shared.hint("merge"), "key"))
     release(spark)
     one_each = members.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2")).where("lo < hi")
     one_each = cut(one_each.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m"))
@@ -193,7 +193,7 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)))
     dealt = dealt.select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("gid"), "doc", F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"))
     brief = map_chunks(reps, ["regs", "regs"], lambda _, regs: {"short": [x.tobytes() for x in short(_regs(regs))]}, "short binary", ["doc", "n"])
-    met = cut(dealt.join(brief, "doc").groupBy("gid").applyInPandas(lambda pdf: partnered(pdf, percent), "gid long, doc long, side int"))
+    met = cut(dealt.join(brief.hint("merge"), "doc").groupBy("gid").applyInPandas(lambda pdf: partnered(pdf, percent), "gid long, doc long, side int"))
     release(spark)
     centres = cut(met.groupBy("gid").agg(F.min("doc").alias("centre")))
     placed = cut(met.join(centres, "gid"))
@@ -205,21 +205,21 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         upto = np.append(0, np.cumsum(n))
         return {"shingles": [h[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]}
 
-    chosen = docs.where(F.col("doc_id").isNotNull()).join(wanted, F.col("doc_id") == F.col("doc"), "left_semi")
+    chosen = docs.where(F.col("doc_id").isNotNull()).join(wanted.hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi")
     sets = cut(map_chunks(chosen, ["text"], full, "shingles binary", ["doc_id"]).withColumnRenamed("doc_id", "doc"))
     release(spark)
 
     def check(_: list[bytes], a: list, b: list) -> dict:
         return {"ok": [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]}
 
-    checked = pairs.join(sets.withColumnRenamed("shingles", "x"), "doc").join(sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("y")), "centre")
+    checked = pairs.join(sets.withColumnRenamed("shingles", "x").hint("merge"), "doc").join(sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("y")).hint("merge"), "centre")
     links = cut(map_chunks(checked, ["x", "x", "y"], check, "ok boolean", ["doc", "centre"]).where("ok").select(F.col("doc").alias("a"), F.col("centre").alias("b")))
     release(spark)
     first = components(links, "a", "b")
     own = F.coalesce("component", "doc").alias("comp")
     placed = cut(placed.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("gid", "doc", "side", own))
     still = cut(placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gid"))
-    loaded = placed.join(still, "gid").join(sets, "doc").join(reps, "doc").dropDuplicates(["gid", "doc", "n"])
+    loaded = placed.join(still, "gid").join(sets.hint("merge"), "doc").join(reps.hint("merge"), "doc").dropDuplicates(["gid", "doc", "n"])
     more = cut(loaded.groupBy("gid").applyInPandas(lambda pdf: forest(pdf, percent), "a long, b long"))
     final = components(links.union(more), "a", "b")
     release(spark)
