@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, langid, line_dedup, minhash, quality, sentencepiece_codec, toxicity, urls
+from lodestone.llm import decontaminate, langid, line_dedup, minhash, quality, sentencepiece_codec, suffix_dedup, toxicity, urls
 from lodestone.llm.common import table
 
 #: The public piece file; set LODESTONE_PIECES to use another.
@@ -32,6 +32,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_language_id": op9_language_id,
