@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are runs of anything but these six characters (what ``bytes.split()`` takes as white space).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,18 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it again: the lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        if before is not None:  # shuffle files go as soon as the table stands
+            spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs whose results have been cut off."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def with_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """Add columns; a column of the same name (in any case) is replaced."""
     clash = {k.lower() for k in new}

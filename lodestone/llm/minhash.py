@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, lookup, map_chunks, release, splitmix, with_columns
+from lodestone.llm.common import cut, lookup, map_chunks, splitmix, with_columns
 from lodestone.llm.components import components
 
 WIDTH, BUCKETS, MANTISSA = 5, 256, 10
@@ -170,7 +170,6 @@ def forest(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = cut(map_chunks(docs, ["text"], sketch, "n_shingles long, k1 long, k2 long, regs binary", ["doc_id"]))
     real = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -184,7 +183,6 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     banded = map_chunks(reps, ["regs", "regs"], bands, "keys array<long>", ["doc"]).select("doc", F.explode("keys").alias("key"))
     shared = cut(banded.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"))
     members = cut(banded.join(shared.hint("merge"), "key"))
-    release(spark)
     one_each = members.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2")).where("lo < hi")
     one_each = cut(one_each.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -194,7 +192,6 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     dealt = dealt.select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("gid"), "doc", F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"))
     brief = map_chunks(reps, ["regs", "regs"], lambda _, regs: {"short": [x.tobytes() for x in short(_regs(regs))]}, "short binary", ["doc", "n"])
     met = cut(dealt.join(brief.hint("merge"), "doc").groupBy("gid").applyInPandas(lambda pdf: partnered(pdf, percent), "gid long, doc long, side int"))
-    release(spark)
     centres = cut(met.groupBy("gid").agg(F.min("doc").alias("centre")))
     placed = cut(met.join(centres, "gid"))
     pairs = placed.where("doc > centre").select("doc", "centre").distinct()
@@ -207,14 +204,12 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     chosen = docs.where(F.col("doc_id").isNotNull()).join(wanted.hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi")
     sets = cut(map_chunks(chosen, ["text"], full, "shingles binary", ["doc_id"]).withColumnRenamed("doc_id", "doc"))
-    release(spark)
 
     def check(_: list[bytes], a: list, b: list) -> dict:
         return {"ok": [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]}
 
     checked = pairs.join(sets.withColumnRenamed("shingles", "x").hint("merge"), "doc").join(sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("y")).hint("merge"), "centre")
     links = cut(map_chunks(checked, ["x", "x", "y"], check, "ok boolean", ["doc", "centre"]).where("ok").select(F.col("doc").alias("a"), F.col("centre").alias("b")))
-    release(spark)
     first = components(links, "a", "b")
     own = F.coalesce("component", "doc").alias("comp")
     placed = cut(placed.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("gid", "doc", "side", own))
@@ -222,7 +217,6 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     loaded = placed.join(still, "gid").join(sets.hint("merge"), "doc").join(reps.hint("merge"), "doc").dropDuplicates(["gid", "doc", "n"])
     more = cut(loaded.groupBy("gid").applyInPandas(lambda pdf: forest(pdf, percent), "a long, b long"))
     final = components(links.union(more), "a", "b")
-    release(spark)
     named = cut(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")))
     joined = real.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     alone = sketches.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

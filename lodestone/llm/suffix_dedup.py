@@ -29,15 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, map_chunks, release, splitmix, spread
+from lodestone.llm.common import cut, map_chunks, splitmix, spread
 from lodestone.llm.sentencepiece_codec import BASE, INVERSE, powers
 
-LEAST, GRAM, HOT, CHUNK = 100, 36, 256, 1 << 18
+LEAST, GRAM, HOT, CHUNK = 100, 36, 256, 1 << 17
 _PLACE = np.uint64((1 << 24) - 1)
 
 
 def anchors(texts: list[bytes]) -> dict:
-    """Of each text its regions: first window, number of windows, the anchor's hash and place within the region."""
+    """Of each text its regions: first window, number of windows, the anchor's hash and place, the hash of the bytes."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
     end = np.cumsum(size)
@@ -45,9 +45,9 @@ def anchors(texts: list[bytes]) -> dict:
     n = len(data) - LEAST + 1
     if n <= 0:
         return {"regions": [[] for _ in texts]}
-    sums = np.zeros(len(data) + 1, np.uint64)
+    inverse, sums = powers(INVERSE, len(data) + 1), np.zeros(len(data) + 1, np.uint64)
     np.cumsum(splitmix(np.arange(256))[data] * powers(BASE, len(data)), out=sums[1:])
-    grams = splitmix((sums[GRAM:] - sums[:-GRAM]) * powers(INVERSE, len(data) - GRAM + 1))
+    grams = splitmix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(data) - GRAM + 1])
     least = (grams & ~_PLACE) | (np.arange(len(grams), dtype=np.uint64) & _PLACE)
     width = 1
     while 2 * width <= reach:
@@ -64,23 +64,20 @@ def anchors(texts: list[bytes]) -> dict:
     last = np.append(first[1:], n)
     stop = np.minimum(last, end[doc[first]] - LEAST + 1)
     place = (least[first] - first.astype(np.uint64) & _PLACE).astype(np.int64)
-    begin = (end - size)[doc[first]]
+    begin, upto = (end - size)[doc[first]], stop + LEAST - 1
+    whole_hash = splitmix((sums[upto] - sums[first]) * inverse[first] ^ splitmix(upto - first)).view(np.int64)
     rows = pa.StructArray.from_arrays(
-        [pa.array(first - begin, pa.int32()), pa.array(stop - first, pa.int32()), pa.array(grams[first + place].view(np.int64)), pa.array(place, pa.int32())], ["s", "n", "h", "g"]
+        [pa.array(first - begin, pa.int32()), pa.array(stop - first, pa.int32()), pa.array(grams[first + place].view(np.int64)), pa.array(place, pa.int32()), pa.array(whole_hash)], ["s", "n", "h", "g", "r"]
     )
     return {"regions": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)}
 
 
 def fetch(texts: list[bytes], lists: list) -> dict:
-    """The bytes and their hash for each region of a text."""
+    """The bytes of each region of a text."""
     out = []
     for text, rows in zip(texts, lists, strict=True):
-        got = []
-        for r in rows or ():
-            b = text[r["s"] : r["s"] + r["n"] + LEAST - 1]
-            if len(b) == r["n"] + LEAST - 1:
-                got.append({"s": r["s"], "n": r["n"], "h": r["h"], "g": r["g"], "r": xxhash.xxh64_intdigest(b, 1) - (1 << 63), "b": b})
-        out.append(got)
+        got = [r | {"b": text[r["s"] : r["s"] + r["n"] + LEAST - 1]} for r in rows or ()]
+        out.append([r for r in got if len(r["b"]) == r["n"] + LEAST - 1])
     return {"regions": out}
 
 
@@ -108,7 +105,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = (pad[:n] + 1) << 42 | (pad[1 : n + 1] + 1) << 21 | (pad[2 : n + 2] + 1)
     step = 3
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(0, np.diff(key[order]) != 0))
         if rank[order[-1]] == n - 1:
@@ -221,19 +218,16 @@ def transform(regions: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc, lo, hi): byte spans to remove, not merged. docs: doc_id, text."""
-    spark = docs.sparkSession
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), "text")
-    found = map_chunks(keyed, ["text"], anchors, "regions array<struct<s:int,n:int,h:long,g:int>>", ["doc"], 1 << 19).selectExpr("doc", "inline(regions)")
+    found = map_chunks(keyed, ["text"], anchors, "regions array<struct<s:int,n:int,h:long,g:int,r:long>>", ["doc"], 1 << 19).selectExpr("doc", "inline(regions)")
     twice = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
-    release(spark)
-    wanted = cut(found.join(twice.hint("merge"), "h").groupBy("doc").agg(F.collect_list(F.struct("s", "n", "h", "g")).alias("rows")))
-    release(spark)
-    rows = cut(map_chunks(keyed.join(wanted.hint("merge"), "doc"), ["text", "rows"], fetch, REGIONS, ["doc"], 1 << 19).selectExpr("doc", "inline(regions)"))
-    release(spark)
+    rows = cut(found.join(twice.hint("merge"), "h"))
+    least = cut(rows.groupBy("h", "r").agg(F.min(F.struct("doc", "s", "n", "g")).alias("f"), F.count(F.lit(1)).alias("c")).select("h", "r", "f.*", "c"))
+    wanted = least.groupBy("doc").agg(F.collect_list(F.struct("s", "n", "h", "g", "r", "c")).alias("rows"))
+    bytes_of = map_chunks(keyed.join(wanted.hint("merge"), "doc"), ["text", "rows"], fetch, REGIONS.replace("b:", "c:long,b:"), ["doc"], 1 << 19)
+    firsts = cut(bytes_of.selectExpr("doc", "inline(regions)").dropDuplicates(["doc", "h", "r"]))
     out, length = [], GRAM
     while True:
-        least = rows.groupBy("h", "r").agg(F.min(F.struct("doc", "s", "n", "g", "b")).alias("f"), F.count(F.lit(1)).alias("c")).select("h", "r", "f.*", "c")
-        firsts = cut(least)
         kinds = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("c"))
         hot = cut(kinds.where(F.col("k") > HOT).select("h")) if length < LEAST else None
         if hot is not None and hot.isEmpty():
@@ -255,7 +249,7 @@ def spans(docs: DataFrame) -> DataFrame:
         longer = cut(longer.selectExpr("doc", "inline(regions)"))
         again = cut(longer.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
         rows = cut(longer.join(again.hint("merge"), "h"))
-        release(spark)
+        firsts = cut(rows.groupBy("h", "r").agg(F.min(F.struct("doc", "s", "n", "g", "b")).alias("f"), F.count(F.lit(1)).alias("c")).select("h", "r", "f.*", "c"))
     result = out[0]
     for x in out[1:]:
         result = result.union(x)
