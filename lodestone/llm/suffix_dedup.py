@@ -6,8 +6,8 @@ the input. Equal windows of 100 bytes are brought together by anchors, and found
 1. In a window, the anchor is the 36-byte gram of least hash (the leftmost); runs of windows with one anchor form a
    region. Equal windows have equal anchors, so only regions of anchors that occur twice matter.
 2. Equal regions are pre-aggregated to the earliest and a count. An anchor with more than ``HOT`` different regions is
-   split by a longer gram (extended to the left for windows that reach so far, else to the right), again and again if
-   need be; at 100 bytes only equal windows are left.
+   split by a longer gram of 68 bytes (extended to the left for windows that reach so far, else to the right), and what is
+   still too much by whole windows.
 3. Whole anchor groups, a few hundred kilobytes at a time, are one text (a repeated region twice, separators unique).
    Intervals of its suffix array are extended backward breadth first (Beller et al. 2013): common prefixes come out by
    increasing value, and the extension stops at 100. Suffixes whose common prefix was not derived share 100 bytes; of
@@ -33,6 +33,8 @@ from lodestone.llm.common import cut, map_chunks, splitmix, spread
 from lodestone.llm.sentencepiece_codec import BASE, INVERSE, powers
 
 LEAST, GRAM, HOT, CHUNK = 100, 36, 256, 1 << 17
+#: From one length of gram to the next; a step is at most half of what is left, or all of it.
+LENGTHS = {36: 68, 68: 100}
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -72,27 +74,20 @@ def anchors(texts: list[bytes]) -> dict:
     return {"regions": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)}
 
 
-def fetch(texts: list[bytes], lists: list) -> dict:
-    """The bytes of each region of a text."""
-    out = []
-    for text, rows in zip(texts, lists, strict=True):
-        got = [r | {"b": text[r["s"] : r["s"] + r["n"] + LEAST - 1]} for r in rows or ()]
-        out.append([r for r in got if len(r["b"]) == r["n"] + LEAST - 1])
-    return {"regions": out}
-
-
 REGIONS = "regions array<struct<s:int,n:int,h:long,g:int,r:long,b:binary>>"
 
 
 def extend(rows: list[bytes], s: list, n: list, g: list, length: int) -> dict:
-    """The regions under longer grams: of ``length`` bytes before, half of the rest more now."""
-    more, out = -(-(LEAST - length) // 2), []
+    """The regions under longer grams: of LENGTHS[length] bytes; at LEAST each window goes alone."""
+    more, out = LENGTHS[length] - length, []
     for b, s0, n0, g0 in zip(rows, s, n, g, strict=True):
-        left, got = max(0, min(n0, g0 - more + 1)), []
-        for at, count, place in ((0, left, g0 - more), (left, n0 - left, g0 - left)):
+        left = max(0, min(n0, g0 - more + 1))
+        pieces = [(0, left, g0 - more), (left, n0 - left, g0 - left)] if length + more < LEAST else [(i, 1, 0) for i in range(n0)]
+        got = []
+        for at, count, place in pieces:
             if count:
                 part = b[at : at + count + LEAST - 1]
-                key = xxhash.xxh64_intdigest(part[place : place + length + more], 2 + (at > 0 or left == 0)) - (1 << 63)
+                key = xxhash.xxh64_intdigest(part[place : place + length + more], 2) - (1 << 63)
                 got.append({"s": s0 + at, "n": count, "h": key, "g": place, "r": xxhash.xxh64_intdigest(part, 1) - (1 << 63), "b": part})
         out.append(got)
     return {"regions": out}
@@ -153,6 +148,37 @@ def repeated(parts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.nda
     return order[inside], np.cumsum(common[inside] >= 0)
 
 
+def fetch(texts: list[bytes], lists: list) -> dict:
+    """Of each text the regions to transform with others, with their bytes, and those found to occur again as they are.
+
+    A region that is the only one of its anchor shares windows with nothing but its copies. Runs of such regions are
+    transformed here, each run twice in one text, and a region is done if all windows of its second copy were found.
+    """
+    regions, done, runs, owner = [], [[] for _ in texts], [], []
+    for i, (text, rows) in enumerate(zip(texts, lists, strict=True)):
+        fits = [r for r in rows or () if r["s"] + r["n"] + LEAST - 1 <= len(text)]
+        regions.append([{x: r[x] for x in "snhgrc"} | {"b": text[r["s"] : r["s"] + r["n"] + LEAST - 1]} for r in fits if r["k"] > 1])
+        upto = None
+        for r in sorted((r for r in fits if r["k"] == 1), key=lambda r: r["s"]):
+            if r["s"] != upto:
+                runs.append([])
+                owner.append(i)
+            runs[-1].append(r)
+            upto = r["s"] + r["n"]
+    if runs:
+        bodies = [texts[i][x[0]["s"] : x[-1]["s"] + x[-1]["n"] + LEAST - 1] for i, x in zip(owner, runs, strict=True)]
+        place, _ = repeated([p for p in bodies for _ in (0, 1)])
+        found = np.zeros(sum(2 * len(p) + 2 for p in bodies) + 1, np.int64)
+        found[place + 1] = 1
+        found = np.cumsum(found)
+        begin = 0
+        for i, body, run in zip(owner, bodies, runs, strict=True):
+            second = begin + len(body) + 1 - run[0]["s"]
+            done[i] += [{"h": r["h"], "r": r["r"]} for r in run if found[second + r["s"] + r["n"]] - found[second + r["s"]] == r["n"]]
+            begin += 2 * len(body) + 2
+    return {"regions": regions, "done": done}
+
+
 def mark(rows: dict[str, list]) -> tuple[list, list]:
     """Of whole groups of regions: spans (doc, from, to) to remove, and (h, r) of regions whose copies go."""
     parts, owner, copy = [], [], []
@@ -223,13 +249,15 @@ def spans(docs: DataFrame) -> DataFrame:
     twice = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
     rows = cut(found.join(twice.hint("merge"), "h"))
     least = cut(rows.groupBy("h", "r").agg(F.min(F.struct("doc", "s", "n", "g")).alias("f"), F.count(F.lit(1)).alias("c")).select("h", "r", "f.*", "c"))
-    wanted = least.groupBy("doc").agg(F.collect_list(F.struct("s", "n", "h", "g", "r", "c")).alias("rows"))
-    bytes_of = map_chunks(keyed.join(wanted.hint("merge"), "doc"), ["text", "rows"], fetch, REGIONS.replace("b:", "c:long,b:"), ["doc"], 1 << 19)
-    firsts = cut(bytes_of.selectExpr("doc", "inline(regions)").dropDuplicates(["doc", "h", "r"]))
-    out, length = [], GRAM
+    kinds = least.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    wanted = least.join(kinds, "h").groupBy("doc").agg(F.collect_list(F.struct("s", "n", "h", "g", "r", "c", "k")).alias("rows"))
+    fields = REGIONS.replace("b:", "c:long,b:") + ", done array<struct<h:long,r:long>>"
+    got = cut(map_chunks(keyed.join(wanted.hint("merge"), "doc"), ["text", "rows"], fetch, fields, ["doc"], 1 << 17))
+    firsts, done = got.selectExpr("doc", "inline(regions)"), got.selectExpr("doc as d1", "inline(done)")
+    copied, length, out = done.join(least.select("h", "r", F.col("s").alias("s1")).hint("merge"), ["h", "r"]).select("h", "r", "d1", "s1"), GRAM, []
+    out.append(rows.select("h", "r", "doc", "s", "n").join(cut(copied).hint("merge"), ["h", "r"]).where("doc <> d1 OR s <> s1").select("doc", F.col("s").alias("lo"), (F.col("s") + F.col("n") + (LEAST - 1)).alias("hi")))
     while True:
-        kinds = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("c"))
-        hot = cut(kinds.where(F.col("k") > HOT).select("h")) if length < LEAST else None
+        hot = cut(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("h")) if length < LEAST else None
         if hot is not None and hot.isEmpty():
             hot = None
         cold = firsts.join(hot.hint("merge"), "h", "left_anti") if hot is not None else firsts
@@ -245,7 +273,7 @@ def spans(docs: DataFrame) -> DataFrame:
             break
         hot_rows = firsts.join(hot.hint("merge"), "h", "left_semi")
         longer = map_chunks(hot_rows, ["b", "s", "n", "g"], lambda b, s, n, g, length=length: extend(b, s, n, g, length), REGIONS, ["doc"], 1 << 19)
-        length += -(-(LEAST - length) // 2)
+        length = LENGTHS[length]
         longer = cut(longer.selectExpr("doc", "inline(regions)"))
         again = cut(longer.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
         rows = cut(longer.join(again.hint("merge"), "h"))
@@ -253,7 +281,7 @@ def spans(docs: DataFrame) -> DataFrame:
     result = out[0]
     for x in out[1:]:
         result = result.union(x)
-    return result.distinct()
+    return result
 
 
 def strip(texts: list[bytes], lists: list, whole: bool) -> dict:
