@@ -1,4 +1,374 @@
-"""Registered queries over the test tables, each with its SQL oracle where SQL can express it."""
+"""Registered queries over the test tables, each with its SQL oracle where SQL can express it.
+
+Stored vectors play the chunks of documents where a query needs both: ``vec_id`` is then taken for ``doc_id``.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import ann, chunking
+from lodestone.operators import retrieval as R
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+NEAR, DUP = 0.7, 0.62
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def vectors(spark, sf) -> DataFrame:
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def docs(spark, sf) -> DataFrame:
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang", "n_chars")
+
+
+def questions(spark, sf) -> DataFrame:
+    first = F.array_join(F.slice(T.fields(F.col("text")), 1, 12), " ")
+    return read(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), first.alias("text"))
+
+
+def probe(spark, sf, id: int = 7) -> list[float]:
+    row = vectors(spark, sf).where(F.col("id") == id).select("embedding").first()
+    return list(row[0]) if row else [0.0]
+
+
+DIST = "1 - list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
+KNN = f"(SELECT v.vec_id AS id, {DIST.format(a='v.embedding', b='q.embedding')} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY distance, id LIMIT {{k}})"
+PAIRS = f"SELECT a.vec_id AS source_id, b.vec_id AS target_id, {DIST.format(a='a.embedding', b='b.embedding')} AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
+EDGES = f"(SELECT source_id, target_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY distance, target_id) AS rn FROM ({PAIRS}) WHERE distance < {NEAR}) WHERE rn <= 8)"
+STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+FIELDS = r"list_filter(regexp_split_to_array({x}, '[\s\x{{85}}\p{{Z}}]+'), lambda w: w <> '')"
+TERMS = "list_filter(" + FIELDS + r""", lambda w: regexp_replace(lower(w), '^[.,!?;:''"()\[\]{{}}]+|[.,!?;:''"()\[\]{{}}]+$', '', 'g') NOT IN ('', {stop}))"""
+TOKENS = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+def bm25_sql(k: int) -> str:
+    asked = f"SELECT item_id AS query_id, array_to_string(list_slice({FIELDS.format(x='text')}, 1, 12), ' ') AS text FROM benchmark WHERE item_id < 10"
+    return f"""WITH q AS ({asked}),
+qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({TOKENS.format(x="array_to_string(" + TERMS.format(x="text", stop=STOP) + ", ' ')")}) AS term FROM q) GROUP BY 1, 2),
+d AS (SELECT doc_id AS id, {TOKENS.format(x="text")} AS t FROM documents),
+s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+p AS (SELECT id, len(t) AS dl, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM d) GROUP BY 1, 2, 3),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+x AS (SELECT query_id, id, round(sum(qf * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+      FROM p JOIN f USING (term) JOIN qt USING (term), s GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x)
+SELECT query_id, id, score, rank FROM r WHERE rank <= {k}"""
+
+
+@query(f"SELECT id, round(distance, 9) AS distance, label FROM {KNN.format(k=10)} t JOIN embeddings e ON e.vec_id = t.id")
+def vec_knn_top10(spark, sf):
+    v = vectors(spark, sf)
+    return R.knn(v, probe(spark, sf), 10).join(v.select("id", "label"), "id").select("id", F.round("distance", 9).alias("distance"), "label")
+
+
+@query(f"SELECT id, round(distance, 9) AS distance FROM {KNN.format(k=20)} t WHERE distance <= {NEAR}")
+def vec_search_floor(spark, sf):
+    return R.knn(vectors(spark, sf), probe(spark, sf), 20, NEAR).select("id", F.round("distance", 9).alias("distance"))
+
+
+@query(f"SELECT id, round(distance, 9) AS distance FROM {KNN.format(k=20)} t")
+def vec_raw20(spark, sf):
+    return R.knn(vectors(spark, sf), probe(spark, sf), 20).select("id", F.round("distance", 9).alias("distance"))
+
+
+@query("SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS magnitude FROM embeddings")
+def vec_magnitude(spark, sf):
+    return vectors(spark, sf).select("id", F.round(R.magnitude(F.col("embedding")), 6).alias("magnitude"))
+
+
+@query("SELECT vec_id AS id, 1.0::DOUBLE AS norm FROM embeddings")
+def vec_normalize_check(spark, sf):
+    return vectors(spark, sf).select("id", F.round(R.magnitude(R.normalise(F.col("embedding"))), 5).alias("norm"))
+
+
+@query(f"SELECT source_id, target_id, round(distance, 9) AS distance FROM {EDGES} e")
+def vec_edges_reindex(spark, sf):
+    return R.top_edges(R.neighbours(vectors(spark, sf), NEAR)).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"SELECT source_id, target_id, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY distance, target_id) AS rn FROM ({PAIRS}) WHERE distance < {NEAR} AND target_id < source_id) WHERE rn <= 8")
+def vec_edges_incremental(spark, sf):
+    return R.top_edges(R.neighbours(vectors(spark, sf), NEAR).where("target_id < source_id")).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"SELECT source_id, target_id, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY distance, target_id) AS rn FROM ({PAIRS})) WHERE rn = 1 AND distance < 0.9")
+def vec_nearest_other(spark, sf):
+    return R.top_edges(R.neighbours(vectors(spark, sf), 0.9), 1).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"SELECT source_id, target_id, round(distance, 9) AS distance FROM ({PAIRS}) WHERE distance <= {DUP} AND target_id < source_id")
+def near_dup_pairs(spark, sf):
+    return R.neighbours(vectors(spark, sf), DUP + 1e-9).where(f"distance <= {DUP} AND target_id < source_id").withColumn("distance", F.round("distance", 9))
+
+
+@query()
+def near_dup_greedy(spark, sf):
+    v = vectors(spark, sf)
+    return R.greedy_near_dups(R.neighbours(v, DUP + 1e-9).where(f"distance <= {DUP}"), v)
+
+
+@query(bm25_sql(20))
+def bm25_top20(spark, sf):
+    return R.bm25(docs(spark, sf), questions(spark, sf), 20)
+
+
+@query(f"SELECT item_id AS query_id, {TERMS.format(x='text', stop=STOP)} AS terms, array_to_string(list_transform({TERMS.format(x='text', stop=STOP)}, lambda w: '\"' || replace(w, '\"', '\"\"') || '\"'), ' OR ') AS fts FROM benchmark")
+def fts_query_terms(spark, sf):
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.query_terms(F.col("text")).alias("terms"), T.fts_query(F.col("text")).alias("fts"))
+
+
+VEC_LIST = f"SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST.format(a='a.embedding', b='b.embedding')}, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 10"
+
+
+def hybrid_sql(k: int) -> str:
+    return f"""WITH l AS (SELECT query_id, 0 AS list_no, rank, id FROM ({VEC_LIST}) WHERE rank <= 20 UNION ALL SELECT query_id, 1, rank, id FROM ({bm25_sql(20)})),
+s AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 12) AS score, min(list_no * 1000 + rank) AS seen FROM l GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM s)
+SELECT query_id, id, round(score, 9) AS score, rank FROM r WHERE rank <= {k}"""
+
+
+def vector_lists(spark, sf, k: int) -> DataFrame:
+    """The k nearest of ten stated query vectors: distances once a vector, top k by a ranked window."""
+    from pyspark.sql import Window
+
+    v = vectors(spark, sf)
+    asked = v.where("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    near = v.crossJoin(F.broadcast(asked)).select("query_id", "id", R.distance(F.col("q"), F.col("embedding")).alias("d"))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("rank") <= k).select("query_id", "id", "rank")
+
+
+@query(hybrid_sql(5))
+def hybrid_retrieve(spark, sf):
+    lists = vector_lists(spark, sf, 20).select("query_id", F.lit(0).alias("list_no"), "rank", "id")
+    words = R.bm25(docs(spark, sf), questions(spark, sf), 20).select("query_id", F.lit(1).alias("list_no"), "rank", "id")
+    return R.rrf(lists.union(words), 5).withColumn("score", F.round("score", 9))
+
+
+@query(r"SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' ') AS text FROM pages")
+def html_strip(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
+def md_sql() -> str:
+    x = "text"
+    for p, to in T.MARKDOWN:
+        p = p.replace("(?dm)", "(?m)").replace("(?d)", "").replace("'", "''")
+        x = f"regexp_replace({x}, '{p}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    return f"SELECT doc_id AS id, {x} AS text FROM documents"
+
+
+@query(md_sql())
+def md_clean(spark, sf):
+    return docs(spark, sf).select("id", T.clean_markdown(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id AS id, sha256(text) AS hash FROM documents")
+def content_hash(spark, sf):
+    return docs(spark, sf).select("id", F.sha2("text", 256).alias("hash"))
+
+
+@query(r"SELECT page_id, CASE WHEN e IN ('.md', '.markdown') THEN 'markdown' WHEN e = '.tex' THEN 'code:latex' WHEN e = '.py' THEN 'code:python' ELSE 'text' END AS kind FROM (SELECT page_id, lower(regexp_extract(url, '(\.[^./]*)$', 1)) AS e FROM pages)")
+def content_type(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.content_type(F.col("url")).alias("kind"))
+
+
+PAGE = "SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS source FROM pages"
+
+
+@query(f"""SELECT page_id, url AS doc_key, true AS replaceable, CASE WHEN source <> '' AND NOT starts_with(source, 'http') THEN source ELSE regexp_extract(url, '^[^:]+://([^/?#]*)', 1) END AS label, 'web' AS format FROM ({PAGE})""")
+def doc_identity(spark, sf):
+    p = read(spark, sf, "pages").select("page_id", F.col("url").alias("origin"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("source"), F.lit("").alias("text"))
+    s, o = F.col("source"), F.col("origin")
+    key = T.doc_key(s, o, F.col("page_id"))
+    return p.select("page_id", key.alias("doc_key"), T.replaceable(s, o).alias("replaceable"), T.graph_label(F.col("text"), s, o).alias("label"), T.doc_format(key, s, o).alias("format"))
+
+
+@query("SELECT a.doc_id AS id FROM documents a WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id = a.doc_id AND b.doc_id % 3 <> 0 AND sha256(b.text) = sha256(a.text))")
+def doc_skip_unchanged(spark, sf):
+    d = docs(spark, sf).select("id", F.sha2("text", 256).alias("hash"))
+    return d.join(d.where("id % 3 <> 0"), ["id", "hash"], "left_anti").select("id")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM documents")
+def doc_upsert(spark, sf):
+    d = docs(spark, sf).select("id")
+    new = d.where("id % 2 = 0").select("id", F.lit("new").alias("version"))
+    return d.select("id", F.lit("old").alias("version")).join(new, "id", "left_anti").union(new)
+
+
+@query(f"SELECT source_id, target_id FROM {EDGES} e WHERE source_id NOT IN (1, 5, 7, 8, 9) AND target_id NOT IN (1, 5, 7, 8, 9)")
+def delete_cascade(spark, sf):
+    gone = spark.range(1).select(F.explode(T.delete_spec(F.lit("1,5,9-7"))).alias("id"))
+    e = R.top_edges(R.neighbours(vectors(spark, sf), NEAR)).select("source_id", "target_id")
+    return e.join(gone, e["source_id"] == gone["id"], "left_anti").join(gone, F.col("target_id") == gone["id"], "left_anti")
+
+
+ABBR = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS) + "|[a-z]"
+HOLD = rf"regexp_replace({{x}}, '(^|[ \t\n\r])((?i:{ABBR}))(\.[.!?]*)([ \t\n\r]|$)', '\1\2\3' || chr(2) || '\4', 'g')"
+EDGE = r"regexp_replace({x}, '^[\s\x{{85}}\p{{Z}}]+|[\s\x{{85}}\p{{Z}}]+$', '', 'g')"
+SENTENCES = "list_filter(list_transform(string_split(replace(regexp_replace(" + HOLD.format(x=HOLD.format(x="text")) + r", '([.!?]+)([ \t\n\r]|$)', '\1' || chr(1) || '\2', 'g'), chr(2), ''), chr(1)), lambda x: " + EDGE.format(x="x") + "), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id AS id, len({SENTENCES}) AS n, sha256(array_to_string({SENTENCES}, chr(10))) AS digest FROM documents")
+def sentence_split(spark, sf):
+    s = T.sentences(F.col("text"))
+    return docs(spark, sf).select("id", F.size(s).cast("long").alias("n"), F.sha2(F.array_join(s, "\n"), 256).alias("digest"))
+
+
+CLAIMS = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?]+)([ \t\n\r]|$)|\n', '\1' || chr(1), 'g'), chr(1)), lambda x: " + EDGE.format(x="x") + "), lambda x: strlen(x) > 2)"
+FACT = "strlen(c) >= 15 AND NOT ends_with(c, '?') AND " + " AND ".join(f"NOT contains(lower(c), '{h.replace(chr(39), chr(39) * 2)}')" for h in T.HEDGES)
+
+
+@query(f"SELECT conv_id, turn, count(*) AS n_claims, count(*) FILTER (WHERE {FACT}) AS n_factual FROM (SELECT conv_id, turn, unnest({CLAIMS}) AS c FROM conversations) GROUP BY 1, 2")
+def claim_split(spark, sf):
+    c = read(spark, sf, "conversations").select("conv_id", "turn", F.explode(T.claims(F.col("text"))).alias("c"))
+    return c.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_claims"), F.count(F.when(T.is_factual(F.col("c")), 1)).alias("n_factual"))
+
+
+@query(f"SELECT conv_id, turn, array_to_string({FIELDS.format(x='text')}, ' ') <> '' AND (len(regexp_extract_all(text, '\\?')) > 1 OR len({FIELDS.format(x='text')}) > 25 OR {' OR '.join(f'contains(lower(text), {chr(39)}{m}{chr(39)})' for m in T.SEVERAL)}) AS several FROM conversations")
+def rewrite_gate(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", T.needs_decomposition(F.col("text")).alias("several"))
+
+
+@query()
+def rerank_apply_order(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", T.rerank_order(F.col("text"), F.lit(10)).alias("order"), T.verdict(F.col("text"), F.lit(5)).alias("verdict"), T.lookups(F.col("text")).alias("lookups"))
+
+
+@query()
+def chunk_prose(spark, sf):
+    return chunking.chunk(docs(spark, sf).select("id", "text", F.lit("text").alias("content_type")))
+
+
+@query()
+def chunk_markdown(spark, sf):
+    return chunking.chunk(docs(spark, sf).select("id", "text", F.lit("markdown").alias("content_type")))
+
+
+@query()
+def chunk_code(spark, sf):
+    return chunking.chunk(read(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"), F.lit("code:javascript").alias("content_type")))
+
+
+@query(f"SELECT id, i AS window_no, array_to_string(list_slice(w, i * 400 + 1, i * 400 + 400), ' ') AS text FROM (SELECT doc_id AS id, {FIELDS.format(x='text')} AS w, unnest(range(0, (len({FIELDS.format(x='text')}) + 399) // 400)) AS i FROM documents)")
+def long_sentence_windows(spark, sf):
+    d = docs(spark, sf).select("id", T.fields(F.col("text")).alias("w")).where(F.size("w") > 0)
+    d = d.select("id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 400))).alias("window_no"))
+    return d.select("id", "window_no", F.array_join(F.slice("w", (F.col("window_no") * 400 + 1).cast("int"), F.lit(400)), " ").alias("text"))
+
+
+GRAPH = f"(SELECT least(s, t) AS a, greatest(s, t) AS b, min(distance) AS distance FROM (SELECT source_id % 50 AS s, target_id % 50 AS t, distance FROM {EDGES} e) WHERE s <> t GROUP BY 1, 2)"
+
+
+def graph(spark, sf) -> DataFrame:
+    v = vectors(spark, sf)
+    return R.project(R.top_edges(R.neighbours(v, NEAR)), v.select("id", (F.col("id") % 50).alias("doc_key")))
+
+
+@query("SELECT vec_id % 50 AS doc_key, min(vec_id) AS id, count(*) AS n_chunks, max(vec_id) AS last_id FROM embeddings GROUP BY 1")
+def graph_nodes(spark, sf):
+    return vectors(spark, sf).groupBy((F.col("id") % 50).alias("doc_key")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_chunks"), F.max("id").alias("last_id"))
+
+
+@query(f"SELECT a, b, round(distance, 9) AS distance FROM {GRAPH} g")
+def graph_edges(spark, sf):
+    return graph(spark, sf).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM {GRAPH} g UNION SELECT b, a FROM {GRAPH} g2), w(node, depth) AS (SELECT 3::BIGINT, 0 UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node WHERE w.depth < 2) SELECT node, min(depth) AS depth FROM w GROUP BY 1")
+def graph_bfs_depth2(spark, sf):
+    return R.walk(graph(spark, sf), 3, 2)
+
+
+@query(f"SELECT node, neighbour, round(1 - distance, 9) AS similarity FROM (SELECT a AS node, b AS neighbour, distance FROM {GRAPH} g UNION ALL SELECT b, a, distance FROM {GRAPH} h) WHERE node = 3")
+def graph_neighbors(spark, sf):
+    g = graph(spark, sf)
+    both = g.select(F.col("a").alias("node"), F.col("b").alias("neighbour"), "distance").union(g.select("b", "a", "distance"))
+    return both.where("node = 3").select("node", "neighbour", F.round(1 - F.col("distance"), 9).alias("similarity"))
+
+
+@query("SELECT doc_id AS id, source AS doc_key, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal FROM documents")
+def chunk_ordinals(spark, sf):
+    from pyspark.sql import Window
+
+    return docs(spark, sf).select("id", F.col("source").alias("doc_key"), (F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1).alias("ordinal"))
+
+
+@query("SELECT page_id, CASE WHEN url = (SELECT url FROM pages WHERE page_id = 3) THEN 0 ELSE 1 END AS priority FROM pages WHERE url ILIKE '%' || (SELECT regexp_extract(url, '([^/]+)$', 1) FROM pages WHERE page_id = 3) ORDER BY 2, 1 LIMIT 1")
+def doc_resolve(spark, sf):
+    p = read(spark, sf, "pages").select("page_id", "url")
+    want = p.where("page_id = 3").select(F.col("url").alias("want"), F.regexp_extract("url", r"([^/]+)\z", 1).alias("tail"))
+    found = p.crossJoin(F.broadcast(want)).where("url ILIKE concat('%', tail)")
+    return found.select("page_id", F.when(F.col("url") == F.col("want"), 0).otherwise(1).alias("priority")).orderBy("priority", "page_id").limit(1)
+
+
+def cases(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Questions from benchmark items, relevant: the documents that contain the item; retrieved by keywords."""
+    items = read(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    d = docs(spark, sf)
+    held = d.join(F.broadcast(items), F.contains("text", "item")).groupBy("query_id").agg(F.collect_list(F.concat(F.lit("doc-"), F.col("id").cast("string"), F.lit(";"))).alias("relevant"))
+    found = R.bm25(d, questions(spark, sf), 20).select("query_id", "rank", F.concat(F.lit("doc-"), F.col("id").cast("string"), F.lit(";")).alias("source"))
+    return found, held
+
+
+EVAL = f"""WITH r AS ({bm25_sql(20)}), c AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.item_id < 10),
+h AS (SELECT query_id, count(*) AS n, min(rank) AS first, count(*) FILTER (WHERE rank <= 1) AS h1, count(*) FILTER (WHERE rank <= 5) AS h5, count(*) FILTER (WHERE rank <= 20) AS h20 FROM c LEFT JOIN r USING (query_id, id) GROUP BY 1)"""
+
+
+@query(EVAL + " SELECT count(*) AS cases, round(avg(h1 / n), 6) AS recall_1, round(avg(h5 / n), 6) AS recall_5, round(avg(h20 / n), 6) AS recall_20, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM h")
+def eval_recall_mrr(spark, sf):
+    e = R.evaluate(*cases(spark, sf))
+    mrr = F.avg(F.when(F.col("first_rank") > 0, 1 / F.col("first_rank")).otherwise(0.0))
+    return e.agg(F.count(F.lit(1)).alias("cases"), *[F.round(F.avg(f"recall_{k}"), 6).alias(f"recall_{k}") for k in (1, 5, 20)], F.round(mrr, 6).alias("mrr"))
+
+
+@query(EVAL + " SELECT query_id FROM h WHERE first IS NULL")
+def eval_misses(spark, sf):
+    return R.evaluate(*cases(spark, sf)).where("first_rank = 0").select("query_id")
+
+
+@query("SELECT event_type, s[1 + floor(0.5 * (len(s) - 1))::INT] AS p50, s[1 + floor(0.95 * (len(s) - 1))::INT] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS s FROM events GROUP BY 1)")
+def latency_pctl(spark, sf):
+    return read(spark, sf, "events").groupBy("event_type").agg(R.percentile(F.col("value"), 50).alias("p50"), R.percentile(F.col("value"), 95).alias("p95"))
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def list_recent(spark, sf):
+    return read(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "user_id")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM documents) <> (SELECT count(*) FROM embeddings) AS mismatch")
+def index_counts(spark, sf):
+    c, v = docs(spark, sf).agg(F.count(F.lit(1)).alias("chunks")), vectors(spark, sf).agg(F.count(F.lit(1)).alias("vectors"))
+    return c.crossJoin(v).withColumn("mismatch", F.col("chunks") != F.col("vectors"))
+
+
+@query()
+def ann_recall(spark, sf):
+    v = vectors(spark, sf)
+    asked = v.where("id < 25").select(F.col("id").alias("query_id"), "embedding").toPandas()  # a stated set of 25
+    got = ann.search(v, asked, 10, 64, 2)
+    v2 = v.crossJoin(F.broadcast(spark.createDataFrame(pd.DataFrame({"query_id": asked["query_id"], "q": [[float(x) for x in e] for e in asked["embedding"]]}))))
+    from pyspark.sql import Window
+
+    exact = v2.select("query_id", "id", R.distance(F.col("q"), F.col("embedding")).alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where("r <= 10")
+    return exact.join(got.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
