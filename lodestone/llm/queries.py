@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, langid, line_dedup, minhash, quality, sentencepiece_codec, suffix_dedup, toxicity, urls
+from lodestone.llm import decontaminate, langid, line_dedup, minhash, quality, secrets, sentencepiece_codec, suffix_dedup, toxicity, urls
 from lodestone.llm.common import table
 
 #: The public piece file; set LODESTONE_PIECES to use another.
@@ -28,6 +28,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
