@@ -6,8 +6,8 @@ the input. Equal windows of 100 bytes are brought together by anchors, and found
 1. In a window, the anchor is the 36-byte gram of least hash (the leftmost); runs of windows with one anchor form a
    region. Equal windows have equal anchors, so only regions of anchors that occur twice matter.
 2. Equal regions are pre-aggregated to the earliest and a count. An anchor with more than ``HOT`` different regions is
-   split by a longer gram of 68 bytes (extended to the left for windows that reach so far, else to the right), and what is
-   still too much by whole windows.
+   split by longer grams of 68 and then 84 bytes (extended to the left for windows that reach so far, else to the right),
+   and what is still too much by whole windows.
 3. Whole anchor groups, a few hundred kilobytes at a time, are one text (a repeated region twice, separators unique).
    Intervals of its suffix array are extended backward breadth first (Beller et al. 2013): common prefixes come out by
    increasing value, and the extension stops at 100. Suffixes whose common prefix was not derived share 100 bytes; of
@@ -34,7 +34,7 @@ from lodestone.llm.sentencepiece_codec import BASE, INVERSE, powers
 
 LEAST, GRAM, HOT, CHUNK = 100, 36, 256, 1 << 17
 #: From one length of gram to the next; a step is at most half of what is left, or all of it.
-LENGTHS = {36: 68, 68: 100}
+LENGTHS = {36: 68, 68: 84, 84: 100}
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -148,6 +148,12 @@ def repeated(parts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.nda
     return order[inside], np.cumsum(common[inside] >= 0)
 
 
+def hashes(texts: list[bytes]) -> pa.Array:
+    """The anchors' hashes alone."""
+    got = anchors(texts)["regions"]
+    return pa.ListArray.from_arrays(got.offsets, got.values.field(2)) if isinstance(got, pa.Array) else pa.array([[] for _ in texts], pa.list_(pa.int64()))
+
+
 def fetch(texts: list[bytes], lists: list) -> dict:
     """Of each text the regions to transform with others, with their bytes, and those found to occur again as they are.
 
@@ -246,7 +252,8 @@ def spans(docs: DataFrame) -> DataFrame:
     """(doc, lo, hi): byte spans to remove, not merged. docs: doc_id, text."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), "text")
     found = map_chunks(keyed, ["text"], anchors, "regions array<struct<s:int,n:int,h:long,g:int,r:long>>", ["doc"], 1 << 19).selectExpr("doc", "inline(regions)")
-    twice = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
+    only = map_chunks(keyed, ["text"], lambda texts: {"hs": hashes(texts)}, "hs array<long>", [], 1 << 19).select(F.explode("hs").alias("h"))
+    twice = cut(only.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
     rows = cut(found.join(twice.hint("merge"), "h"))
     least = cut(rows.groupBy("h", "r").agg(F.min(F.struct("doc", "s", "n", "g")).alias("f"), F.count(F.lit(1)).alias("c")).select("h", "r", "f.*", "c"))
     kinds = least.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
@@ -272,7 +279,7 @@ def spans(docs: DataFrame) -> DataFrame:
         if hot is None:
             break
         hot_rows = firsts.join(hot.hint("merge"), "h", "left_semi")
-        longer = map_chunks(hot_rows, ["b", "s", "n", "g"], lambda b, s, n, g, length=length: extend(b, s, n, g, length), REGIONS, ["doc"], 1 << 19)
+        longer = map_chunks(hot_rows, ["b", "s", "n", "g"], lambda b, s, n, g, length=length: extend(b, s, n, g, length), REGIONS, ["doc"], 1 << 16)
         length = LENGTHS[length]
         longer = cut(longer.selectExpr("doc", "inline(regions)"))
         again = cut(longer.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
