@@ -1,0 +1,235 @@
+import hashlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from lodestone.llm import decontaminate, langid, line_dedup, minhash, quality, secrets, suffix_dedup, toxicity, urls
+from lodestone.llm import sentencepiece_codec as codec
+from lodestone.llm.common import table
+from lodestone.llm.queries import ORACLES, PIECES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+LONG = "word tail " * 30_000
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, and columns whose names the operators use."""
+    line = "a line of some words here\nanother line of words\nand a third line"
+    rows = [
+        (0, None, "en"), (1, "", "en"), (2, " \n ", None), (3, line, "en"), (4, "x\n" + line + "\ny", "en"), (5, LONG, "de"), (5, LONG, "de"),
+        (6, line, "en"), (None, line, "fr"), (7, "12345 !!!", "en"), (8, "▁ é\U0001f600\ttoken = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "fr"),
+    ]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return made.selectExpr("*", "'s' as source", "1L as n_chars", "'x' as Score", "true as kept", "0 as h", "'d' as doc")
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_line_dedup(spark, odd):
+    got = by_id(line_dedup.dedup_lines(odd))
+    assert got[0]["text"] is None and got[None]["n_removed"] == 0 and got[3]["n_removed"] == 3 and got[6]["text"] == "" and got[4]["text"] == "x\ny"
+    assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
+
+
+def test_line_dedup_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(ORACLES["op1_line_dedup"]).df().sort_values("doc_id")
+    got = QUERIES["op1_line_dedup"](spark, SF).toPandas().sort_values("doc_id")[want.columns]
+    assert got.astype(str).values.tolist() == want.astype(str).values.tolist()
+
+
+def test_quality_counts(spark, odd):
+    got = by_id(quality.digest(odd))
+    assert got[0]["n_words"] == 0 and got[0]["base_failed"] and not got[0]["kept"]
+    assert got[5]["n_words"] == 60_000 and got[5]["n_repeat_words"] == 60_000
+    assert quality.digest(odd.limit(0)).count() == 0
+    docs = table(spark, SF, "documents")
+    found = by_id(quality.digest(docs))
+    for r in docs.collect():
+        words = r["text"].split()
+        seen = defaultdict(list)
+        for i in range(len(words) - 7):
+            seen[tuple(words[i : i + 8])].append(i)
+        repeated = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+        assert (found[r["doc_id"]]["n_words"], found[r["doc_id"]]["n_repeat_words"]) == (len(words), len(repeated))
+        assert found[r["doc_id"]]["word_chars"] == sum(map(len, words))
+
+
+def test_model_sums_to_one(spark):
+    model = quality.fit(table(spark, SF, "documents"))
+    base = quality.grams_of([b"that"])[0]
+    for g in base:
+        every = (g >> 6 << 6) | np.arange(64)
+        assert abs(np.exp(model.logs(np.zeros(64, np.int64), every)).sum() - 1) < 1e-3
+
+
+def test_codec(odd):
+    vocabulary = codec.Vocabulary.load(PIECES)
+    for r in codec.transcode(odd, vocabulary).collect():
+        assert r["round_trip"] and (r["decoded_text"] or "") == (r["text"] or "")
+    pieces, scores = ["a", "b", "ab", "▁", "▁a", "bab"], [-1.5, -1.5, -2.1, -1.0, -1.2, -3.3]
+    tiny = codec.Vocabulary(pieces, scores, ["piece"] * 6)
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        text = "".join(rng.choice(list("ab"), rng.integers(1, 9)))
+        ids, _ = tiny.encode([text.encode()])
+        whole, best = "▁" + text, {0: 0.0}
+        for j in range(1, len(whole) + 1):
+            best[j] = max((best[i] + scores[pieces.index(whole[i:j])] for i in range(j) if whole[i:j] in pieces and i in best), default=-1e9)
+        assert abs(sum(scores[i] for i in ids) - best[len(whole)]) < 1e-9
+
+
+def test_secrets(spark, odd):
+    got = secrets.scan(odd).collect()
+    assert [r["doc_id"] for r in got] == [8] and got[0]["kept"]
+    rows = [(1, "see commit: 04dbebab91ab85687d33eeaaf9ac699e1188f962 and"), (2, "https://blog.example.com/page/04dbebab91ab85687d33eeaaf9ac699e1188f962.html")]
+    assert not any(r["kept"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    names, trees = secrets.train(secrets.labelled(spark))
+    assert len(trees) == secrets.TREES and len(names) == 13
+    with pytest.raises(ValueError):
+        secrets.train(secrets.labelled(spark).where("label = 1"))
+
+
+def test_toxicity(spark, odd):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(80)]
+    clean = [" ".join(rng.choice(words, 70)).encode() for _ in range(200)]
+    toxic = [x + b" vileword " + x[:100] if i % 2 else b"vileword " + x for i, x in enumerate(clean[:80])]
+    model = toxicity.fit_texts(clean[80:] + toxic[:60], np.array([0] * 120 + [1] * 60), 1 / 3)
+    assert model.answer(toxic[60:])["score"].min() > model.answer(clean[80:])["score"].max()
+    got = toxicity.digest(odd, spark.createDataFrame([(3, 1), (99, 0), (4, None)], "doc_id long, toxic int")).collect()
+    assert len(got) == 11 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_gradients():
+    net = toxicity.Network(np.array([5, 9]))
+    x = np.random.default_rng(0).standard_normal((4, 3 * toxicity.DIM))
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    ids, mask = np.array([[0, 1], [2, 3], [3, 0]]), np.array([[1.0, 1], [1, 1], [1, 0]])
+    _, kept = net.run(x, ids, mask, keep=True)
+    g, d_x = net.backward(x, ids, mask, kept, np.array([1.0, -0.5]))
+    loss = lambda: float(net.run(x, ids, mask) @ np.array([1.0, -0.5]))
+    for k in ("Uf", "Wb", "A", "a", "o"):
+        flat, at = net.p[k].reshape(-1), 1
+        was, e = flat[at], 1e-3
+        flat[at] = was + e
+        up = loss()
+        flat[at] = was - e
+        down = loss()
+        flat[at] = was
+        assert abs((up - down) / (2 * e) - g[k].reshape(-1)[at]) < 2e-3, k
+
+
+@pytest.mark.parametrize("hot", [256, 2])
+def test_suffix_dedup(spark, odd, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    docs = table(spark, SF, "documents").limit(80).select("doc_id", "text")
+    got, seen = by_id(suffix_dedup.digest(docs)), set()
+    for i, text in sorted((r["doc_id"], r["text"].encode()) for r in docs.collect()):
+        gone = np.zeros(len(text), bool)
+        for k in range(len(text) - 99):
+            if text[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(text[k : k + 100])
+        kept = bytes(b for b, g in zip(text, gone, strict=True) if not g)
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    if hot == 256:
+        odd_got = by_id(suffix_dedup.dedup(odd))
+        assert odd_got[0]["n_bytes"] == 0 and odd_got[5]["n_removed"] == len(LONG) - 10
+
+
+def test_repeated_against_plain_search():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        base, least = bytes(rng.choice(list(b"abc"), 50).tolist()), int(rng.integers(1, 8))
+        parts = [base[k : k + int(rng.integers(1, 30))] for k in rng.integers(0, 40, 6)]
+        want = defaultdict(set)
+        for i, p in enumerate(parts):
+            for k in range(len(p) - least + 1):
+                want[p[k : k + least]].add((i, k))
+        begin = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
+        place, group = suffix_dedup.repeated(parts, least)
+        got = defaultdict(set)
+        for p, g in zip(place, group, strict=True):
+            i = int(np.searchsorted(begin, p, "right") - 1)
+            got[g].add((i, int(p - begin[i])))
+        assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_decontamination(spark, odd):
+    item = "the quick brown fox jumps over the lazy dog while nine green birds look on from the old oak tree nearby"
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "short")], "item_id long, text string")
+    edited = item.replace("quick", "quack").replace("birds", "bird")
+    rows = [(1, "before " + item.upper() + " after"), (2, "say " + edited + " end"), (3, "the quick brown fox jumps over something else and goes home"), (4, None), (5, "")]
+    got = by_id(decontaminate.screen(spark.createDataFrame(rows, "doc_id long, text string"), bench))
+    assert [got[i]["kept"] for i in range(1, 6)] == [False, False, True, True, True]
+    assert got[1]["min_edits"] == 0 and got[2]["min_edits"] == 2 and got[1]["item_ids"] == [1]
+    assert all(r["kept"] for r in decontaminate.screen(odd, bench.limit(0)).collect())
+
+
+def test_minhash(spark, odd):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(6):
+        base = [f"w{x}" for x in rng.integers(0, 500, 60)]
+        for v in range(8):
+            copy = list(base)
+            for _ in range(v // 3):
+                copy[rng.integers(0, 60)] = f"z{rng.integers(0, 9999)}"
+            rows.append((g * 10 + v, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(a):
+        return a if parent[a] == a else find(parent[a])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    got = by_id(minhash.group(docs))
+    assert all(got[i]["component_id"] == find(i) and got[i]["n_shingles"] == len(sets[i]) for i in sets)
+    found = by_id(minhash.label(odd))
+    assert found[6]["component_id"] == 3 and found[0]["n_shingles"] == 0 and found[None]["kept"] and found[1]["component_id"] == 1
+    assert minhash.group(odd.limit(0)).count() == 0
+
+
+def test_language_id(spark, odd):
+    docs = table(spark, SF, "documents")
+    model = langid.fit(docs)
+    got = langid.predict(docs, model).where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1").selectExpr("avg(cast(lang_pred = lang as int))").first()[0]
+    assert got > 0.9
+    odd_got = by_id(langid.predict(odd, model))
+    assert [odd_got[i]["lang_pred"] for i in (0, 1, 2, 7)] == ["und"] * 4 and "Score" not in odd_got[0].asDict()
+    assert langid.keep_known(odd.limit(0)).count() == 0
+
+
+def test_urls(spark):
+    pages = [
+        (0, None), (1, "no url"), (2, "https://A.Example.NET/en/x?q"), (3, "http://x.net"), (4, "http://x.net/a"), (5, "http://example.com/de/1"),
+        (6, "https://a.b.org/fr/#t"), (7, "http://www.SPAM-farm.example.org/en"), (8, "http://fine.example.org/en"), (9, "http://xexample.net?/en/"),
+    ]
+    got = {r["page_id"]: r for r in urls.digest(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert [got[i]["verdict"] for i in range(10)] == ["allow", "allow", "allow", "allow", "block", "block", "allow", "block", "allow", "allow"]
+    assert (got[2]["rule"], got[4]["rule"], got[3]["rule"], got[9]["path"]) == ("example.net/en/", "net/", None, "")
+    universe = spark.range(20000).selectExpr("cast(id as string) as key")
+    listed = universe.where("cast(key as int) % 37 = 0")
+    cascade = urls.Cascade(universe, listed)
+    assert len(cascade.levels) > 1
+    assert universe.select(cascade.has(universe["key"]).alias("y"), (universe["key"].cast("int") % 37 == 0).alias("w")).where("y <> w").count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF)
+    assert out.where("NOT round_trip").count() == 0 and 0 < out.count() <= 200
