@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestone.config import DEFAULTS
 from lodestone.functions import text as T
@@ -36,7 +37,7 @@ def docx_text(data: bytes) -> str:
     return "".join(out).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _docx(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in it:
         yield batch.map(docx_text)
