@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, map_chunks, splitmix, spread
 from lodestone.llm.sentencepiece_codec import BASE, INVERSE, powers
 
-LEAST, GRAM, HOT, CHUNK = 100, 36, 256, 1 << 17
+LEAST, GRAM, HOT, CHUNK = 100, 36, 256, 1 << 15
 #: From one length of gram to the next; a step is at most half of what is left, or all of it.
 LENGTHS = {36: 68, 68: 84, 84: 100}
 _PLACE = np.uint64((1 << 24) - 1)
@@ -259,7 +259,7 @@ def spans(docs: DataFrame) -> DataFrame:
     kinds = least.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
     wanted = least.join(kinds, "h").groupBy("doc").agg(F.collect_list(F.struct("s", "n", "h", "g", "r", "c", "k")).alias("rows"))
     fields = REGIONS.replace("b:", "c:long,b:") + ", done array<struct<h:long,r:long>>"
-    got = cut(map_chunks(keyed.join(wanted.hint("merge"), "doc"), ["text", "rows"], fetch, fields, ["doc"], 1 << 17))
+    got = cut(map_chunks(keyed.join(wanted.hint("merge"), "doc"), ["text", "rows"], fetch, fields, ["doc"], 1 << 15))
     firsts, done = got.selectExpr("doc", "inline(regions)"), got.selectExpr("doc as d1", "inline(done)")
     copied, length, out = done.join(least.select("h", "r", F.col("s").alias("s1")).hint("merge"), ["h", "r"]).select("h", "r", "d1", "s1"), GRAM, []
     out.append(rows.select("h", "r", "doc", "s", "n").join(cut(copied).hint("merge"), ["h", "r"]).where("doc <> d1 OR s <> s1").select("doc", F.col("s").alias("lo"), (F.col("s") + F.col("n") + (LEAST - 1)).alias("hi")))
