@@ -8,7 +8,7 @@ the input. Equal windows of 100 bytes are brought together by anchors, and found
 2. Equal regions are pre-aggregated to the earliest and a count. An anchor with more than ``HOT`` different regions is
    split by longer grams of 68 and then 84 bytes (extended to the left for windows that reach so far, else to the right),
    and what is still too much by whole windows.
-3. Whole anchor groups, a few hundred kilobytes at a time, are one text (a repeated region twice, separators unique).
+3. Whole anchor groups, a few hundred kilobytes at a time, are one text (a repeated region twice, parts separated).
    Intervals of its suffix array are extended backward breadth first (Beller et al. 2013): common prefixes come out by
    increasing value, and the extension stops at 100. Suffixes whose common prefix was not derived share 100 bytes; of
    each such class all but the earliest are marked, and copies of a region take over what its second copy got.
@@ -93,51 +93,68 @@ def extend(rows: list[bytes], s: list, n: list, g: list, length: int) -> dict:
     return {"regions": out}
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and its inverse, by prefix doubling from three symbols on. The last symbol must be unique."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes by their first ``depth`` symbols at least (ties in any order), and the place of each; by prefix doubling.
+
+    text: bytes plus one, 0 a separator. All separators are alike here, as no common prefix reaches over one. Keys begin
+    with seven symbols of nine bits.
+    """
     n = len(text)
-    pad = np.append(text, [0, 0])
-    key = (pad[:n] + 1) << 42 | (pad[1 : n + 1] + 1) << 21 | (pad[2 : n + 2] + 1)
-    step = 3
+    pad = np.append(text.astype(np.int64) + 1, np.zeros(6, np.int64))
+    key = np.zeros(n, np.int64)
+    for k in range(7):
+        key = key << 9 | pad[k : n + k]
+    step = 7
     while True:
         order = np.argsort(key)
+        if step >= depth:
+            break
+        ranked = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, np.diff(key[order]) != 0))
-        if rank[order[-1]] == n - 1:
-            return order, rank
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 1) + after
+        rank[order] = np.cumsum(np.append(1, ranked[1:] != ranked[:-1]))
+        if rank[order[-1]] == n:
+            break
+        key = rank << 32
+        key[: n - step] |= rank[step:]
         step *= 2
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    return order.astype(np.int32), place
 
 
 def repeated(parts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Places in the parts (each followed by one separator) whose ``least`` bytes occur elsewhere, and their classes."""
-    m = len(parts)
-    text = np.concatenate([x for i, p in enumerate(parts) for x in (np.frombuffer(p, np.uint8).astype(np.int64) + m, [m - 1 - i])])
-    order, rank = suffix_array(text)
+    text = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.int16) + 1
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    text[ends] = 0
+    order, rank = suffix_order(text, least)
     n = len(text)
     back = rank[order - 1]  # where the suffix one symbol longer stands; order 0 wraps to a separator, which never extends
     symbol, start = text[order - 1], text[order]
-    common = np.full(n + 1, -1, np.int64)
+    common = np.full(n + 1, -1, np.int32)
     common[0] = common[n] = 0
-    lo, hi, tag = np.zeros(1, np.int64), np.full(1, n - 1), np.empty(n, np.int64)
+    lo, hi, tag, flag = np.zeros(1, np.int64), np.full(1, n - 1), np.empty(n, np.int32), np.zeros(n, bool)
     for value in range(least):
         size = hi - lo + 1
-        at, of = spread(lo, size), np.repeat(np.arange(len(lo)), size)
-        real = symbol[at] >= m
-        to, of = back[at[real]], of[real]
+        at, of = spread(lo, size), np.repeat(np.arange(len(lo), dtype=np.int32), size)
+        real = symbol[at] > 0
+        to = back[at[real]]
         if not len(to):
             break
-        tag[to] = of
-        to = np.sort(to)
-        cutoff = np.flatnonzero((np.diff(to) != 1) | (np.diff(tag[to]) != 0) | (np.diff(start[to]) != 0))
+        tag[to] = of[real]
+        if len(to) > n >> 5:  # in order: by marks where they are many, else by sorting
+            flag[to] = True
+            to = np.flatnonzero(flag)
+            flag[to] = False
+        else:
+            to = np.sort(to).astype(np.int64)
+        group, first = tag[to], start[to]
+        cutoff = np.flatnonzero((to[1:] - to[:-1] != 1) | (group[1:] != group[:-1]) | (first[1:] != first[:-1]))
         lo, hi = to[np.append(0, cutoff + 1)], to[np.append(cutoff, len(to) - 1)]
         new = common[hi + 1] < 0
         common[hi[new] + 1] = value
         lo, hi = lo[new], hi[new]
     # too near a separator to have a window: such a suffix is in no class, and cuts off its neighbours
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     short = (np.repeat(ends, np.diff(np.append(-1, ends))) - np.arange(n) < least)[order]
     common[:n][short] = 0
     common[1:][short] = 0
@@ -145,7 +162,7 @@ def repeated(parts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.nda
     if not len(same):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     inside = np.union1d(same, same - 1)
-    return order[inside], np.cumsum(common[inside] >= 0)
+    return order[inside].astype(np.int64), np.cumsum(common[inside] >= 0)
 
 
 def hashes(texts: list[bytes]) -> pa.Array:
