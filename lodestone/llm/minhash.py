@@ -42,6 +42,22 @@ COLLISIONS = 0.1699 * 2.0 ** (8 - MANTISSA + 1)
 SHORT = 128
 
 
+#: All pairs that share a shingle: for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.label FROM r JOIN e ON e.x = r.node WHERE r.label < e.y),
+m AS (SELECT node, min(label) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM m LEFT JOIN n ON n.doc_id = m.node JOIN (SELECT doc_id FROM documents) d ON d.doc_id = m.node
+"""
+
+
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes, text after text, and the number in each."""
     lists = [x.lower().split() for x in texts]

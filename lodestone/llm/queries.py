@@ -71,5 +71,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op6_suffix_dedup": suffix_dedup.ORACLE,
+    "op8_minhash_near_dedup": minhash.ORACLE,
     "op10_url_filters": urls.ORACLE,
 }

@@ -38,6 +38,24 @@ LENGTHS = {36: 68, 68: 84, 84: 100}
 _PLACE = np.uint64((1 << 24) - 1)
 
 
+#: Every 100-byte string in hexadecimal: for small tables.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, len(h) // 2 AS n FROM t),
+w AS (SELECT doc_id, p, substring(h, 2 * p + 1, 200) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM t WHERE len(h) >= 200)),
+d AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM w) WHERE r > 1),
+s AS (SELECT *, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS fresh FROM d),
+g AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s),
+m AS (SELECT doc_id, run, min(p) AS lo, max(p) + 100 AS hi FROM g GROUP BY 1, 2),
+c AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS prior FROM m),
+k AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS upto,
+      string_agg(substring(h, 2 * prior + 1, 2 * (lo - prior)), '' ORDER BY lo) AS kept FROM c JOIN t USING (doc_id) GROUP BY 1)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(upto, 0) + 1))) AS kept_sha256
+FROM t JOIN b ON b.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
+"""
+
+
 def anchors(texts: list[bytes]) -> dict:
     """Of each text its regions: first window, number of windows, the anchor's hash and place, the hash of the bytes."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))

@@ -35,14 +35,15 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
-def test_line_dedup_against_sql(spark):
+def test_dedup_against_sql(spark):
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.execute(ORACLES["op1_line_dedup"]).df().sort_values("doc_id")
-    got = QUERIES["op1_line_dedup"](spark, SF).toPandas().sort_values("doc_id")[want.columns]
-    assert got.astype(str).values.tolist() == want.astype(str).values.tolist()
+    for name in ("op1_line_dedup", "op6_suffix_dedup", "op8_minhash_near_dedup"):
+        want = con.execute(ORACLES[name]).df().sort_values("doc_id")
+        got = QUERIES[name](spark, SF).toPandas().sort_values("doc_id")[want.columns]
+        assert got.astype(str).values.tolist() == want.astype(str).values.tolist(), name
 
 
 def test_quality_counts(spark, odd):
