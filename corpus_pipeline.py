@@ -43,7 +43,7 @@ STAGES = [
     ("SentencePiece encoding", tokenise),
 ]
 
-#: Language ID and the piece codec have no SQL form; tests compare the pipeline with a plain version.
+#: Language ID and the piece codec have no SQL form.
 ORACLE_SQL = None
 
 
