@@ -1,11 +1,12 @@
 """Quality rules: counted base rules, and bands on the perplexity of a character n-gram model.
 
-The model is modified Kneser-Ney over characters within words, one for each language (the 15 commonest values of
-``lang``; the others and null share one). Characters fold to 63 classes, so an n-gram is an integer of 6 bits a
-character and the number of different n-grams, hence the size of the model, has a bound whatever the corpus: the highest
-order of at most 5 that has up to ``MOST`` n-grams is taken, and order 3 cannot exceed 16 * 64^3 (4.2 million). Spark counts the
-n-grams of every word of every text; lower orders count different left neighbours. The model is kept as sorted arrays
-of hashed keys with probabilities and back-off weights.
+The model is modified Kneser-Ney over characters within words, one for each value of ``lang`` (null is one too), of one
+order whatever the corpus. Characters are coded as symbols of 6 bits without loss: a-z as one, other code points below
+U+07C0 as two (block, place in it), the rest as four; so an n-gram of symbols is an integer, no two characters fold
+together, and the order reaches over fewer characters outside a-z. Spark counts the n-grams of every word of every text
+and works out the probabilities; lower orders count different left neighbours. The model grows with the corpus: its tables
+are ranges of sorted keys, written by tasks as arrays into the shared folder, which must be mounted on all machines, and
+mapped into memory by those who score. Only the ranges' first keys and file names come to the driver.
 
 Bands: within a language, a document's logarithm of perplexity (over all its words) may lie ``LOW`` times the quartile
 distance under the median or ``HIGH`` times above it; others are rejected. The mean over few words varies more, so under
@@ -19,51 +20,62 @@ rejected by a band). Equal rows get equal answers. Clashing columns are replaced
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_bytes, cut, lookup, map_chunks, splitmix
+from lodestone.llm.common import as_bytes, cut, lookup, map_chunks, shared_dir, splitmix
 
-ORDER, LANGS, MOST = 5, 15, 3_000_000
+ORDER = 5
+RANGE = 1_000_000  # about so many keys a file
 LOW, HIGH, STEADY = 8.0, 8.0, 150
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 
 
-def _classes() -> np.ndarray:
-    """The class of each code point: 0 a word's edge, a-z, digits, capitals, ASCII marks, the rest by hash."""
+def _symbols() -> tuple[np.ndarray, np.ndarray]:
+    """The first symbol of each code point and how many it takes; a space stands for a word's edge, which is symbol 0."""
     c = np.arange(0x110000, dtype=np.int64)
-    out = 46 + (c * 0x9E3779B1 >> 7) % 17
-    out[:128] = 34 + c[:128] % 12
-    out[ord("a") : ord("z") + 1] = 1 + np.arange(26)
-    out[ord("0") : ord("9") + 1] = 27
-    out[ord("A") : ord("Z") + 1] = 28 + np.arange(26) % 6
-    out[ord(" ")] = 0
-    return out.astype(np.uint8)
+    first, many = np.where(c < 0x7C0, 27 + (c >> 6), 58 + (c >> 18)), np.where(c < 0x7C0, 2, 4)
+    first[ord("a") : ord("z") + 1], many[ord("a") : ord("z") + 1] = 1 + np.arange(26), 1
+    first[ord(" ")], many[ord(" ")] = 0, ORDER - 1
+    return first.astype(np.uint8), many.astype(np.uint8)
 
 
-CLASSES = _classes()
+FIRST, MANY = _symbols()
 
 
-def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The key of order ORDER at each predicted character (a word's characters and its end), and its word's number."""
+def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The key of order ORDER at each predicted symbol (a word's symbols and its end), its word's number, and whether it starts a character."""
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pad = b" " * (ORDER - 1)
-    text = (pad + pad.join(words) + pad).decode("utf-8", "replace")
-    cls = CLASSES[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].astype(np.int64)
-    key = np.zeros(len(cls) - ORDER + 1, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    text = b" " + b" ".join(words) + b" "
+    code = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    many, space = MANY[code].astype(np.int64), code == ord(" ")
+    at = np.cumsum(many) - many
+    total = int(at[-1]) + 1  # the last edge needs no room after it
+    symbols, real, starts = np.zeros(total, np.int64), np.ones(total, bool), np.zeros(total, bool)
+    symbols[at], starts[at] = FIRST[code], True
+    for k in range(1, ORDER - 1):
+        real[at[:-1][space[:-1]] + k] = False
+    two, four = np.flatnonzero((many == 2) & ~space), np.flatnonzero((many == 4) & ~space)
+    symbols[at[two] + 1] = code[two] & 63
+    for k in (1, 2, 3):
+        symbols[at[four] + k] = code[four] >> 6 * (3 - k) & 63
+    ends = np.zeros(total, bool)
+    ends[at[space]] = True
+    key = np.zeros(total - ORDER + 1, np.int64)
     for k in range(ORDER):
-        key = key << 6 | cls[k : len(cls) - ORDER + 1 + k]
-    here, before = cls[ORDER - 1 :], cls[ORDER - 2 : -1]
-    real = (here != 0) | (before != 0)
-    ends = (here == 0) & (before != 0)
-    return key[real], (np.cumsum(ends) - ends)[real]
+        key = key << 6 | symbols[k : total - ORDER + 1 + k]
+    real, starts, ends = real[ORDER - 1 :], starts[ORDER - 1 :], ends[ORDER - 1 :]
+    return key[real], (np.cumsum(ends) - ends)[real], starts[real]
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -74,100 +86,153 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         def out(lang: int) -> pd.DataFrame:
             words = held.pop(lang)
-            key, word = grams_of(list(words))
+            key, word, _ = grams_of(list(words))
             n = np.fromiter(words.values(), np.int64, len(words))
             keys, inverse = np.unique(key, return_inverse=True)
-            return pd.DataFrame({"lang": np.int32(lang), "gram": keys, "n": np.bincount(inverse, weights=n[word], minlength=len(keys)).astype(np.int64)})
+            return pd.DataFrame({"lang": np.int64(lang), "gram": keys, "n": np.bincount(inverse, weights=n[word], minlength=len(keys)).astype(np.int64)})
 
+        size = 0
         for frame in it:
             for lang, text in zip(frame["lang"], as_bytes(frame["text"]), strict=True):
-                held.setdefault(lang, Counter()).update(text.split())
-                if len(held[lang]) > 300_000:
-                    yield out(lang)
-        for lang in list(held):
-            yield out(lang)
-
-    return docs.mapInPandas(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                words = held.setdefault(lang, Counter())
+                size -= len(words)
+                words.update(text.split())
+                size += len(words)
+                if size > 600_000:
+                    yield from map(out, list(held))
+                    size = 0
+        yield from map(out, list(held))
+
+    return docs.mapInPandas(count, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+class Sorted:
+    """Keys in ranges of sorted arrays in files, with values, mapped into memory where they are looked up."""
+
+    def __init__(self, ranges: list):
+        ranges = sorted(ranges, key=lambda r: r["first"])
+        self.first = np.array([r["first"] for r in ranges], np.int64)
+        self.files, self.open = [(r["path"], r["rows"]) for r in ranges], {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"open": {}}
+
+    def find(self, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which probes are there, and their values (0 where not)."""
+        found, values = np.zeros(len(probes), bool), np.zeros(len(probes))
+        ranges = np.searchsorted(self.first, probes, "right") - 1
+        for i in np.unique(ranges[ranges >= 0]):
+            if i not in self.open:
+                path, n = self.files[i]
+                self.open[i] = np.memmap(path, np.int64, "r", shape=n), np.memmap(path, np.float32, "r", 8 * n, n)
+            keys, held = self.open[i]
+            mine = np.flatnonzero(ranges == i)
+            at = lookup(keys, probes[mine])
+            found[mine], values[mine] = at >= 0, np.where(at >= 0, held[at], 0)
+        return found, values
+
+
+def write_sorted(table: DataFrame) -> Sorted:
+    """Sort (key, value) over all tasks; each writes its range of keys as a file of the shared folder."""
+    folder = shared_dir(table.sparkSession)
+    if "://" in (folder := folder.removeprefix("file://")):
+        raise ValueError(f"the model's arrays need a mounted folder, not {folder}")
+    folder = folder.removeprefix("file:") + "/lodestone"
+
+    def write(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, rows, path = None, 0, f"{folder}/{uuid.uuid4().hex}"
+        os.makedirs(folder, exist_ok=True)
+        with open(path + ".bin", "wb") as keys, open(path + ".values", "w+b") as values:
+            for frame in it:
+                if len(frame):
+                    first, rows = int(frame["key"].iloc[0]) if first is None else first, rows + len(frame)
+                    keys.write(frame["key"].to_numpy(np.int64).tobytes())
+                    values.write(frame["value"].to_numpy(np.float32).tobytes())
+            values.seek(0)
+            while block := values.read(1 << 24):
+                keys.write(block)
+        os.remove(path + ".values")
+        if rows:
+            yield pd.DataFrame({"first": [first], "rows": [rows], "path": [path + ".bin"]})
+
+    table = cut(table)
+    parts = table.count() // RANGE + 1
+    return Sorted(table.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInPandas(write, "first long, rows long, path string").collect())
 
 
 class Model:
-    """For each order: sorted hashed keys of (language, n-gram) with log-probability; of contexts with log back-off."""
-
-    def __init__(self, names: list[str], counts: dict[int, pd.DataFrame]):
-        """counts: for each order from 1 to the highest, columns lang, gram, n (raw counts at the top, left neighbours below)."""
-        self.names, self.order = names, max(counts, default=0)
-        self.probs, self.backs = {}, {}
-        lower: dict[str, np.ndarray] = {}
-        for n in sorted(counts):
-            t = counts[n]
-            lang, gram, c = t["lang"].to_numpy(np.int64), t["gram"].to_numpy(np.int64), t["n"].to_numpy(np.float64)
-            d = np.zeros((len(names) + 1, 4))
-            for v in np.unique(lang):
-                m = [max(1, int(((lang == v) & (c == k)).sum())) for k in (1, 2, 3, 4)]
-                y = m[0] / (m[0] + 2 * m[1])
-                d[v, 1:] = np.clip([1 - 2 * y * m[1] / m[0], 2 - 3 * y * m[2] / m[1], 3 - 4 * y * m[3] / m[2]], 0.1, [0.95, 1.9, 2.9])
-            off = d[lang, np.minimum(c, 3).astype(int)]
-            _, first, ctx = np.unique(lang << 32 | gram >> 6, return_index=True, return_inverse=True)
-            total = np.bincount(ctx, weights=c)
-            gamma = np.bincount(ctx, weights=off) / total
-            if n == 1:
-                below = np.full(len(c), 1 / 64)
-            else:
-                at = lookup(lower["keys"], self.key(n - 1, lang, gram & (1 << 6 * (n - 1)) - 1))
-                below = lower["p"][at]
-            p = (c - off) / total[ctx] + gamma[ctx] * below
-            keys = self.key(n, lang, gram)
-            order = np.argsort(keys)
-            lower = {"keys": keys[order], "p": p[order]}
-            self.probs[n] = keys[order], np.log(p[order]).astype(np.float32)
-            back = self.key(n, lang[first], gram[first] >> 6)
-            order = np.argsort(back)
-            self.backs[n] = back[order], np.log(gamma[order]).astype(np.float32)
+    """log-probabilities of (language, n-gram) of each order, and log back-off of contexts. Language numbers are in ``langs``."""
+
+    def __init__(self, langs: DataFrame, probs: Sorted, backs: Sorted):
+        self.langs, self.probs, self.backs = langs, probs, backs
+        self.order = ORDER if probs.files else 0
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"langs": None}
 
     @staticmethod
     def key(n: int, lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        return splitmix(lang << 40 | np.int64(n) << 36 | gram)
+        return lang << 40 | np.int64(n) << 36 | gram
 
     def logs(self, lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        """The log-probability of each n-gram's last character after the others."""
+        """The log-probability of each n-gram's last symbol after the others."""
         out, todo = np.zeros(len(gram)), np.arange(len(gram))
         for n in range(self.order, 0, -1):
             g = gram[todo] & (1 << 6 * n) - 1
-            keys, values = self.probs[n]
-            at = lookup(keys, self.key(n, lang[todo], g))
-            out[todo[at >= 0]] += values[at[at >= 0]]
-            todo, g = todo[at < 0], g[at < 0]
-            keys, values = self.backs[n]
-            at = lookup(keys, self.key(n, lang[todo], g >> 6))
-            out[todo[at >= 0]] += values[at[at >= 0]]
+            found, values = self.probs.find(self.key(n, lang[todo], g))
+            out[todo] += values
+            todo, g = todo[~found], g[~found]
+            if not len(todo):
+                break
+            out[todo] += self.backs.find(self.key(n, lang[todo], g >> 6))[1]
         out[todo] += np.log(1 / 64)
         return out
 
 
-def number_langs(docs: DataFrame) -> list[str]:
-    rows = docs.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
-    return [r["lang"] for r in rows]
+def number_langs(docs: DataFrame) -> DataFrame:
+    """(__ld_name, __ld_lang): a number for each value of lang, null too; the commonest has 0."""
+    found = docs.groupBy("lang").count()
+    return cut(found.select(F.col("lang").alias("__ld_name"), (F.row_number().over(Window.orderBy(F.desc("count"), "lang")) - 1).cast("long").alias("__ld_lang")))
+
 
+def with_number(docs: DataFrame, langs: DataFrame) -> DataFrame:
+    """docs with __ld_lang; -1 for a language that is not in langs."""
+    out = docs.join(F.broadcast(langs), docs["lang"].eqNullSafe(langs["__ld_name"]), "left").drop("__ld_name")
+    return out.withColumn("__ld_lang", F.coalesce("__ld_lang", F.lit(-1).cast("long")))
 
-def lang_number(names: list[str]):
-    if not names:
-        return F.lit(0)
-    known = F.create_map(*[x for i, v in enumerate(names) for x in (F.lit(v), F.lit(i))])
-    return F.coalesce(F.try_element_at(known, F.col("lang")), F.lit(len(names)))
+
+def estimate(n: int, counts: DataFrame, lower: DataFrame | None) -> DataFrame:
+    """(lang, gram, p, gamma) of order n from counts (raw at the top, left neighbours below) and p of the next lower order."""
+    m = counts.groupBy("lang").agg(*[F.greatest(F.lit(1), F.count(F.when(F.col("n") == k, 1))).alias(f"m{k}") for k in (1, 2, 3, 4)])
+    y = F.col("m1") / (F.col("m1") + 2 * F.col("m2"))
+    off = [F.least(F.lit(most), F.greatest(F.lit(0.1), k - (k + 1) * y * F.col(f"m{k + 1}") / F.col(f"m{k}"))).alias(f"d{k}") for k, most in ((1, 0.95), (2, 1.9), (3, 2.9))]
+    t = counts.join(F.broadcast(m.select("lang", *off)), "lang")
+    t = t.select("lang", "gram", "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("off"), F.shiftright("gram", 6).alias("ctx"))
+    after = Window.partitionBy("lang", "ctx")  # 64 rows at most
+    t = t.withColumn("total", F.sum("n").over(after)).withColumn("gamma", F.sum("off").over(after) / F.col("total"))
+    own = (F.col("n") - F.col("off")) / F.col("total")
+    if lower is None:
+        return t.select("lang", "gram", (own + F.col("gamma") / 64).alias("p"), "gamma")
+    t = t.withColumn("low", F.col("gram").bitwiseAND((1 << 6 * (n - 1)) - 1))
+    return t.join(lower.select("lang", F.col("gram").alias("low"), F.col("p").alias("below")), ["lang", "low"]).select("lang", "gram", (own + F.col("gamma") * F.col("below")).alias("p"), "gamma")
 
 
 def fit(docs: DataFrame) -> Model:
-    """Count over all documents and build the model; only its bounded tables come to the driver."""
-    names = number_langs(docs)
-    top = cut(count_grams(docs.select(lang_number(names).alias("lang"), "text")))
-    order, tables = ORDER, {ORDER: top}
-    while order > 3 and tables[order].count() > MOST:  # raw counts of the next lower order, whose key space is smaller
-        order -= 1
-        tables = {order: tables[order + 1].groupBy("lang", (F.col("gram").bitwiseAND((1 << 6 * order) - 1)).alias("gram")).agg(F.sum("n").alias("n"))}
-    for n in range(order - 1, 0, -1):
-        tables[n] = tables[n + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << 6 * n) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    counts = {n: t.toPandas() for n, t in tables.items()}
-    return Model(names, {} if counts[order].empty else counts)
+    """Count over all documents and build the model as sorted files."""
+    langs = number_langs(docs)
+    tables = {ORDER: cut(count_grams(with_number(docs.select("lang", "text"), langs).select(F.col("__ld_lang").alias("lang"), "text")))}
+    for n in range(ORDER - 1, 0, -1):
+        tables[n] = cut(tables[n + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << 6 * n) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    lower, every = None, []
+    for n in range(1, ORDER + 1):
+        lower = cut(estimate(n, tables[n], lower))
+        every.append((n, lower))
+
+    def keyed(table: DataFrame, n: int, gram, value: str) -> DataFrame:
+        return table.select((F.shiftleft("lang", 40) + F.lit(n << 36) + gram).alias("key"), F.log(value).cast("float").alias("value"))
+
+    probs, backs = (keyed(t, n, F.col("gram"), "p") for n, t in every), (keyed(t.select("lang", F.shiftright("gram", 6).alias("ctx"), "gamma").groupBy("lang", "ctx").agg(F.first("gamma").alias("gamma")), n, F.col("ctx"), "gamma") for n, t in every)
+    return Model(langs, *(write_sorted(reduce(DataFrame.union, x)) for x in (probs, backs)))
 
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -210,13 +275,14 @@ def measure(texts: list[bytes], langs: np.ndarray, model: Model) -> dict:
         np.add.at(covered, at + WINDOW, -1)
     repeated = (np.cumsum(covered[:-1]) > 0).astype(np.int64)
     words = list(ids)
-    pair, back = np.unique(flat << 8 | langs.astype(np.int64)[doc], return_inverse=True)
-    gram, word = grams_of([words[i] for i in pair >> 8])
+    kinds, lang = np.unique(langs, return_inverse=True)
+    pair, back = np.unique(flat * len(kinds) + lang[doc], return_inverse=True)
+    gram, word, starts = grams_of([words[i] for i in pair // max(1, len(kinds))])
     if model.order and len(gram):
-        log = np.bincount(word, weights=model.logs((pair & 255)[word], gram), minlength=len(pair))
-        length = np.bincount(word, minlength=len(pair))
+        log = np.bincount(word, weights=model.logs(kinds[pair % len(kinds)][word], gram), minlength=len(pair))
+        length = np.bincount(word[starts], minlength=len(pair))
         log, length = _sums(log[back], ends), _sums(length[back], ends)
-        ppl = np.where(length > 0, -log / np.maximum(length, 1), np.nan)
+        ppl = np.where(length > 0, np.round(-log / np.maximum(length, 1), 9), np.nan)  # sums depend on what stands before in the run
     else:
         ppl = np.full(len(texts), np.nan)
     return {"n_words": n, "word_chars": _sums(_COUNTED[data], upto), "n_symbols": _sums(_SYMBOL[data], upto), "n_dup_lines": np.array(dups, np.int64), "n_repeat_words": _sums(repeated, ends), "log_ppl": ppl}
@@ -227,16 +293,16 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns ``keep``) with the counts of the base rules, log_ppl, lang_no and base_failed."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST n-grams an order
-    fields = ", ".join(f"{c} long" for c in STATS) + ", log_ppl double, lang_no int"
-    numbered = docs.withColumn("__ld_lang", lang_number(model.names).cast("int"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # names of files
+    fields = ", ".join(f"{c} long" for c in STATS) + ", log_ppl double, lang_no long"
+    numbered = with_number(docs, model.langs)
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "base_failed"]
     out = map_chunks(numbered, ["text", "__ld_lang"], lambda texts, langs: measure(texts, np.array(langs, np.int64), shared.value) | {"lang_no": langs}, fields, keep)
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def judge(scored: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """scored with ppl_low, ppl_high (of the logarithm) and kept. Bands: one row a language, 16 at most."""
+    """scored with ppl_low, ppl_high (of the logarithm) and kept. Bands: one row a language."""
     q = F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000)
     bands = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy("lang_no").agg(q.alias("q"))
     at = F.col("q")

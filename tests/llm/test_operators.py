@@ -234,3 +234,31 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.where("NOT round_trip").count() == 0 and 0 < out.count() <= 200
+
+
+def test_model_of_every_language(spark):
+    """20 languages in three scripts, each its own model and band; no two characters share their symbols."""
+    assert len({tuple(quality.grams_of([chr(c).encode()])[0]) for c in range(0x21, 0x3000)}) == 0x3000 - 0x21
+    scripts = ["abcdefgh", "абвгдежз", "的一是不了人我在"]
+    rng = np.random.default_rng(5)
+    text = lambda k: " ".join("".join(rng.choice(list(scripts[k % 3]), 4)) for _ in range(60))
+    rows = [(k * 10 + i, text(k), f"l{k:02d}" if k else None) for k in range(20) for i in range(10)]
+    rows.append((999, rows[11][1], "l03"))  # Cyrillic under a language of Latin text, not its own kind of text
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = quality.fit(docs)
+    scored = quality.score(docs, model).toPandas().set_index("doc_id")
+    assert scored["lang_no"].nunique() == 20 and not scored["log_ppl"].isna().any()
+    assert scored["log_ppl"][999] > scored["log_ppl"][30:40].max()
+    a, b = ("аб".encode(), "гд".encode())
+    assert (quality.grams_of([a])[0] != quality.grams_of([b])[0]).any()
+
+
+def test_model_order_is_fixed(spark, monkeypatch):
+    """The same model whatever the number of files its arrays take."""
+    docs = table(spark, SF, "documents")
+    base = by_id(quality.digest(docs))
+    monkeypatch.setattr(quality, "RANGE", 5_000)
+    model = quality.fit(docs)
+    assert model.order == quality.ORDER and len(model.probs.files) > 3
+    got = by_id(quality.digest(docs))
+    assert all(got[k]["log_ppl"] == base[k]["log_ppl"] for k in base)
