@@ -45,6 +45,15 @@ def questions(spark, sf) -> DataFrame:
     return read(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), first.alias("text"))
 
 
+#: The share of rows that the searches without an oracle ask for: ids that this divides.
+EVERY = 50
+
+
+def whole_questions(spark, sf, every: int = EVERY) -> DataFrame:
+    """Every ``every``-th benchmark item with its whole text."""
+    return read(spark, sf, "benchmark").where(F.col("item_id") % every == 0).select(F.col("item_id").alias("query_id"), "text")
+
+
 def probe(spark, sf, id: int = 7) -> list[float]:
     row = vectors(spark, sf).where(F.col("id") == id).select("embedding").first()
     return list(row[0]) if row else [0.0]
@@ -131,6 +140,11 @@ def bm25_top20(spark, sf):
     return R.bm25(docs(spark, sf), questions(spark, sf), 20)
 
 
+@query()
+def bm25_top20_whole(spark, sf):
+    return R.bm25(docs(spark, sf), whole_questions(spark, sf), 20)
+
+
 @query(f"SELECT item_id AS query_id, {TERMS.format(x='text', stop=STOP)} AS terms, array_to_string(list_transform({TERMS.format(x='text', stop=STOP)}, lambda w: '\"' || replace(w, '\"', '\"\"') || '\"'), ' OR ') AS fts FROM benchmark")
 def fts_query_terms(spark, sf):
     return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.query_terms(F.col("text")).alias("terms"), T.fts_query(F.col("text")).alias("fts"))
@@ -163,6 +177,19 @@ def hybrid_retrieve(spark, sf):
     return R.rrf(lists.union(words), 5).withColumn("score", F.round("score", 9))
 
 
+@query()
+def hybrid_retrieve_whole(spark, sf):
+    from pyspark.sql import Window
+
+    v = vectors(spark, sf)
+    asked = v.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    near = v.crossJoin(asked).select("query_id", "id", R.distance(F.col("q"), F.col("embedding")).alias("d"))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("rank") <= 20)
+    words = R.bm25(docs(spark, sf), whole_questions(spark, sf), 20)
+    lists = near.select("query_id", F.lit(0).alias("list_no"), "rank", "id").union(words.select("query_id", F.lit(1).alias("list_no"), "rank", "id"))
+    return R.rrf(lists, 5).withColumn("score", F.round("score", 9))
+
+
 @query(r"SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' ') AS text FROM pages")
 def html_strip(spark, sf):
     return read(spark, sf, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
@@ -321,12 +348,13 @@ def doc_resolve(spark, sf):
     return found.select("page_id", F.when(F.col("url") == F.col("want"), 0).otherwise(1).alias("priority")).orderBy("priority", "page_id").limit(1)
 
 
-def cases(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Questions from benchmark items, relevant: the documents that contain the item; retrieved by keywords."""
-    items = read(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+def cases(spark, sf, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Questions from benchmark items (whole: all of them, with whole texts), relevant: the documents that contain the item; retrieved by keywords."""
+    items = read(spark, sf, "benchmark").where("true" if whole else "item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     d = docs(spark, sf)
     held = d.join(F.broadcast(items), F.contains("text", "item")).groupBy("query_id").agg(F.collect_list(F.concat(F.lit("doc-"), F.col("id").cast("string"), F.lit(";"))).alias("relevant"))
-    found = R.bm25(d, questions(spark, sf), 20).select("query_id", "rank", F.concat(F.lit("doc-"), F.col("id").cast("string"), F.lit(";")).alias("source"))
+    asked = whole_questions(spark, sf, 1) if whole else questions(spark, sf)
+    found = R.bm25(d, asked, 20).select("query_id", "rank", F.concat(F.lit("doc-"), F.col("id").cast("string"), F.lit(";")).alias("source"))
     return found, held
 
 
@@ -336,7 +364,15 @@ h AS (SELECT query_id, count(*) AS n, min(rank) AS first, count(*) FILTER (WHERE
 
 @query(EVAL + " SELECT count(*) AS cases, round(avg(h1 / n), 6) AS recall_1, round(avg(h5 / n), 6) AS recall_5, round(avg(h20 / n), 6) AS recall_20, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM h")
 def eval_recall_mrr(spark, sf):
-    e = R.evaluate(*cases(spark, sf))
+    return averages(R.evaluate(*cases(spark, sf)))
+
+
+@query()
+def eval_recall_mrr_whole(spark, sf):
+    return averages(R.evaluate(*cases(spark, sf, whole=True)))
+
+
+def averages(e: DataFrame) -> DataFrame:
     mrr = F.avg(F.when(F.col("first_rank") > 0, 1 / F.col("first_rank")).otherwise(0.0))
     return e.agg(F.count(F.lit(1)).alias("cases"), *[F.round(F.avg(f"recall_{k}"), 6).alias(f"recall_{k}") for k in (1, 5, 20)], F.round(mrr, 6).alias("mrr"))
 
@@ -346,6 +382,11 @@ def eval_misses(spark, sf):
     return R.evaluate(*cases(spark, sf)).where("first_rank = 0").select("query_id")
 
 
+@query()
+def eval_misses_whole(spark, sf):
+    return R.evaluate(*cases(spark, sf, whole=True)).where("first_rank = 0").select("query_id")
+
+
 @query("SELECT event_type, s[1 + floor(0.5 * (len(s) - 1))::INT] AS p50, s[1 + floor(0.95 * (len(s) - 1))::INT] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS s FROM events GROUP BY 1)")
 def latency_pctl(spark, sf):
     return read(spark, sf, "events").groupBy("event_type").agg(R.percentile(F.col("value"), 50).alias("p50"), R.percentile(F.col("value"), 95).alias("p95"))
@@ -365,7 +406,7 @@ def index_counts(spark, sf):
 @query()
 def ann_recall(spark, sf):
     v = vectors(spark, sf)
-    asked = v.where("id < 25").select(F.col("id").alias("query_id"), "embedding").toPandas()  # a stated set of 25
+    asked = v.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "embedding").toPandas()  # a share of the rows
     got = ann.search(v, asked, 10, 64, 2)
     v2 = v.crossJoin(F.broadcast(spark.createDataFrame(pd.DataFrame({"query_id": asked["query_id"], "q": [[float(x) for x in e] for e in asked["embedding"]]}))))
     from pyspark.sql import Window

@@ -141,3 +141,21 @@ def test_catalogue_matches_its_oracles(spark):
 
     for name, sql in catalogue.ORACLES.items():
         assert flat(catalogue.QUERIES[name](spark, sf).toPandas()) == flat(con.execute(sql).df()), name
+
+
+def test_whole_searches(spark, tmp_path):
+    """Items and words that the queries with oracles leave out (ids from 10, words after the 12th) are searched and evaluated."""
+    from lodestone.plans import catalogue
+
+    same = " ".join(f"common{i}" for i in range(12))
+    items = [(i, f"{same} special{i}") for i in (3, 11, 50, 100)]
+    docs = [(i, f"other{i} text", "en", "s", 10) for i in range(40)] + [(40 + n, f"before {text} after", "en", "s", 10) for n, (_, text) in enumerate(items)]
+    vecs = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], 0) for i in range(120)]
+    for name, rows, ddl in (("benchmark", items, "item_id long, text string"), ("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("embeddings", vecs, "vec_id long, embedding array<float>, label int")):
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["query_id"]: r["id"] for r in run("bm25_top20_whole") if r["rank"] == 1} == {50: 42, 100: 43}
+    assert {r["query_id"] for r in run("hybrid_retrieve_whole")} == {0, 50, 100}
+    (e,) = run("eval_recall_mrr_whole")
+    assert (e["cases"], e["recall_1"], e["mrr"]) == (4, 1.0, 1.0) and run("eval_misses_whole") == []
+    assert 0 <= run("ann_recall")[0]["recall"] <= 1
