@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,19 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is set (tests)."""
+    """The folder that the cluster shares; a local one only where none is set and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        _MARKED.add(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+    return path
+
+
+_MARKED: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it again: the lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}.parquet"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}.parquet"
     before = spark.conf.get(CLEANUP, None)
     try:
         if before is not None:  # shuffle files go as soon as the table stands
@@ -57,14 +75,14 @@ def held_out(key: Column, modulus: int, rest: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus == rest
 
 
-def slices(lengths: np.ndarray, limit: int) -> Iterator[slice]:
-    """Runs of rows of about ``limit`` units at most; a longer row stands alone."""
+def slices(lengths: np.ndarray, limit: int, rows: int = 1 << 30) -> Iterator[slice]:
+    """Runs of at most ``rows`` rows and about ``limit`` units; a longer row stands alone."""
     start, total = 0, 0
-    for i, n in enumerate(lengths):
-        if i > start and total + n > limit:
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and (total + n > limit or i - start >= rows):
             yield slice(start, i)
             start, total = i, 0
-        total += int(n)
+        total += n
     if start < len(lengths):
         yield slice(start, len(lengths))
 
@@ -74,12 +92,13 @@ def as_bytes(texts: Iterable) -> list[bytes]:
     return [x.encode("utf-8", "replace") if isinstance(x, str) else b"" for x in texts]
 
 
-def map_chunks(df: DataFrame, inputs: list[str], f, fields: str, keep: list[str] | None = None, limit: int = 1 << 20) -> DataFrame:
-    """The columns ``keep`` of df (all by default) and the new ``fields``, made by f for runs of rows of about ``limit`` bytes.
+def map_chunks(df: DataFrame, inputs: list[str], f, fields: str, keep: list[str] | None = None, limit: int = 1 << 20, rows: int = 1 << 30) -> DataFrame:
+    """The columns ``keep`` of df (all by default) and the new ``fields``, made by f for runs of at most ``rows`` rows and
+    about ``limit`` bytes.
 
-    f gets the first of ``inputs`` as a list of bytes (null: empty) and the others as lists; it returns a dict of columns.
-    Small runs go out as they are made, so that a worker holds one run's work besides the batch it reads. A kept column
-    named like a new one is replaced.
+    f gets the first of ``inputs`` as a list of bytes (null: empty) and the others as Arrow arrays; it returns a dict of
+    columns. Only the run in hand is turned into Python objects, and runs go out as they are made, so that a worker holds one
+    run's work besides the Arrow batch it reads. A kept column named like a new one is replaced.
     """
     new = StructType.fromDDL(fields)
     names = {n.lower() for n in new.names}
@@ -94,10 +113,9 @@ def map_chunks(df: DataFrame, inputs: list[str], f, fields: str, keep: list[str]
             texts = batch.column(len(kept))
             if not pa.types.is_binary(texts.type):
                 texts = texts.cast(pa.binary())
-            texts = texts.to_pylist()
-            for s in slices(np.fromiter((len(x) if x else 0 for x in texts), np.int64, len(texts)), limit):
+            for s in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), limit, rows):
                 part = batch.slice(s.start, s.stop - s.start)
-                out = f([x or b"" for x in texts[s]], *(part.column(len(kept) + i).to_pylist() for i in range(1, len(inputs))))
+                out = f([x or b"" for x in texts[s].to_pylist()], *part.columns[len(kept) + 1 :])
                 made = [v if isinstance(v, pa.Array) else pa.array(v, type=t.type, from_pandas=True) for t in arrow_new for v in (out[t.name],)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=[*kept, *new.names])
 

@@ -16,6 +16,7 @@ through, and a clashing one is replaced.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +40,10 @@ FROM documents LEFT JOIN z ON z.doc_id = documents.doc_id
 """
 
 
-def apply_windows(texts: list[bytes], starts: list, nulls: list) -> dict:
+def apply_windows(texts: list[bytes], starts: pa.Array, nulls: pa.Array) -> dict:
     """The texts without the lines of the windows that begin at starts (lists of line numbers)."""
     out: dict[str, list] = {"text": [], "n_lines": [], "n_removed": [], "n_spans": []}
-    for text, at, null in zip(texts, starts, nulls, strict=True):
+    for text, at, null in zip(texts, starts.to_pylist(), nulls.to_pylist(), strict=True):
         lines = [] if null else text.split(b"\n")
         gone = np.zeros(len(lines) + 1, bool)
         for k in range(3):

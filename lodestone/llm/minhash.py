@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,7 +165,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _regs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, BUCKETS)
+    return np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column), np.uint16).reshape(-1, BUCKETS)
 
 
 def forest(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -193,7 +194,7 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     on = (F.col("doc_id") == F.col("rep")) & (F.col("s.k1") == F.col("c.k1")) & (F.col("s.k2") == F.col("c.k2"))
     reps = cut(real.alias("s").join(classes.alias("c"), on, "left_semi").dropDuplicates(["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "regs"))
 
-    def bands(_: list[bytes], regs: list) -> dict:
+    def bands(_: list[bytes], regs: pa.Array) -> dict:
         return {"keys": list(band_keys(_regs(regs)))}
 
     banded = map_chunks(reps, ["regs", "regs"], bands, "keys array<long>", ["doc"]).select("doc", F.explode("keys").alias("key"))
@@ -221,8 +222,8 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     chosen = docs.where(F.col("doc_id").isNotNull()).join(wanted.hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi")
     sets = cut(map_chunks(chosen, ["text"], full, "shingles binary", ["doc_id"]).withColumnRenamed("doc_id", "doc"))
 
-    def check(_: list[bytes], a: list, b: list) -> dict:
-        return {"ok": [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]}
+    def check(_: list[bytes], a: pa.Array, b: pa.Array) -> dict:
+        return {"ok": [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]}
 
     checked = pairs.join(sets.withColumnRenamed("shingles", "x").hint("merge"), "doc").join(sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("y")).hint("merge"), "centre")
     links = cut(map_chunks(checked, ["x", "x", "y"], check, "ok boolean", ["doc", "centre"]).where("ok").select(F.col("doc").alias("a"), F.col("centre").alias("b")))

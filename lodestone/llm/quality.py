@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_bytes, cut, lookup, map_chunks, shared_dir, splitmix
+from lodestone.llm.common import as_bytes, cut, lookup, map_chunks, scratch, splitmix
 
 ORDER = 5
 RANGE = 1_000_000  # about so many keys a file
@@ -134,10 +134,10 @@ class Sorted:
 
 def write_sorted(table: DataFrame) -> Sorted:
     """Sort (key, value) over all tasks; each writes its range of keys as a file of the shared folder."""
-    folder = shared_dir(table.sparkSession)
+    folder = scratch(table.sparkSession)
     if "://" in (folder := folder.removeprefix("file://")):
         raise ValueError(f"the model's arrays need a mounted folder, not {folder}")
-    folder = folder.removeprefix("file:") + "/lodestone"
+    folder = folder.removeprefix("file:")
 
     def write(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, rows, path = None, 0, f"{folder}/{uuid.uuid4().hex}"
@@ -297,7 +297,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     fields = ", ".join(f"{c} long" for c in STATS) + ", log_ppl double, lang_no long"
     numbered = with_number(docs, model.langs)
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "base_failed"]
-    out = map_chunks(numbered, ["text", "__ld_lang"], lambda texts, langs: measure(texts, np.array(langs, np.int64), shared.value) | {"lang_no": langs}, fields, keep)
+    out = map_chunks(numbered, ["text", "__ld_lang"], lambda texts, langs: measure(texts, langs.to_numpy(zero_copy_only=False), shared.value) | {"lang_no": langs}, fields, keep)
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 

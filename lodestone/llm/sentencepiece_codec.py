@@ -188,8 +188,8 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", keep:
     """df (or its columns ``keep``) with decoded_text; null ids decode to the empty text."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(rows: list[bytes], lists: list) -> dict:
-        arrays = [np.asarray(x or [], np.int32) for x in lists]
+    def run(rows: list[bytes], lists: pa.Array) -> dict:
+        arrays = [np.asarray(x or [], np.int32) for x in lists.to_pylist()]
         ends = np.append(0, np.cumsum([len(x) for x in arrays])).astype(np.int64)
         return {"decoded_text": shared.value.decode(np.concatenate([np.empty(0, np.int32), *arrays]), ends)}
 
