@@ -62,7 +62,16 @@ def cut(df: DataFrame) -> DataFrame:
     finally:
         if before is not None:
             spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_ld_path"] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that nothing to come reads."""
+    for t in tables:
+        at = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.__dict__["_ld_path"])
+        at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def with_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:

@@ -22,7 +22,7 @@ def odd(spark):
         (6, line, "en"), (None, line, "fr"), (7, "12345 !!!", "en"), (8, "▁ é\U0001f600\ttoken = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "fr"),
     ]
     made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    return made.selectExpr("*", "'s' as source", "1L as n_chars", "'x' as Score", "true as kept", "0 as h", "'d' as doc")
+    return made.selectExpr("*", "'s' as source", "1L as n_chars", "'x' as Score", "true as kept", "0 as h", "'d' as DOC")
 
 
 def by_id(df):
@@ -143,7 +143,34 @@ def test_suffix_dedup(spark, odd, hot, monkeypatch):
         assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
     if hot == 256:
         odd_got = by_id(suffix_dedup.dedup(odd))
-        assert odd_got[0]["n_bytes"] == 0 and odd_got[5]["n_removed"] == len(LONG) - 10
+        assert odd_got[0]["n_bytes"] == 0 and odd_got[5]["n_removed"] == len(LONG) - 10 and odd_got[5]["DOC"] == "d"
+        assert suffix_dedup.dedup(odd.limit(0)).count() == 0
+        nothing = spark.createDataFrame([], "doc long, lo int, hi int, h long, r long")
+        monkeypatch.setattr(suffix_dedup, "transform", lambda parts: nothing)  # all that goes is named by the transform
+        assert all(r["n_removed"] == 0 for r in suffix_dedup.digest(docs).collect())
+
+
+def test_marks_of_true_occurrences():
+    """A class's earliest occurrence stays, wherever it stands; a stretch that is given twice is one occurrence."""
+    rng = np.random.default_rng(4)
+    a, b = (bytes(rng.integers(97, 123, 130).tolist()) for _ in "ab")
+    parts, doc, at = [b + a, a, a, a[:110]], np.array([5, 9, 9, 2]), np.array([40, 7, 7, 0])
+    regs = suffix_dedup.pa.array([[], [{"f": 0, "n": 31, "h": 1, "r": 2}], [], []], suffix_dedup.pa.list_(suffix_dedup.pa.struct([("f", "int32"), ("n", "int32"), ("h", "int64"), ("r", "int64")])))
+    got = suffix_dedup.mark(doc, at, parts, regs).to_pylist()
+    spans = {(r["doc"], r["lo"], r["hi"]) for r in got if r["doc"] is not None}
+    assert spans == {(5, 170, 280), (9, 7, 137)} and [(r["h"], r["r"]) for r in got if r["doc"] is None] == [(1, 2)]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LONG", 300)
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 100, n).tolist()) for n in (0, 1700, 99, 100, 640)]
+    regions = suffix_dedup.anchors(texts)["regions"].to_pylist()
+    for text, rows in zip(texts, regions, strict=True):
+        covered = [k for r in rows for k in range(r["s"], r["s"] + r["n"])]
+        assert sorted(covered) == list(range(max(0, len(text) - 99)))
+        whole = suffix_dedup.anchors([text])["regions"].to_pylist()[0] if len(text) <= 600 else None
+        assert whole is None or {r["h"] for r in whole} == {r["h"] for r in rows}
 
 
 def test_repeated_against_plain_search():
