@@ -1,17 +1,19 @@
 """URL filters by a Bloom filter cascade; DataFrame and SQL functions only.
 
 Keys are a host and its parent domains. The key universe is every key of the corpus. Level 1 is a Bloom filter of the
-listed keys in it, level 2 one of the unlisted keys that level 1 takes for listed, level 3 one of the listed keys that
-level 2 takes for those, and so on until no key is mistaken; the first level that lacks a key then decides exactly.
-Filters are built by partially aggregated bit_or over 64-bit words; only the words of a level, whose number follows from
-the number of listed keys, come to the driver, and they enter the plan as a folded constant: membership needs no join.
-Up to ``MOST`` listed keys (about 20 MB of words) the list goes that way; a longer list is held by a join on the keys.
+listed keys; what of the universe passes it is compared with the list. Level 2 is a filter of the unlisted keys that passed,
+level 3 one of the listed keys that level 2 takes for those, and so on until no key is mistaken; the first level that lacks
+a key then decides exactly. Filters are built by partially aggregated bit_or over 64-bit words; only the words of a level,
+whose number follows from the number of its keys, come to the driver, and they enter the plan as a folded constant:
+membership needs no join. A list of more than ``SHARD`` keys (about 7 MB of words) is dealt to so many cascades by the
+keys' hashes, each over its share of the universe; every one of them makes its own pass over the pages.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#``
 or the end. Rules come first: one fits its host and all subdomains if the path starts with the rule's, the longest wins.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; an empty list
-allows what no rule blocks. Repeated rows get equal answers; clashing columns are replaced.
+allows what no rule blocks, null keys in it are ignored. Urls of any length; an empty table gives an empty table; repeated
+rows get equal answers; clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 SUFFIXES = ("example.com", "example.net", "example.org")
 LISTED = tuple(f"{n}.{s}" for n in NAMES for s in SUFFIXES)
-MOST, DEPTH = 5_000_000, 40
+SHARD, DEPTH = 5_000_000, 40
 
 ORACLE = f"""
 WITH r AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -82,8 +84,12 @@ class Level:
 class Cascade:
     def __init__(self, universe: DataFrame, listed: DataFrame):
         """universe: distinct keys of the corpus; listed: distinct listed keys (both a column key)."""
-        marked = cut(universe.join(listed.withColumn("yes", F.lit(True)), "key", "left").select("key", F.col("yes").isNotNull().alias("listed")))
-        ours, others, self.levels = marked.where("listed"), marked.where("NOT listed"), []
+        self.levels = []
+        if not (n := listed.count()):
+            return
+        self.levels.append(Level(listed, n, 1))
+        passed = cut(universe.where(self.levels[0].has(F.col("key"))))  # the listed keys of the corpus, and few others
+        ours, others = cut(passed.join(listed, "key", "left_anti")), cut(passed.join(listed, "key", "left_semi"))
         while (n := ours.count()) and len(self.levels) < DEPTH:
             level = Level(ours, n, len(self.levels) + 1)
             self.levels.append(level)
@@ -99,7 +105,14 @@ class Cascade:
         return out
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES, most: int = MOST) -> DataFrame:
+def _listed(universe: DataFrame, keys: DataFrame, i: int, shards: int) -> Column:
+    """Whether a key of the host is in the list, for keys of one share."""
+    mine = lambda key: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards)) == i if shards > 1 else F.lit(True)
+    cascade = Cascade(universe.where(mine(F.col("key"))), keys.where(mine(F.col("key"))))
+    return F.exists(keys_of(F.col("host")), lambda k: mine(k) & cascade.has(k))
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, shard: int = SHARD) -> DataFrame:
     """pages (column url) with host, path, rule and verdict. listed: a column key."""
     host, path = host_and_path(F.col("url"))
     base = with_columns(pages, {"host": host, "path": path})
@@ -108,18 +121,18 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, most: int = MOST) ->
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is asked first
         fits = F.concat(F.lit("."), F.col("host")).endswith(f".{h}") & F.col("path").startswith(p)
         rule, action = F.when(fits, f"{h}{p}").otherwise(rule), F.when(fits, verdict).otherwise(action)
-    if keys.count() <= most:
-        universe = base.select("host").distinct().select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
-        cascade = Cascade(universe, keys)
-        blocked = F.exists(keys_of(F.col("host")), cascade.has)
-    else:
-        hosts = base.select("host").distinct().select("host", F.explode(keys_of(F.col("host"))).alias("key"))
-        hit = hosts.join(keys, "key", "left_semi").select(F.col("host").alias("__ld_host")).distinct().withColumn("__ld_hit", F.lit(True))
-        base, blocked = base.join(hit, F.col("host") == F.col("__ld_host"), "left"), F.col("__ld_hit").isNotNull()
-    out = with_columns(base, {"rule": rule, "verdict": F.coalesce(action, F.when(blocked, "block").otherwise("allow"))})
-    return out.drop("__ld_host", "__ld_hit")
+    universe = base.select("host").distinct().select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
+    shards = max(1, math.ceil(keys.count() / shard))
+    if shards > 1:
+        keys, universe = cut(keys), cut(universe)
+    blocked = F.lit(False)
+    for i in range(shards):
+        if i:
+            base, blocked = cut(with_columns(base, {"__ld_hit": blocked})), F.col("__ld_hit")
+        blocked = blocked | _listed(universe, keys, i, shards)
+    return with_columns(base, {"rule": rule, "verdict": F.coalesce(action, F.when(blocked, "block").otherwise("allow"))}).drop("__ld_hit")
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    listed = pages.sparkSession.createDataFrame([(k,) for k in LISTED], "key string")
+    listed = pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("key"))
     return judge(pages.select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")

@@ -253,6 +253,14 @@ def test_urls(spark):
     listed = universe.where("cast(key as int) % 37 = 0")
     cascade = urls.Cascade(universe, listed)
     assert len(cascade.levels) > 1
+    sharded = spark.range(3000).selectExpr("id as page_id", "concat('http://www.h', id, '.example.info/x') as url", "'x' as HOST", "'y' as verdict").union(spark.createDataFrame([(0, "http://h0.example.info", "", "")], "page_id long, url string, HOST string, verdict string"))
+    listed = sharded.where("page_id % 7 = 0").selectExpr("concat('h', page_id, '.example.info') as key").union(spark.createDataFrame([(None,)], "key string"))
+    for n in (100, 10_000):
+        got = urls.judge(sharded, listed, shard=n)
+        assert sorted(got.columns) == ["host", "page_id", "path", "rule", "url", "verdict"] and got.count() == 3001
+        assert got.where("(verdict = 'block') <> (page_id % 7 = 0)").count() == 0
+    assert urls.digest(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert urls.judge(sharded, listed.limit(0)).where("verdict = 'block'").count() == 0
     assert universe.select(cascade.has(universe["key"]).alias("y"), (universe["key"].cast("int") % 37 == 0).alias("w")).where("y <> w").count() == 0
 
 
