@@ -1,26 +1,36 @@
 """Language ID by a string kernel: blended-spectrum n-gram presence, Nystroem landmarks, one-versus-rest kernel ridge.
 
-A text is the set of its byte n-grams (ASCII letters lower-cased) of lengths 2 to 4. The kernel of two texts is the
-number of n-grams that both have over the geometric mean of their set sizes, within the n-grams of the landmarks.
-Landmarks are labelled texts; ``K(x, L) @ A`` gives a score for each language, with ``A`` from ridge regression in the
-Nystroem space. Scoring is one presence matrix and two matrix products for each chunk of whole texts.
+A text is the set of its byte n-grams (ASCII letters lower-cased) of lengths 2 to 4, as hashes of ``BITS`` bits. The kernel
+of two texts is the number of n-grams that both have over the geometric mean of their set sizes, within the n-grams of the
+landmarks. Landmarks are labelled texts; ``K(x, L) @ A`` gives a score for each language, with ``A`` from ridge regression in
+the Nystroem space. Scoring is presence matrices times landmark matrices, for ``BLOCK`` n-grams at a time, and one more
+product, for each chunk of at most ``ROWS`` whole texts.
+
+Learning: of every value of lang, ``per_lang`` rows at most (whole texts), of these ``landmarks`` as landmarks. Tasks work out
+n-gram sets and kernel rows; what comes to the driver is the landmarks' sets and a number for each landmark and training row:
+it grows with the number of languages, not with the corpus or the length of texts.
+
+Rejection (``keep_known`` only): a text that no one-versus-rest score accepts (all under 0) and less than ``FAMILIAR`` of
+whose n-grams occur in any landmark is in no known language.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is every text if nothing could be learned
-(no labelled rows). Repeated rows get equal answers. Rows with a null language are never learned from. An input column
-named like an output column is replaced.
+(no labelled rows). Texts of any length count whole. Repeated rows get equal answers, ties go to the first language by name.
+Rows with a null language are never learned from. An input column named like an output column is replaced. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_bytes, held_out, map_chunks
+from lodestone.llm.common import cut, held_out, map_chunks
 
 ORDERS = (2, 3, 4)
-BITS = 20
+BITS, BLOCK, ROWS = 20, 8192, 1024
+FAMILIAR = 0.25
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -32,95 +42,112 @@ def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
     return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
 
 
-def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts, lower-cased, each followed by zero bytes, and the row of each byte."""
-    pad = b"\0" * max(ORDERS)
-    rows = np.repeat(np.arange(len(texts)), [len(x) + len(pad) for x in texts])
-    return np.frombuffer(pad.join([*texts, b""]).lower(), np.uint8), rows
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the hash of every n-gram of the texts (repeated ones too); none crosses a text's end."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    data = np.frombuffer(b"".join(texts).lower() + b"\0" * max(ORDERS), np.uint8)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    left = np.cumsum(size)[row] - np.arange(len(row))  # bytes up to the text's end
+    rows, codes = [], []
+    for n in ORDERS:
+        whole = left >= n
+        rows.append(row[whole])
+        codes.append(gram_hashes(data, n)[: len(row)][whole])
+    return np.concatenate(rows), np.concatenate(codes)
 
 
-def presence(texts: list[bytes], table: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(texts), width + 1), np.float32)
-    if texts:
-        data, rows = joined(texts)
-        for n in ORDERS:
-            out[rows[: len(data) - n + 1], table[gram_hashes(data, n)]] = 1
-    return out[:, :width]
+def sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The n-gram set of each text, sorted."""
+    row, code = grams(texts)
+    pair = np.unique(row.astype(np.int64) << BITS | code)
+    ends = np.searchsorted(pair, np.arange(1, len(texts)) << BITS)
+    return [(x & (1 << BITS) - 1).astype(np.int32) for x in np.split(pair, ends)]
 
 
 class Model:
-    """table: n-gram hash to feature (the last feature: none); marks: unit-length landmarks; weights: landmark to class."""
-
-    def __init__(self, langs, table, marks, weights, sharp):
-        self.langs, self.table, self.marks, self.weights, self.sharp = langs, table, marks, weights, sharp
-
-    def kernel(self, texts: list[bytes]) -> np.ndarray:
-        x = presence(texts, self.table, len(self.marks))
-        return (x @ self.marks) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-
-    def decide(self, texts: list[bytes]) -> np.ndarray:
-        return self.kernel(texts) @ self.weights[:-1] + self.weights[-1]
+    """table: n-gram hash to feature, -1 for none; at, marks: each feature's landmarks; weights: landmark to class, the last row a constant."""
+
+    def __init__(self, langs: list[str], landmarks: list[np.ndarray], sharp: float = 6.0):
+        self.langs, self.sharp, self.n, self.weights = langs, sharp, len(landmarks), None
+        code = np.concatenate([np.empty(0, np.int32), *landmarks])
+        known, feature = np.unique(code, return_inverse=True)
+        self.table = np.full(1 << BITS, -1, np.int32)
+        self.table[known] = np.arange(len(known), dtype=np.int32)
+        order = np.argsort(feature, kind="stable")
+        self.marks = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in landmarks])[order]
+        self.at = np.searchsorted(feature[order], np.arange(len(known) + 1))
+        self.scale = 1 / np.sqrt(np.maximum(np.array([len(x) for x in landmarks], np.float32), 1))
+
+    def kernel(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, landmarks), and the share of each text's n-grams (repeated ones counted) that some landmark has."""
+        out, count = np.zeros((len(texts), self.n), np.float32), np.zeros(len(texts), np.float32)
+        row, code = grams(texts)
+        feature = self.table[code]
+        total, has = np.bincount(row, minlength=len(texts)), feature >= 0
+        row, feature = row[has], feature[has]
+        share = np.bincount(row, minlength=len(texts)) / np.maximum(total, 1)
+        block = (feature // BLOCK).astype(np.uint16)
+        order = np.argsort(block, kind="stable")
+        row, feature, ends = row[order], feature[order], np.searchsorted(block[order], np.arange(-(-(len(self.at) - 1) // BLOCK) + 1))
+        for b, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            first, upto = b * BLOCK, min((b + 1) * BLOCK, len(self.at) - 1)
+            x, m = np.zeros((len(texts), upto - first), np.float32), np.zeros((upto - first, self.n), np.float32)
+            x[row[i:j], feature[i:j] - first] = 1
+            m[np.repeat(np.arange(upto - first), np.diff(self.at[first : upto + 1])), self.marks[self.at[first] : self.at[upto]]] = 1
+            out += x @ m
+            count += x.sum(axis=1)
+        return out * self.scale / np.sqrt(np.maximum(count, 1))[:, None], share
+
+    def solve(self, kernel: np.ndarray, labels: np.ndarray, landmarks: np.ndarray, ridge: float = 1e-2) -> None:
+        """Weights from the landmarks' own kernel and the training rows' kernel and classes; each class has equal weight."""
+        values, vectors = np.linalg.eigh(landmarks.astype(np.float64))
+        half = vectors / np.sqrt(np.maximum(values, 1e-6))  # K^-1/2 up to a rotation
+        z = np.column_stack([kernel.astype(np.float64) @ half, np.ones(len(kernel))])
+        y = np.where(labels[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
+        weight = (len(labels) / (len(self.langs) * np.bincount(labels, minlength=len(self.langs))))[labels, None]
+        w = np.linalg.solve(z.T @ (z * weight) + ridge * len(labels) / 100 * np.eye(z.shape[1]), z.T @ (y * weight))
+        self.weights = np.vstack([half @ w[:-1], w[-1:]]).astype(np.float32)
 
     def answer(self, texts: list[bytes]) -> dict:
-        names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
+        names, scores, reject = np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
         if self.langs and texts:
-            z = self.decide(texts).astype(np.float64) * self.sharp
+            kernel, share = self.kernel(texts)
+            decision = (kernel @ self.weights[:-1] + self.weights[-1]).astype(np.float64)
+            z = decision * self.sharp
             e = np.exp(z - z.max(axis=1, keepdims=True))
             has = np.fromiter((bool(LETTER.search(x.decode("utf-8", "replace"))) for x in texts), bool, len(texts))
             names = np.where(has, np.array(self.langs, object)[z.argmax(axis=1)], names)
             scores = np.where(has, e.max(axis=1) / e.sum(axis=1), 0.0)
-        return {"lang_pred": names, "score": scores}
-
-
-def fit_texts(texts: list[bytes], labels: list[str], landmarks: int = 32, ridge: float = 1e-2, sharp: float = 6.0) -> Model:
-    """texts of one language stand in a fixed order; the first ``landmarks`` of each are the landmarks."""
-    langs = sorted(set(labels))
-    if not langs:
-        return Model([], None, None, None, sharp)
-    rank, seen = [], dict.fromkeys(langs, 0)
-    for y in labels:
-        rank.append(seen[y])
-        seen[y] += 1
-    marks = [x[:4000] for x, r in zip(texts, rank, strict=True) if r < landmarks]
-    table = np.full(1 << BITS, -1, np.int32)
-    data, _ = joined(marks)
-    inside = [gram_hashes(data, n)[~(np.lib.stride_tricks.sliding_window_view(data, n) == 0).any(axis=1)] for n in ORDERS]
-    known = np.unique(np.concatenate(inside))
-    table[:] = len(known)
-    table[known] = np.arange(len(known), dtype=np.int32)
-    p = presence(marks, table, len(known))
-    p /= np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
-    model = Model(langs, table, np.ascontiguousarray(p.T), None, sharp)
-    k_mm = (p @ p.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(k_mm)
-    half = vectors / np.sqrt(np.maximum(values, 1e-6))  # K^-1/2 up to a rotation
-    k_nm = np.concatenate([model.kernel(texts[i : i + 256]) for i in range(0, len(texts), 256)]).astype(np.float64)
-    z = np.column_stack([k_nm @ half, np.ones(len(texts))])
-    y = np.where(np.array(labels)[:, None] == np.array(langs)[None, :], 1.0, -1.0)
-    weight = np.array([len(labels) / (len(langs) * seen[v]) for v in labels])
-    w = np.linalg.solve(z.T @ (z * weight[:, None]) + ridge * len(texts) / 100 * np.eye(z.shape[1]), z.T @ (y * weight[:, None]))
-    model.weights = np.vstack([half @ w[:-1], w[-1:]]).astype(np.float32)
-    return model
+            reject = ~has | (decision.max(axis=1) < 0) & (share < FAMILIAR)
+        return {"lang_pred": names, "score": scores, "rejected": reject}
 
 
-def fit(docs: DataFrame, per_lang: int = 256, max_langs: int = 64, max_bytes: int = 20_000) -> Model:
-    """Learn from a bounded sample: of each of up to ``max_langs`` languages (the commonest), at most ``per_lang`` rows, the
-    smallest hash of doc_id in each of ``per_lang`` hash classes; of those rows the first ``max_bytes`` characters."""
+def fit(docs: DataFrame, per_lang: int = 256, landmarks: int = 32) -> Model:
+    """Learn from at most ``per_lang`` rows of each language (the smallest hash of doc_id in each of ``per_lang`` hash classes)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id"), 3, 1), F.lit(False)))
     key, part = F.xxhash64("doc_id"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(per_lang))
     keyed = rows.select("lang", "text", key.alias("k"), part.alias("part"))
-    least = keyed.groupBy("lang", "part").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n"))
-    common = least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    chosen = least.select("lang", "part", "k").join(F.broadcast(common), "lang", "left_semi")  # at most max_langs * per_lang rows
-    got = keyed.join(F.broadcast(chosen), ["lang", "part", "k"], "left_semi").select("lang", "k", F.substring("text", 1, max_bytes).alias("text")).dropDuplicates(["lang", "k"]).toPandas()
-    got = got.sort_values(["lang", "k"])
-    return fit_texts(as_bytes(got["text"]), got["lang"].tolist())
+    least = keyed.groupBy("lang", "part").agg(F.min("k").alias("k"))
+    train = cut(keyed.join(least, ["lang", "part", "k"], "left_semi").select("lang", "k", "text").dropDuplicates(["lang", "k"]))
+    ranked = train.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).where(F.col("rank") <= landmarks).drop("rank")
+    got = map_chunks(ranked, ["text"], lambda texts: {"ids": sets(texts)}, "ids array<int>", ["lang", "k"]).toPandas().sort_values(["lang", "k"])
+    langs = sorted(set(got["lang"]))
+    model = Model(langs, [np.asarray(x, np.int32) for x in got["ids"]])
+    if langs:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        kernels = map_chunks(train, ["text"], lambda texts: {"row": [x.tobytes() for x in shared.value.kernel(texts)[0]]}, "row binary", ["lang", "k"], rows=ROWS)
+        rows = kernels.toPandas().sort_values(["lang", "k"], ignore_index=True)
+        kernel = np.frombuffer(b"".join(rows["row"]), np.float32).reshape(-1, model.n)
+        own = rows.reset_index().merge(got[["lang", "k"]].reset_index(drop=True).reset_index(names="mark"), on=["lang", "k"]).sort_values("mark")
+        marks = kernel[own["index"].to_numpy()]
+        model.solve(kernel, np.searchsorted(langs, rows["lang"]), (marks + marks.T) / 2)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns ``keep``) with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2^20 table, landmarks x their n-grams
-    return map_chunks(docs, ["text"], lambda texts: shared.value.answer(texts), "lang_pred string, score double", keep)
+    """docs (or its columns ``keep``) with lang_pred, score and rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of 2^BITS numbers and the landmarks' sets
+    return map_chunks(docs, ["text"], lambda texts: shared.value.answer(texts), "lang_pred string, score double, rejected boolean", keep, rows=ROWS)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -130,7 +157,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents that no language can be given (null or without a letter) go."""
+    """The pipeline's stage: documents that no language can be given go (null, without a letter, or in no known language)."""
     model = fit(docs)
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__ld_row")
-    return predict(docs.select("text", row), model, ["__ld_row"]).where(F.col("lang_pred") != "und").select("__ld_row.*")
+    return predict(docs.select("text", row), model, ["__ld_row"]).where("NOT rejected").select("__ld_row.*")
