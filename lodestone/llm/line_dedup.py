@@ -15,6 +15,9 @@ through, and a clashing one is replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,9 +63,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text shortened, and n_lines, n_removed, n_spans."""
     keyed = docs.withColumns({"__ld_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__ld_text": F.xxhash64("text")})
     lines = F.split("text", "\n", -1)
-    three = lambda i: F.array_join(F.slice(F.col("ls"), i, 3), "\n")
-    keys = F.transform(F.sequence(F.lit(1), F.size("ls") - 2), lambda i: F.struct(F.xxhash64(three(i)).alias("a"), F.xxhash64(F.lit(1), three(i)).alias("b"), three(i).rlike(WORD).alias("w")))
-    found = keyed.where(F.col("text").isNotNull()).select("__ld_id", "__ld_text", lines.alias("ls")).where(F.size("ls") >= 3)
+    one = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), x.rlike(WORD).alias("w")))  # each line is hashed once
+    of = lambda i, c: [F.get(F.col("ls"), i + k)[c] for k in range(3)]
+    keys = F.transform(F.sequence(F.lit(0), F.size("ls") - 3), lambda i: F.struct(F.xxhash64(*of(i, "a")).alias("a"), F.xxhash64(*of(i, "b")).alias("b"), reduce(or_, of(i, "w")).alias("w")))
+    found = keyed.where(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) >= 2).select("__ld_id", "__ld_text", one.alias("ls"))
     found = found.select("__ld_id", "__ld_text", F.posexplode(keys).alias("p", "k")).where("k.w").select(F.col("k.a").alias("a"), F.col("k.b").alias("b"), F.struct("__ld_id", "__ld_text", "p").alias("at"))
     first = cut(found.groupBy("a", "b").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     later = found.join(first, ["a", "b"]).where("at <> first").select("at.*")
