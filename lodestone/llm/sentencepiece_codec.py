@@ -3,8 +3,9 @@
 Space is written U+2581 and a text gets one in front, as the public piece files expect; there is no other
 normalisation, so decoding gives back every text exactly. Words (a run of U+2581 and what follows up to the next run)
 are looked at once a batch: words of equal length advance together, hashes of their substrings probe sorted arrays of
-piece hashes, and vectorised maxima over the piece lengths store the backpointers. A character that no piece covers
-becomes its UTF-8 bytes' pieces.
+piece hashes, and vectorised maxima over the piece lengths store the backpointers. A word of over ``LONG`` characters (a
+script without spaces) is cut first wherever no piece of two or more characters spans, which leaves the best path as it is.
+A character that no piece covers becomes its UTF-8 bytes' pieces.
 
 A unigram model's scores are log-probabilities and are used as they are. The public file here is a BPE model: its scores
 are merge ranks, so a piece of rank r gets the log-probability of a Zipf law, -ln(r + ZIPF). The segmentation is thus the
@@ -25,6 +26,7 @@ from lodestone.llm.common import lookup, map_chunks, splitmix, spread
 
 SPACE, LITERAL = 0x2581, 0x110000  # a space; a U+2581 of the text itself
 ZIPF = 10.0
+LONG = 64
 FILTER = 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -113,6 +115,19 @@ class Vocabulary:
             rows = rows[pos[rows] > 0]
         return out, where, count
 
+    def cuts(self, grams: np.ndarray, inv: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Places inside a word that no piece of two or more characters spans."""
+        n = end - start
+        over = np.zeros(n + 1, np.int32)
+        for k, (keys, _, _, likely) in self.by_len.items():
+            if 2 <= k <= n:
+                probe = (grams[start + k : end + 1] - grams[start : end - k + 1]) * inv[start : end - k + 1]
+                cell = np.flatnonzero(likely[probe >> np.uint64(64 - FILTER)])
+                cell = cell[lookup(keys, probe[cell]) >= 0]
+                over[cell + 1] += 1
+                over[cell + k] -= 1
+        return start + 1 + np.flatnonzero(np.cumsum(over)[1:n] == 0)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin and end."""
         if not any(texts):
@@ -127,12 +142,16 @@ class Vocabulary:
         space = codes == SPACE
         first[1:] = space[1:] & ~space[:-1]
         first[begins[lens > 0]] = True
-        starts = np.flatnonzero(first)
-        ends = np.append(starts[1:], len(codes))
-        size = ends - starts
         inv = powers(INVERSE, len(codes) + 1)
         grams = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(splitmix(codes) * powers(BASE, len(codes)), out=grams[1:])
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(codes))
+        long = np.flatnonzero(ends - starts > LONG)
+        if len(long):
+            starts = np.sort(np.concatenate([starts, *[self.cuts(grams, inv, starts[i], ends[i]) for i in long]]))
+            ends = np.append(starts[1:], len(codes))
+        size = ends - starts
         key = (grams[ends] - grams[starts]) * inv[starts] + splitmix(size)
         _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
         flat, counts = [], np.zeros(len(one), np.int64)
