@@ -6,8 +6,8 @@ backward, attention pools their states, and a logistic unit scores the window. A
 half of the one before, are scored; a text's score is its highest window's, calibrated by a logistic curve.
 
 Labels are of documents, not of windows, so each epoch learns a toxic document from its currently highest window and a
-clean one from its highest and a random one. Training uses a bounded sample (``PER_CLASS`` labelled documents a class, up
-to ``MAX_WINDOWS`` windows of each); every whole text is scored.
+clean one from its highest and a random one. Training uses a bounded sample of rows (``PER_CLASS`` labelled documents a
+class), and all windows of their whole texts; every whole text is scored.
 
 Edge cases: null and empty texts, or texts without words, get the score of an empty window; without labelled rows of
 both classes every score is the share of toxic labels (0 if there are none). Equal texts get equal scores. Labels for
@@ -27,7 +27,7 @@ from lodestone.llm.common import as_bytes, held_out, lookup, map_chunks
 SPAN, STEP = 64, 32
 DIM, HIDDEN, TRIGRAMS = 12, 12, 1 << 12
 BEGINNINGS, BITS = range(3, 9), 15
-PER_CLASS, MAX_WINDOWS, MIN_DOCS, MAX_CHARS = 1500, 24, 6, 20_000
+PER_CLASS, MIN_DOCS = 1500, 6
 EPOCHS, BATCH, RATE = 11, (32, 256), 0.01
 MARKS = b".,!?;:\"'()*#$%&|<>"
 THRESHOLD = 0.3
@@ -195,7 +195,7 @@ def fit_texts(texts: list[bytes], labels: np.ndarray, share: float, seed: int =
     if len(set(labels.tolist())) < 2:
         return Constant(share)
     rng = np.random.default_rng(seed)
-    lists = [split(x)[: SPAN + STEP * (MAX_WINDOWS - 1)] for x in texts]
+    lists = [split(x) for x in texts]
     seen: dict[int, int] = {}
     for ws in lists:
         for k in {crc32(w) for w in ws}:
@@ -272,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, rest: int = 2) ->
         return Constant(0.0)
     share = float(chosen.loc[chosen["toxic"] == 1, "n"].sum() / chosen["n"].sum())
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen[["doc_id", "toxic"]]))
-    got = docs.join(picked, "doc_id").select("doc_id", "toxic", F.substring("text", 1, MAX_CHARS).alias("text")).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    got = docs.join(picked, "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     return fit_texts(as_bytes(got["text"]), got["toxic"].to_numpy(), share)
 
 
