@@ -11,8 +11,12 @@ alignment banded to the same diagonals.
 The benchmark is read in blocks of at most ``BLOCK`` bytes, each an index that goes to every task; documents are never
 joined with it. One block serves up to that size, further ones make further passes.
 
-Edge cases: null or short texts match nothing; items under ``LEAST`` bytes are told from chance too poorly and are
-ignored, as are null items; an empty benchmark keeps all. Equal rows get equal answers; clashing columns are replaced.
+Short items would be told from chance too poorly with edits: one of under ``LEAST`` bytes has no budget, and its match must
+begin and end where words do; one of under ``Q`` bytes matches only a text that consists of it.
+
+Edge cases: null or empty texts match nothing; null and blank items are ignored; an empty benchmark keeps all, an empty
+table stays empty. Hits are counted ``HITS`` at a time, so that runs of one byte in long texts and items need no more memory.
+Repeated items count each under its item_id. Equal rows get equal answers; clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_bytes, lookup, map_chunks, spread
+from lodestone.llm.common import as_bytes, cut, lookup, map_chunks, slices, spread
 
-Q, SEGMENT, LEAST, BLOCK = 8, 100, 40, 16 << 20
+Q, SEGMENT, LEAST, BLOCK, HITS, PASSES = 8, 100, 40, 2 << 20, 1 << 22, 8
 FILTER = 22
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,22 +42,24 @@ def grams(data: bytes) -> np.ndarray:
 
 class Index:
     def __init__(self, ids: list[int], texts: list[bytes]):
-        self.item, self.segments = [], []
+        self.item, self.segments, self.tiny = [], [], {}
         for i, t in zip(ids, map(normal, texts), strict=True):
-            if len(t) >= LEAST:
+            if 0 < len(t) < Q:
+                self.tiny.setdefault(t, []).append(i)
+            elif t:
                 step = SEGMENT // 2
                 starts = [*range(0, len(t) - SEGMENT, step), len(t) - SEGMENT] if len(t) > SEGMENT + step else [0]
                 for s in starts:
                     self.item.append(i)
                     self.segments.append(t[s : s + SEGMENT] if len(starts) > 1 else t)
         self.size = np.array([len(x) for x in self.segments], np.int64)
-        self.budget = self.size // 10
+        self.budget = np.where(self.size < LEAST, 0, self.size // 10)
         self.least = np.maximum(1, self.size - Q + 1 - Q * self.budget)
         self.half = int(self.budget.max()) + 1 if len(self.size) else 1
         each = [grams(x) for x in self.segments]
         flat = np.concatenate([np.empty(0, np.uint64), *each])
-        seg = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        off = np.concatenate([np.empty(0, np.int64), *[np.arange(len(x)) for x in each]]).astype(np.int64)
+        seg = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
+        off = np.concatenate([np.empty(0, np.int16), *[np.arange(len(x), dtype=np.int16) for x in each]])
         order = np.argsort(flat, kind="stable")
         self.keys, self.at, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.seg, self.off = seg[order], off[order]
@@ -67,19 +73,26 @@ class Index:
         found = lookup(self.keys, g[at])
         at, found = at[found >= 0], found[found >= 0]
         n = self.count[found]
-        place = spread(self.at[found], n)
-        pos = np.repeat(at, n)
-        seg, diag = self.seg[place], pos - self.off[place] + SEGMENT * 2
-        pair = rows[pos] * len(self.segments) + seg
-        _, back, total = np.unique(pair, return_inverse=True, return_counts=True)
-        some = total[back] >= self.least[seg]
-        pair, diag, out = pair[some], diag[some], []
-        width = 2 * self.half
-        for shift in (0, self.half):
-            key, total = np.unique(pair << 24 | (diag + shift) // width, return_counts=True)  # chunks are far under 2^24 bands
-            pairs = key >> 24
-            good = total >= self.least[pairs % max(1, len(self.segments))]
-            out.append(np.stack([pairs[good] // len(self.segments), pairs[good] % len(self.segments), (key[good] & (1 << 24) - 1) * width - shift - SEGMENT * 2], axis=1))
+        parts = [*slices(n, HITS)]
+        width, many, counted = 2 * self.half, max(1, len(self.segments)), {0: [], self.half: []}
+        for part in parts:
+            place = spread(self.at[found[part]], n[part])
+            pos = np.repeat(at[part], n[part])
+            seg, diag = self.seg[place], pos - self.off[place] + SEGMENT * 2
+            pair = rows[pos] * many + seg
+            if len(parts) == 1:  # all hits are here: first by pairs alone
+                _, back, total = np.unique(pair, return_inverse=True, return_counts=True)
+                some = total[back] >= self.least[seg]
+                pair, diag = pair[some], diag[some]
+            for shift, held in counted.items():
+                held.append(np.unique(pair << 26 | (diag + shift) // width, return_counts=True))  # texts are far under 2^26 bands
+        out = [np.empty((0, 3), np.int64)]
+        for shift, held in counted.items() if parts else ():
+            key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            total = np.bincount(back, weights=np.concatenate([c for _, c in held]), minlength=len(key))
+            pairs = key >> 26
+            good = total >= self.least[pairs % many]
+            out.append(np.stack([pairs[good] // many, pairs[good] % many, (key[good] & (1 << 26) - 1) * width - shift - SEGMENT * 2], axis=1))
         return np.unique(np.concatenate(out), axis=0)
 
     def verify(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -89,7 +102,7 @@ class Index:
             which = np.flatnonzero(self.size[found[:, 1]] == m)
             for part in np.array_split(which, max(1, len(which) * int(m) // 200_000)):
                 pattern = np.stack([np.frombuffer(self.segments[s], np.uint8) for s in found[part, 1]])
-                e = int(m) // 10
+                e = int(self.budget[found[part[0], 1]])  # as all of the size
                 lanes = np.arange(2 * self.half + 2 * e + 1)
                 first = found[part, 2] - e
                 inside = lambda j: (j >= begin[part, None]) & (j < end[part, None])
@@ -115,14 +128,19 @@ class Index:
         end = np.cumsum(lens) - 1
         begin = end - lens + 1
         rows = np.repeat(np.arange(len(clean)), lens)
-        if len(self.segments) and len(joined) > Q:
+        if len(self.segments):
             found = self.candidates(joined, np.append(rows, np.full(Q, len(clean) - 1)))
             best = self.verify(np.frombuffer(joined, np.uint8), begin[found[:, 0]], end[found[:, 0]], found)
             for (row, seg, _), d in zip(found.tolist(), best.tolist(), strict=True):
-                if d <= self.budget[seg]:
+                short = self.size[seg] < LEAST
+                if d <= self.budget[seg] and (not short or b" " + self.segments[seg] + b" " in b" " + clean[row] + b" "):
                     if self.item[seg] not in items[row]:
                         items[row].append(self.item[seg])
                     edits[row] = d if edits[row] is None else min(edits[row], d)
+        for row, text in enumerate(clean):
+            if text in self.tiny:
+                items[row] += [i for i in self.tiny[text] if i not in items[row]]
+                edits[row] = 0
         return {"item_ids": [sorted(x) for x in items], "min_edits": edits}
 
 
@@ -143,7 +161,9 @@ def screen(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
     fields = "item_ids array<long>, min_edits int"
     work = ["__ld_text", "__ld_items", "__ld_edits"]
     out = out.withColumns({"__ld_items": F.expr("cast(array() as array<bigint>)"), "__ld_edits": F.expr("cast(null as int)")})
-    for index in indexes(benchmark, block):
+    for number, index in enumerate(indexes(benchmark, block)):
+        if number and number % PASSES == 0:
+            out = cut(out)  # a plan holds so many passes at most
         shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the block
         got = map_chunks(out, ["__ld_text"], lambda texts, shared=shared: shared.value.match(texts), fields, [*(n for n in names if n not in work), *work])
         merged = {"__ld_items": F.sort_array(F.array_union("__ld_items", "item_ids")), "__ld_edits": F.least("__ld_edits", "min_edits")}
