@@ -2,7 +2,7 @@
 
 A document is the set of its distinct shingles of five words (A-Z lower-cased), as 64-bit hashes. The first byte of a
 hash names one of 256 buckets; of a bucket's least hash the register keeps the number of leading zeros and the next ten
-bits (Yu and Weber 2017). Documents of equal sets are one class from the start. Bands of eight registers propose groups;
+bits (Yu and Weber 2017). Documents of equal sets are one class from the start. Bands of registers propose groups;
 for this alone an empty register borrows from another one by a fixed probe sequence (Shrivastava 2017), so that small
 sets do not meet on a single common shingle. Groups of the same members count once, and a large group is dealt to blocks
 of at most 512 members each way.
@@ -13,8 +13,9 @@ of at most 512 members each way.
 3. Blocks that still hold several components are compared within, only across components, estimate first (full
    registers) and full sets after; a block hands back at most a spanning forest, never its pairs.
 
-So every pair that shares a band is compared or already connected. At the threshold of 0.85 a pair of large sets misses
-all 32 bands with a probability of (1 - 0.85^8)^32, about 4e-5; at 0.9, 2e-8.
+So every pair that shares a band is compared or already connected. ``layout`` takes the longest bands that a pair at the
+threshold misses with a probability of ``MISS`` at most: at 0.85 32 bands of 8 registers, all missed with a probability of
+(1 - 0.85^8)^32, about 4e-5 (at 0.9, 2e-8); at 0.8 36 bands of 7, 2e-4.
 
 Edge cases: a document of fewer than five words is one shingle, its whole sequence; null, empty and wordless texts have
 no shingle and are linked with nothing. Rows of one doc_id are one document; rows without doc_id are linked with nothing
@@ -34,7 +35,7 @@ from lodestone.llm.common import cut, lookup, map_chunks, splitmix, with_columns
 from lodestone.llm.components import components
 
 WIDTH, BUCKETS, MANTISSA = 5, 256, 10
-ROWS, BANDS, PROBES = 8, 32, 64
+PROBES, MISS = 64, 2.5e-4
 PERCENT = 85
 BLOCK = 512
 #: Registers of different sets that agree by chance, in all: 0.17 * 2^(p - r + 1) for 2^p buckets and r mantissa bits.
@@ -119,11 +120,16 @@ def dense(regs: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) keys."""
-    part = dense(regs)[:, : ROWS * BANDS].reshape(len(regs), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), part.shape[:2])
-    for k in range(ROWS):
+def layout(percent: int) -> tuple[int, int]:
+    """Registers a band and bands: the longest bands that a pair of that similarity all misses with a probability of MISS at most."""
+    return next((r, BUCKETS // r) for r in range(BUCKETS, 0, -1) if r == 1 or (1 - (percent / 100) ** r) ** (BUCKETS // r) <= MISS)
+
+
+def band_keys(regs: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """(texts, bands) keys."""
+    part = dense(regs)[:, : rows * bands].reshape(len(regs), bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), part.shape[:2])
+    for k in range(rows):
         key = splitmix(key ^ (part[:, :, k].astype(np.uint64) << np.uint64(8)))
     return key.view(np.int64)
 
@@ -194,8 +200,10 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     on = (F.col("doc_id") == F.col("rep")) & (F.col("s.k1") == F.col("c.k1")) & (F.col("s.k2") == F.col("c.k2"))
     reps = cut(real.alias("s").join(classes.alias("c"), on, "left_semi").dropDuplicates(["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "regs"))
 
+    shape = layout(percent)
+
     def bands(_: list[bytes], regs: pa.Array) -> dict:
-        return {"keys": list(band_keys(_regs(regs)))}
+        return {"keys": list(band_keys(_regs(regs), *shape))}
 
     banded = map_chunks(reps, ["regs", "regs"], bands, "keys array<long>", ["doc"]).select("doc", F.explode("keys").alias("key"))
     shared = cut(banded.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"))
