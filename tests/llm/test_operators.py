@@ -32,7 +32,7 @@ def by_id(df):
 def test_line_dedup(spark, odd):
     got = by_id(line_dedup.dedup_lines(odd))
     assert got[0]["text"] is None and got[None]["n_removed"] == 0 and got[3]["n_removed"] == 3 and got[6]["text"] == "" and got[4]["text"] == "x\ny"
-    assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
+    assert line_dedup.dedup_lines(odd.limit(0)).count() == 0 and got[5]["n_removed"] == 0 and got[3]["DOC"] == "d"
 
 
 def test_dedup_against_sql(spark):
@@ -87,6 +87,25 @@ def test_codec(odd):
         assert abs(sum(scores[i] for i in ids) - best[len(whole)]) < 1e-9
 
 
+def test_text_without_spaces(odd):
+    """Long words are cut where no piece spans: same ids as one walk over the whole, in a time that grows with the length."""
+    vocabulary = codec.Vocabulary.load(PIECES)
+    rng = np.random.default_rng(11)
+    letters = [chr(c) for c in range(0x4E00, 0x4E80)] + ["the", "ing", "a", "\u2581"]
+    texts = ["".join(rng.choice(letters, 400)).encode() for _ in range(6)] + [b"x" * 500, b"ab" * 300 + "\u4e00".encode() * 200]
+    cut = vocabulary.encode(texts)
+    before, codec.LONG = codec.LONG, 10**9
+    try:
+        whole = vocabulary.encode(texts)
+    finally:
+        codec.LONG = before
+    assert np.array_equal(cut[0], whole[0]) and np.array_equal(cut[1], whole[1])
+    long = "".join(rng.choice(letters[:128], 200_000))
+    ids, ends = vocabulary.encode([long.encode(), None or b""])
+    assert vocabulary.decode(ids, ends) == [long, ""]
+    assert codec.digest(odd.limit(0), PIECES).count() == 0
+
+
 def test_secrets(spark, odd):
     got = secrets.scan(odd).collect()
     assert [r["doc_id"] for r in got] == [8] and got[0]["kept"] and isinstance(got[0]["score"], float)
@@ -144,6 +163,55 @@ def test_toxicity(spark, odd):
     assert model.answer(toxic[60:])["score"].min() > model.answer(clean[80:])["score"].max()
     got = toxicity.digest(odd, spark.createDataFrame([(3, 1), (99, 0), (4, None)], "doc_id long, toxic int")).collect()
     assert len(got) == 11 and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.digest(odd.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+    named = toxicity.score(odd, toxicity.Constant(0.25))
+    assert named.columns == [c for c in odd.columns if c != "Score"] + ["score"] and named.where("score <> 0.25").count() == 0
+
+
+def test_toxic_passage_at_the_end_of_long_texts():
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(80)]
+    clean = [" ".join(rng.choice(words, 1000)).encode() for _ in range(60)]
+    toxic = [x + b" vileword and vileword " + x[:60] for x in clean[:30]]
+    model = toxicity.fit_texts(clean[30:] + toxic[:20], np.array([0] * 30 + [1] * 20), 0.4)
+    assert model.answer(toxic[20:])["score"].min() > model.answer(clean[20:30])["score"].max()
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """The area under the curve of the rows that were never learned from."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels")).where("held_out").join(table(spark, sf, "labels"), "doc_id").toPandas()
+    yes, no = got.loc[got["toxic"] == 1, "score"].to_numpy(), got.loc[got["toxic"] == 0, "score"].to_numpy()
+    area = ((yes[:, None] > no).mean() + (yes[:, None] == no).mean() / 2)
+    assert len(yes) > 5 and area > 0.95, area
+
+
+def test_toxicity_against_plain_steps():
+    """The network's score of a text against a plain walk over its windows, one word after another."""
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(40)]
+    net = toxicity.fit_texts([" ".join(rng.choice(words, 80)).encode() for _ in range(40)], np.array([0, 1] * 20), 0.5)
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def window(ws):
+        x = net.inputs(ws)[0].astype(np.float64)
+        states = np.zeros((len(ws), 2 * h))
+        for s, order, half in (("f", range(len(ws)), slice(0, h)), ("b", range(len(ws) - 1, -1, -1), slice(h, 2 * h))):
+            state = np.zeros(h)
+            for t in order:
+                g, r = x[t] @ p[f"W{s}"] + p[f"c{s}"], state @ p[f"U{s}"]
+                z, q = sig(g[:h] + r[:h]), sig(g[h : 2 * h] + r[h : 2 * h])
+                n = np.tanh(g[2 * h :] + q * r[2 * h :])
+                state = (1 - z) * n + z * state
+                states[t, half] = state
+        e = np.exp(np.tanh(states @ p["A"]) @ p["a"])
+        return float((e / e.sum()) @ states @ p["o"] + p["b"][0])
+
+    for n in (1, 5, 64, 65, 150):
+        ws = [w.encode() for w in rng.choice([*words, "unknown", "x"], n)]
+        best = max(window(ws[k : k + 64]) for k in range(0, max(1, n - 32), 32))
+        assert abs(net.answer([b" ".join(ws)])["score"][0] - sig(net.scale * best + net.shift)) < 1e-4
 
 
 def test_gradients():
@@ -230,13 +298,59 @@ def test_repeated_against_plain_search():
 
 def test_decontamination(spark, odd):
     item = "the quick brown fox jumps over the lazy dog while nine green birds look on from the old oak tree nearby"
-    bench = spark.createDataFrame([(1, item), (2, None), (3, "short")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "short"), (4, "What is the capital of France?"), (4, "What is the capital of France?"), (6, " ")], "item_id long, text string")
     edited = item.replace("quick", "quack").replace("birds", "bird")
-    rows = [(1, "before " + item.upper() + " after"), (2, "say " + edited + " end"), (3, "the quick brown fox jumps over something else and goes home"), (4, None), (5, "")]
-    got = by_id(decontaminate.screen(spark.createDataFrame(rows, "doc_id long, text string"), bench))
-    assert [got[i]["kept"] for i in range(1, 6)] == [False, False, True, True, True]
-    assert got[1]["min_edits"] == 0 and got[2]["min_edits"] == 2 and got[1]["item_ids"] == [1]
+    rows = [
+        (1, "before " + item.upper() + " after"), (2, "say " + edited + " end"), (3, "the quick brown fox jumps over something else and goes home"), (4, None), (5, ""),
+        (6, "q: what is the  capital\nof france? Paris"), (7, "what is the capital of frances? none"), (8, "Short"), (9, "a short text"), (9, "a short text"), (10, "xwhat is the capital of france? y"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'e' as Min_Edits", "1 as KEPT")
+    got = by_id(decontaminate.screen(docs, bench))
+    assert [got[i]["kept"] for i in range(1, 11)] == [False, False, True, True, True, False, True, False, True, True]
+    assert got[1]["min_edits"] == 0 and got[2]["min_edits"] == 2 and got[1]["item_ids"] == [1] and got[6]["item_ids"] == [4] and got[8]["item_ids"] == [3]
+    assert decontaminate.screen(odd.union(odd), bench).count() == 2 * odd.count() and decontaminate.screen(odd, bench).where("NOT kept").count() == 0
     assert all(r["kept"] for r in decontaminate.screen(odd, bench.limit(0)).collect())
+    assert decontaminate.digest(odd.limit(0), bench).count() == 0 and decontaminate.keep_clean(docs, bench).columns == docs.columns
+    few = by_id(decontaminate.screen(docs, bench, block=20))  # many blocks, a cut between
+    assert all(few[i]["kept"] == got[i]["kept"] and few[i]["item_ids"] == got[i]["item_ids"] for i in got)
+
+
+def plain_edits(pattern: bytes, text: bytes) -> int:
+    """The least edit distance of the pattern and any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("hits", [1 << 22, 50])
+def test_decontamination_against_plain_alignment(hits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = np.random.default_rng(14)
+    word = lambda: "".join(rng.choice(list("abcde"), rng.integers(2, 7)))
+    items = [decontaminate.normal(" ".join(word() for _ in range(n)).encode()) for n in (3, 4, 10, 12, 20, 28)] + [b"a" * 45]
+    index = decontaminate.Index([*range(len(items))], items)
+    texts = []
+    for k in range(70):
+        part = bytearray(items[k % len(items)])
+        for _ in range(int(rng.integers(0, max(2, len(part) // 8)))):
+            at, how = int(rng.integers(0, len(part))), rng.integers(0, 3)
+            part[at : at + (how != 0)] = b"" if how == 2 else bytes([rng.integers(97, 102)])
+        texts.append(decontaminate.normal(f"{word()} {word()} ".encode() + bytes(part) + f" {word()}".encode()))
+    got, caught = index.match(texts), 0
+    for text, ids, edits in zip(texts, got["item_ids"], got["min_edits"], strict=True):
+        want = {}
+        for segment, item in zip(index.segments, index.item, strict=True):
+            budget = len(segment) // 10 if len(segment) >= decontaminate.LEAST else 0
+            d = plain_edits(segment, text)
+            if d <= budget and (budget or b" " + segment + b" " in b" " + text + b" "):
+                want[item] = min(d, want.get(item, 99))
+        assert ids == sorted(want) and edits == (min(want.values()) if want else None)
+        caught += bool(want)
+    assert 20 < caught < 70
 
 
 def test_minhash(spark, odd):
@@ -314,8 +428,8 @@ def test_kernel_against_sets(monkeypatch):
 
 def test_every_language_is_learned(spark):
     rng = np.random.default_rng(9)
-    alphabets = [[chr(0x400 + 7 * k + j) for j in range(7)] for k in range(70)]
-    rows = [(k * 100 + i, " ".join("".join(rng.choice(alphabets[k], 5)) for _ in range(60)), f"l{k:02d}") for k in range(70) for i in range(12)]
+    alphabets = [[chr(0x4E00 + 7 * k + j) for j in range(7)] for k in range(70)]
+    rows = [(k * 100 + i, " ".join("".join(rng.choice(alphabets[k], 5)) for _ in range(12)), f"l{k:02d}") for k in range(70) for i in range(9)]
     rows.append((99_999, "x" * 30_000 + " " + rows[-1][1] * 300, "l69"))  # what tells the language stands late
     got = langid.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas().merge(__import__("pandas").DataFrame(rows, columns=["doc_id", "t", "lang"]))
     assert (got["lang_pred"] == got["lang"]).mean() > 0.97 and got["lang_pred"].nunique() >= 69
