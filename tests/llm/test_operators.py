@@ -458,11 +458,82 @@ def test_urls(spark):
     assert universe.select(cascade.has(universe["key"]).alias("y"), (universe["key"].cast("int") % 37 == 0).alias("w")).where("y <> w").count() == 0
 
 
-def test_pipeline(spark):
+def letters_known(model, text: bytes) -> float:
+    """The share of the n-grams of a text that are in a landmark, one after another."""
+    hit = [model.table[langid.gram_hashes(np.frombuffer(text[i : i + n].lower(), np.uint8), n)[0]] < len(model.at) - 1 for n in langid.ORDERS for i in range(len(text) - n + 1)]
+    return sum(hit) / max(1, len(hit))
+
+
+def within(segment: bytes, text: bytes) -> bool:
+    """Plain semi-global alignment, a row of the table at a time; only where a tenth and one of the segment stands in the text."""
+    budget = len(segment) // 10 if len(segment) >= decontaminate.LEAST else 0
+    if not budget:
+        return b" " + segment + b" " in b" " + text + b" "
+    ends = np.linspace(0, len(segment), budget + 2).astype(int)
+    if not any(segment[a:b] in text for a, b in zip(ends[:-1], ends[1:], strict=True)):
+        return False
+    data, row, at = np.frombuffer(text, np.uint8), np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
+    for i, c in enumerate(segment, 1):
+        new = np.minimum(row + 1, np.append(i, row[:-1] + (data != c)))
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min()) <= budget
+
+
+def test_pipeline_against_plain_stages(spark):
+    """Each stage on what the one before kept, by plain Python."""
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, SF)
-    assert out.where("NOT round_trip").count() == 0 and 0 < out.count() <= 200
+    docs = sorted((r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect())
+    model = langid.fit(table(spark, SF, "documents"))
+    docs = [(i, t) for i, t in docs if langid.LETTER.search(t) and letters_known(model, t.encode()) >= langid.FAMILIAR]
+    seen, shorter = set(), []
+    for i, t in docs:
+        lines = t.split("\n")
+        gone = [False] * len(lines)
+        for k in range(len(lines) - 2):
+            window = tuple(lines[k : k + 3])
+            if any(x.split() for x in window):
+                if window in seen:
+                    gone[k : k + 3] = [True] * 3
+                seen.add(window)
+        shorter.append((i, "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)))
+    sets = {}
+    for i, t in shorter:
+        words = t.encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+
+    def find(a):
+        return a if root[a] == a else find(root[a])
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    single = [(i, t) for i, t in shorter if find(i) == i]
+    segments = decontaminate.Index([], [])
+    items = [r["text"].encode() for r in table(spark, SF, "benchmark").collect()]
+    segments = decontaminate.Index([*range(len(items))], items).segments
+    clean = [(i, t) for i, t in single if not any(within(s, decontaminate.normal(t.encode())) for s in segments)]
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert sorted(got) == [i for i, _ in clean] and len(clean) < len(single) < len(shorter)
+    vocabulary = codec.Vocabulary.load(PIECES)
+    for i, t in clean:
+        ids = np.array(got[i]["token_ids"], np.int32)
+        assert got[i]["round_trip"] and got[i]["n_tokens"] == len(ids) and vocabulary.decode(ids, np.array([0, len(ids)])) == [t]
+
+
+def test_stages_on_odd_tables(spark, odd):
+    import corpus_pipeline
+
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            rows = out.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns, name
+            assert len(rows) == {"language ID": 7, "MinHash near-dedup": 9}.get(name, 11) * (docs is odd), (name, len(rows))
 
 
 def test_model_of_every_language(spark):
