@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +81,47 @@ def is_web(x: Column) -> Column:
     return x.startswith("http://") | x.startswith("https://")
 
 
+def is_linkable(x: Column) -> Column:
+    return x.startswith("/") | is_web(x)
+
+
+def doc_title(source: Column, origin: Column) -> Column:
+    return F.when(is_web(origin), source).when(source.startswith("/"), basename(source)).otherwise("")
+
+
+def chunk_label(title: Column, source: Column, origin: Column) -> Column:
+    return F.when(title != "", title).when(origin != "", origin).otherwise(basename(source))
+
+
+def openable(source: Column, origin: Column) -> Column:
+    return F.when(origin != "", origin).when(source.startswith("/") | source.startswith("http"), source).otherwise("")
+
+
+def safe_name(x: Column) -> Column:
+    """A title as a file name: no slashes, 60 characters."""
+    name = F.left(trim(F.translate(x, "/\\", "--")), F.lit(60))
+    return F.when(name == "", "untitled").otherwise(name)
+
+
+def stub(text: Column, source: Column, origin: Column) -> Column:
+    """(name, body) of the readable copy of a text that no file holds: a note is named by its first 20 bytes."""
+    web = F.struct(F.concat(safe_name(source), F.lit(".txt")).alias("name"), F.concat(F.lit("Title: "), source, F.lit("\nSource: "), origin, F.lit("\n\n"), text).alias("body"))
+    head = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, 20).cast("string"))
+    return F.when(is_web(origin), web).otherwise(F.struct(F.concat(safe_name(head), F.lit(".txt")).alias("name"), text.alias("body")))
+
+
+def query_flags(question: Column) -> Column:
+    """The question without its flags, and which of them it had."""
+    f = fields(question)
+    rest = F.array_join(F.filter(f, lambda w: ~w.isin("--date", "--source")), " ")
+    return F.struct(rest.alias("question"), F.array_contains(f, "--date").alias("date"), F.array_contains(f, "--source").alias("source"))
+
+
+def found_in(needle: Column, *haystack: Column) -> Column:
+    """Whether one of the texts contains the needle, whatever the case."""
+    return F.contains(F.lower(F.concat_ws("\n", *haystack)), F.lower(needle))
+
+
 def doc_key(source: Column, origin: Column, id: Column) -> Column:
     named = source.startswith("/") | source.startswith("http")
     return F.when(origin != "", origin).when(named, source).otherwise(F.concat(F.lit("chunk:"), id.cast("string")))
@@ -104,7 +147,7 @@ def graph_label(text: Column, source: Column, origin: Column) -> Column:
     path = F.when(origin.startswith("/"), origin).otherwise(source)
     two = F.regexp_extract(path, r"([^/]*/?[^/]+)/*\z", 1)
     web = F.when((source != "") & ~source.startswith("http"), source).when(host != "", host)
-    return F.coalesce(F.when(is_web(origin), web), F.when(path.startswith("/"), two), note)
+    return F.coalesce(F.when(origin.startswith("http"), web), F.when(path.startswith("/"), two), note)
 
 
 def truncate(x: Column, n: int) -> Column:
@@ -181,5 +224,24 @@ def context_window(text: Column, headroom: int = 1024) -> Column:
     return F.greatest(F.lit(4096), F.least(F.lit(32768), F.floor(F.octet_length(text) / 3) + headroom)).cast("int")
 
 
+def _folds() -> tuple[str, str]:
+    """Latin letters with marks and the letters they are without them."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c.islower() and len(unicodedata.normalize("NFD", c)) > 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+FOLDS = _folds()
+
+
+def fold(text: Column) -> Column:
+    """Lower case, without marks on Latin letters (standing apart or not)."""
+    return F.translate(F.regexp_replace(F.lower(text), r"[\x{300}-\x{36F}]", ""), *FOLDS)
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def plain_tokens(text: Column) -> Column:
+    """Tokens without marks, not yet stemmed."""
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")

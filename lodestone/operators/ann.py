@@ -1,21 +1,28 @@
-"""Approximate search: a hierarchical small-world graph (Malkov and Yashunin 2016) for each partition, answers merged."""
+"""Approximate search: a hierarchical small-world graph (Malkov and Yashunin 2016) for each share of the vectors, answers merged.
+
+Graphs are built once and kept as rows of a table (build, then write it); a search reads them and builds nothing."""
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
+import time
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+FORMAT = 1
+
 
 class Graph:
     def __init__(self, dim: int, m: int = 16, build: int = 200, seed: int = 42):
-        self.dim, self.m, self.build, self.rng = dim, m, build, np.random.default_rng(seed)
+        self.dim, self.m, self.build, self.rng = dim, m or 16, build or 200, np.random.default_rng(seed)
         self.vectors: list[np.ndarray] = []
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []  # None: replaced since
+        self.place: dict[int, int] = {}
         self.links: list[list[list[int]]] = []
         self.entry, self.top = -1, -1
 
@@ -52,8 +59,11 @@ class Graph:
     def add(self, id: int, vector: np.ndarray) -> None:
         if len(vector) != self.dim:
             raise ValueError(f"{len(vector)} dimensions instead of {self.dim}")
+        if id in self.place:
+            self.ids[self.place[id]] = None  # stays as a way through, but is no answer any more
         level, node = int(-math.log(1 - self.rng.random()) / math.log(self.m)), len(self.ids)
         self.ids.append(id)
+        self.place[id] = node
         self.vectors.append(vector)
         self.links.append([[] for _ in range(level + 1)])
         if self.entry >= 0:
@@ -73,28 +83,129 @@ class Graph:
         if level > self.top:
             self.entry, self.top = node, level
 
+    def __len__(self) -> int:
+        return len(self.place)
+
     def search(self, q: np.ndarray, k: int, ef: int = 64) -> list[tuple[float, int]]:
         if self.entry < 0 or k <= 0:
             return []
+        if len(q) != self.dim:
+            raise ValueError(f"{len(q)} dimensions instead of {self.dim}")
         near = [self.entry]
         for layer in range(self.top, 0, -1):
             near = [self._search(q, near, 1, layer)[0][1]]
-        return [(d, self.ids[i]) for d, i in self._search(q, near, max(ef, k), 0)[:k]]
+        dead = len(self.ids) - len(self.place)
+        found = self._search(q, near, max(ef, k) + min(dead, ef), 0)
+        return [(d, self.ids[i]) for d, i in found if self.ids[i] is not None][:k]
 
+    def bytes(self) -> int:
+        """Vectors and links in memory."""
+        return 4 * self.dim * len(self.ids) + 8 * sum(len(layer) for node in self.links for layer in node)
 
-def search(vectors: DataFrame, queries: pd.DataFrame, k: int, ef: int = 64, parts: int = 4, m: int = 16, build: int = 200) -> DataFrame:
-    """(query_id, id, distance, rank). queries: a stated set (query_id, embedding) that goes to every partition's index."""
-    asked = [(int(i), np.asarray(v, np.float32)) for i, v in queries[["query_id", "embedding"]].itertuples(index=False)]
+    def dump(self) -> bytes:
+        return pickle.dumps({"format": FORMAT, "dim": self.dim, "m": self.m, "build": self.build, "rng": self.rng, "vectors": np.stack(self.vectors) if self.vectors else None, "ids": self.ids, "place": self.place, "links": self.links, "entry": self.entry, "top": self.top})
 
-    def run(it):
-        graph = None
-        for pdf in it:
-            for id, v in pdf[["id", "embedding"]].itertuples(index=False):
-                graph = graph or Graph(len(v), m, build)
-                graph.add(int(id), np.asarray(v, np.float32))
-        rows = [(qi, i, float(d)) for qi, q in asked for d, i in graph.search(q, k, ef)] if graph else []
-        yield pd.DataFrame(rows, columns=["query_id", "id", "distance"])
+    @classmethod
+    def restore(cls, data: bytes) -> Graph:
+        held = pickle.loads(data)  # noqa: S301 - written by dump() into a table of the user's own
+        if held.pop("format", None) != FORMAT:
+            raise ValueError("an index of another format")
+        out = cls(held["dim"], held["m"], held["build"])
+        held["vectors"] = list(held["vectors"]) if held["vectors"] is not None else []
+        out.__dict__.update(held)
+        return out
+
+
+def build(vectors: DataFrame, rows: int = 5000, m: int = 16, effort: int = 200) -> DataFrame:
+    """(part, n, graph): an index of vectors (id, embedding), a graph for about ``rows`` of them. Of repeated ids the last in a part counts."""
+    parts = max(1, -(-vectors.count() // rows))
+
+    def graph(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = Graph(len(pdf["embedding"].iloc[0]), m, effort)
+        for id, v in pdf[["id", "embedding"]].sort_values("id", kind="stable").itertuples(index=False):
+            out.add(int(id), np.asarray(v, np.float32))
+        return pd.DataFrame({"part": [key[0]], "n": [len(out)], "graph": [out.dump()]})
 
-    local = vectors.select("id", "embedding").repartition(parts, "id").mapInPandas(run, "query_id long, id long, distance double")
+    dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    return dealt.groupBy("part").applyInPandas(graph, "part int, n long, graph binary")
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 64, block: int = 2000) -> DataFrame:
+    """(query_id, id, distance, rank) of queries (query_id, embedding), which meet every graph in blocks; graphs are not copied to tasks
+    that do not search them."""
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = asked.crossJoin(index.select(F.col("part").alias("at")))  # a row for each graph, of which there are few
+    graphs = index.select("part", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for data in g["graph"]:
+            held = Graph.restore(data)
+            rows += [(int(i), int(j), float(d)) for i, v in q[["query_id", "embedding"]].itertuples(index=False) for d, j in held.search(np.asarray(v, np.float32), k, ef)]
+        return pd.DataFrame(rows, columns=["query_id", "id", "distance"])
+
+    local = asked.groupBy("at", "block").cogroup(graphs.groupBy("part", "block")).applyInPandas(run, "query_id long, id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+CENTRES, SPREAD = 60, 0.35
+
+
+def clustered(n: int, dim: int, seed: int = 42, first: int = 0) -> np.ndarray:
+    """Unit vectors around CENTRES random directions, at about SPREAD from them in all; the numbers first to first + n of a seed."""
+    centres = np.random.default_rng(seed).standard_normal((CENTRES, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    rng = np.random.default_rng([seed, first])
+    v = centres[rng.integers(0, CENTRES, n)] + rng.standard_normal((n, dim)) * SPREAD / math.sqrt(dim)
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def synthetic(spark: SparkSession, n: int, dim: int = 768, seed: int = 42, rows: int = 2000) -> DataFrame:
+    """(id, embedding): n clustered vectors, made in tasks, the same for the same seed."""
+
+    def make(it):
+        for pdf in it:
+            for first in pdf["id"]:
+                v = clustered(min(rows, n - int(first)), dim, seed, int(first))
+                yield pd.DataFrame({"id": np.arange(first, first + len(v)), "embedding": list(v)})
+
+    return spark.range(0, n, rows, max(1, -(-n // rows))).mapInPandas(make, "id long, embedding array<float>")
+
+
+def sweep(spark: SparkSession, sizes=(1000, 5000), efs=(64,), dim: int = 768, k: int = 10, questions: int = 25, m: int = 16, effort: int = 100, seed: int = 42) -> DataFrame:
+    """(n, ef, build_s, exact_us, approximate_us, recall, bytes, speedup): one graph a size, in one task after another so that times are
+    a lone searcher's; medians are upper ones."""
+
+    def run(it):
+        for pdf in it:
+            for n in pdf["n"]:
+                v, asked = clustered(int(n), dim, seed), clustered(questions, dim, seed, 10**9)
+                began, g = time.perf_counter(), Graph(dim, m, effort, seed)
+                for i, x in enumerate(v):
+                    g.add(i, x)
+                built, exact, slow = time.perf_counter() - began, [], []
+                for q in asked:
+                    at = time.perf_counter()
+                    d = v @ q
+                    best = np.argpartition(-d, min(k, len(d)) - 1)[:k]
+                    slow.append(time.perf_counter() - at)
+                    exact.append(set(best.tolist()))
+                for ef in efs:
+                    fast, hits = [], 0
+                    for q, want in zip(asked, exact, strict=True):
+                        at = time.perf_counter()
+                        got = g.search(q, k, ef)
+                        fast.append(time.perf_counter() - at)
+                        hits += len(want & {i for _, i in got})
+                    a, b = sorted(slow)[len(slow) // 2], sorted(fast)[len(fast) // 2]
+                    yield pd.DataFrame([(int(n), ef, built, a * 1e6, b * 1e6, hits / (k * questions), g.bytes(), a / b)], columns=["n", "ef", "build_s", "exact_us", "approximate_us", "recall", "bytes", "speedup"])
+
+    rows = spark.createDataFrame([(int(n),) for n in sizes], "n long").coalesce(1)
+    return rows.mapInPandas(run, "n long, ef int, build_s double, exact_us double, approximate_us double, recall double, bytes long, speedup double")
+
+
+def crossover(swept: DataFrame) -> DataFrame:
+    """(ef, n): the smallest size at which the graph is faster than the plain search; none, no row."""
+    return swept.where("speedup > 1").groupBy("ef").agg(F.min("n").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.config import DEFAULTS, Settings
 from lodestone.functions import text as T
 
+#: The form of a heading; lines that close a block of code.
 HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*#*\Z")
 CLOSERS = {"}", ")", "};", "):", "]"}
 
@@ -48,7 +49,7 @@ def sections(text: str) -> list[tuple[str, str]]:
             found = None if fenced else HEADING.match(line)
         if line is None or found:
             if "\n".join(body).strip():
-                out.append((" > ".join(x for x in stack if x), "\n".join(body).strip()))
+                out.append((" > ".join(stack), "\n".join(body).strip()))
             body = []
         if found:
             level = len(found[1])
@@ -76,25 +77,37 @@ def code_chunks(text: str, s: Settings = DEFAULTS) -> list[str]:
     return [b for b in bodies if b.strip()]
 
 
-def stitch(chunks: list[str], most: int = 4096) -> str:
-    """Chunks of one document back to a text; the longest common end and beginning counts once."""
-    out, last = "", None
-    for c in chunks:
-        if last is None:
-            out, last = c, c
-            continue
-        if c in last:
-            continue
-        a, b = last.encode()[-most:], c.encode()
-        n = next((k for k in range(min(len(a), len(b)), 0, -1) if a.endswith(b[:k])), 0)
-        rest = b[n:].decode("utf-8", "replace")
-        out += "\n\n" + rest if not n else rest if out[-1:].isspace() or rest[:1].isspace() else " " + rest
-        last = c
-    return out
+def overlap(before: bytes, after: bytes, most: int = 4096) -> int:
+    """The length of the longest end of one that the other begins with."""
+    before = before[-most:]
+    at = 0 if len(before) <= len(after) else len(before) - len(after)
+    while not after.startswith(before[at:]):
+        at = before.find(after[:1], at + 1)
+        if at < 0:
+            return 0
+    return len(before) - at
+
+
+def stitch(chunks: list[str]) -> str:
+    """Chunks of one document back to a text; what a chunk repeats of the end of the one before counts once.
+
+    A chunk that is nothing but such a repetition is left out, and the next one is compared with the one before it.
+    """
+    if not chunks:
+        return ""
+    texts = [c.encode() for c in chunks]
+    out, last = [texts[0]], texts[0]
+    for t in texts[1:]:
+        n = overlap(last, t)
+        if n < len(t):
+            out += [b"\n\n" if not n else b"" if t[n : n + 1] == b" " or last.endswith(b" ") else b" ", t[n:]]
+            last = t
+    return b"".join(out).decode("utf-8", "replace")
 
 
 def chunk(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """(id, chunk_index, heading_path, text) of docs (id, text, content_type); texts over s.max_bytes are refused (error column)."""
+    """(id, chunk_index, heading_path, text, error) of docs (id, text, content_type). A text over s.max_bytes is refused and a null
+    one is none: each gives one row with an error and no text. An empty text gives no row."""
     split = docs.select("id", "text", "content_type", T.sentences(F.col("text")).alias("sentences"))
 
     def run(it):
@@ -102,6 +115,7 @@ def chunk(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
             rows = []
             for id, text, kind, sentences in pdf.itertuples(index=False):
                 if text is None:
+                    rows.append((id, 0, "", None, "no text"))
                     continue
                 if len(text.encode()) > s.max_bytes:
                     rows.append((id, 0, "", None, f"over {s.max_bytes} bytes"))

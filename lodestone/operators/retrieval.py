@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS
-from lodestone.functions import text as T
+from lodestone.operators.shared import kept
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,34 +35,91 @@ def knn(vectors: DataFrame, query: list[float], k: int, floor: float | None = No
     return top if floor is None else top.where(F.col("distance") <= floor)
 
 
-def _candidates(vectors: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
-    """(i, j) of nearby vectors, i <> j: vectors meet block by block as packed matrices, products within each task.
+BLOCK = 4096
 
-    Blocks are rows of a table and pair up by an equi-join on the pair's name, so no vector set is broadcast."""
-    n_blocks = max(1, -(-vectors.count() // block))
-    part = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    pairs = vectors.select("id", "embedding", part.alias("b")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = pairs.select("id", "embedding", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), (F.col("b") <= F.col("o")).alias("left"), (F.col("b") >= F.col("o")).alias("right"))
 
-    def near(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_numpy()
-        m = np.stack(table["embedding"].to_numpy(zero_copy_only=False)).astype(np.float32)
-        a, b = table["left"].to_numpy(), table["right"].to_numpy()
-        i, j = np.nonzero(m[a] @ m[b].T > 1 - threshold - 1e-4)
-        i, j = ids[a][i], ids[b][j]
-        both = pa.table({"i": np.concatenate([i, j]), "j": np.concatenate([j, i])})
-        return both.filter(pa.compute.not_equal(both["i"], both["j"]))
+def _blocks(v: DataFrame, n: DataFrame | int) -> int:
+    return max(1, -(-(n if isinstance(n, int) else n.count()) // BLOCK))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float32)
+
+
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine distances of rows in double precision, summed in the order of the components."""
+    return 1.0 - np.add.accumulate(a.astype(np.float64) * b.astype(np.float64), axis=1)[:, -1] if len(a) else np.empty(0)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, below: float | None = None, which: str = "any") -> DataFrame:
+    """(query_id, id, distance, rank from 1): the k nearest of each query (query_id, embedding), ties by id.
 
-    import pyarrow.compute  # noqa: F401
+    below: only what is nearer. which: any, other (not the query's own id) or earlier (smaller ids). Queries and vectors are
+    dealt to blocks that meet by an equi-join on the pair's name, so nothing is broadcast; a block pair is one matrix product,
+    exact distances of what may be among the k nearest, and at most k rows a query.
+    """
+    nq, nv = _blocks(queries, queries), _blocks(vectors, vectors)
+    part = lambda id, n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col("query_id").cast("long").alias("id"), "embedding", part("query_id", nq).alias("x")).withColumn("y", each(nv))
+    right = vectors.select(F.col("id").cast("long").alias("id"), "embedding", part("id", nv).alias("y")).withColumn("x", each(nq))
 
-    return pairs.groupBy("x", "y").applyInArrow(near, "i long, j long").distinct()
+    def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if a.num_rows and b.num_rows:
+            qi, vi, q, v = a["id"].to_numpy(), b["id"].to_numpy(), _matrix(a["embedding"]), _matrix(b["embedding"])
+            order = np.argsort(vi, kind="stable")
+            vi, v = vi[order], v[order]
+            for i in range(0, len(qi), 512):
+                m = q[i : i + 512] @ v.T
+                ids = qi[i : i + 512, None]
+                if which != "any":
+                    m[(vi[None, :] == ids) if which == "other" else (vi[None, :] >= ids)] = -np.inf
+                least = np.partition(m, len(vi) - k, axis=1)[:, len(vi) - k] if k < len(vi) else np.full(len(m), -np.inf)
+                least = np.maximum(least, -1e30 if below is None else 1 - below) - 1e-4  # what single precision may hide
+                row, col = np.nonzero(m >= least[:, None])
+                d = exact(q[i + row], v[col])
+                if below is not None:
+                    row, col, d = row[d < below], col[d < below], d[d < below]
+                by = np.lexsort((col, d, row))
+                row, col, d = row[by], col[by], d[by]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                out.append((qi[i + row[rank < k]], vi[col[rank < k]], d[rank < k]))
+        joined = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table({"query_id": joined[0], "id": joined[1], "distance": joined[2]})
+
+    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(meet, "query_id long, id long, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def edges(vectors: DataFrame, threshold: float, most: int = DEFAULTS.max_edges, which: str = "other", queries: DataFrame | None = None) -> DataFrame:
+    """(source_id, target_id, distance): of each vector the nearest others under the threshold."""
+    asked = (vectors if queries is None else queries).select(F.col("id").alias("query_id"), "embedding")
+    return nearest(asked, vectors, most, threshold, which).select(F.col("query_id").alias("source_id"), F.col("id").alias("target_id"), "distance")
 
 
 def neighbours(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(source_id, target_id, distance) of all ordered pairs nearer than the threshold, distances in double precision."""
-    v = vectors.select("id", "embedding")
-    found = _candidates(v, threshold).join(v.select(F.col("id").alias("i"), F.col("embedding").alias("a")), "i").join(v.select(F.col("id").alias("j"), F.col("embedding").alias("b")), "j")
-    return found.select(F.col("i").alias("source_id"), F.col("j").alias("target_id"), distance(F.col("a"), F.col("b")).alias("distance")).where(F.col("distance") < threshold)
+    """(source_id, target_id, distance) of all ordered pairs nearer than the threshold, distances in double precision.
+
+    Each unordered pair of blocks is one equi-joined group and one matrix product; distances are worked out there."""
+    n = _blocks(vectors, vectors)
+    part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    dealt = vectors.select(F.col("id").cast("long").alias("id"), "embedding", part.alias("b")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.select("id", "embedding", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+
+    def near(key: tuple, table: pa.Table) -> pa.Table:
+        ids, m, block = table["id"].to_numpy(), _matrix(table["embedding"]), table["b"].to_numpy()
+        a, b = np.flatnonzero(block == key[0].as_py()), np.flatnonzero(block == key[1].as_py())
+        i, j = np.nonzero(m[a] @ m[b].T > 1 - threshold - 1e-4)
+        i, j = a[i], b[j]
+        once = ids[i] < ids[j] if key[0] == key[1] else ids[i] != ids[j]
+        i, j = i[once], j[once]
+        d = exact(m[i], m[j])
+        i, j, d = ids[i[d < threshold]], ids[j[d < threshold]], d[d < threshold]
+        return pa.table({"source_id": np.concatenate([i, j]), "target_id": np.concatenate([j, i]), "distance": np.concatenate([d, d])})
+
+    return dealt.groupBy("x", "y").applyInArrow(near, "source_id long, target_id long, distance double")
 
 
 def top_edges(pairs: DataFrame, most: int = DEFAULTS.max_edges) -> DataFrame:
@@ -71,78 +128,36 @@ def top_edges(pairs: DataFrame, most: int = DEFAULTS.max_edges) -> DataFrame:
 
 
 def greedy_near_dups(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, kept): in id order an item goes if an earlier kept one is near. Decided in rounds: what has no undecided earlier
-    neighbour is settled; each round is a join, and rounds end when nothing is open."""
-    from pyspark.sql import SparkSession
-
-    spark: SparkSession = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
+    """(id, kept): in id order an item goes if an earlier kept one is near. ids: id, and kept where that is settled already.
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    earlier = pairs.where("target_id < source_id").select(F.col("source_id").alias("id"), F.col("target_id").alias("e")).checkpoint()
-    state = ids.select("id", F.lit(None).cast("boolean").alias("kept"))
+    Decided in rounds: what has no undecided earlier neighbour is settled; each round is a join, and rounds end when nothing
+    is open."""
+    earlier = kept(pairs.where("target_id < source_id").select(F.col("source_id").alias("id"), F.col("target_id").alias("e")))
+    settled = F.col("kept") if "kept" in ids.columns else F.lit(None).cast("boolean")
+    state = ids.select("id", settled.alias("kept"))
     while True:
         seen = earlier.join(state.select(F.col("id").alias("e"), F.col("kept").alias("k")), "e").groupBy("id").agg(F.max(F.coalesce("k", F.lit(False))).alias("near"), F.max(F.col("k").isNull()).alias("open"))
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("near", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = state.join(seen, "id", "left").select("id", new.alias("kept")).checkpoint()
+        state = kept(state.join(seen, "id", "left").select("id", new.alias("kept")))
         if state.where("kept IS NULL").isEmpty():
             return state
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf, dl) of docs (id, text)."""
-    t = docs.select("id", T.tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    return t.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank): top k of each query (query_id, text); a term counts as often as the query has it."""
-    terms = queries.select("query_id", F.explode(T.tokens(F.array_join(T.query_terms(F.col("text")), " "))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    stats = docs.select(F.size(T.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    post = postings(docs).join(terms.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qf") * F.when(raw <= 0, 1e-6).otherwise(raw) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = post.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-
-
 def rrf(lists: DataFrame, k: int, c: int = DEFAULTS.rrf_k) -> DataFrame:
-    """Fuse ranked lists (query_id, list_no, rank from 1, id): (query_id, id, score, rank), ties by first appearance."""
-    one = lists.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (c + F.col("rank"))), 12).alias("score"), F.min(F.struct("list_no", "rank")).alias("seen"))
+    """Fuse ranked lists (query_id, list_no, rank from 1, id): (query_id, id, score, rank), ties by first appearance. If the
+    lists have a distance, an item keeps that of its first appearance."""
+    seen, more = F.struct("list_no", "rank"), []
+    if "distance" in lists.columns:
+        more = [F.min_by("distance", seen).alias("distance")]
+    one = lists.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (c + F.col("rank"))), 12).alias("score"), F.min(seen).alias("seen"), *more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "seen")
-    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
-
-
-def project(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Chunk edges to undirected document edges (a, b, distance): the least distance of each pair. nodes: id, doc_key."""
-    s, t = nodes.select(F.col("id").alias("source_id"), F.col("doc_key").alias("s")), nodes.select(F.col("id").alias("target_id"), F.col("doc_key").alias("t"))
-    joined = edges.join(s, "source_id").join(t, "target_id").where("s <> t")
-    return joined.groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.min("distance").alias("distance"))
-
-
-def walk(edges: DataFrame, root, depth: int, most: int = DEFAULTS.max_depth) -> DataFrame:
-    """(node, depth) within depth hops of root over undirected edges (a, b)."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    seen = edges.sparkSession.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth"))
-    for d in range(1, max(0, min(depth, most)) + 1):
-        front = seen.where(F.col("depth") == d - 1).select(F.col("node").alias("a"))
-        new = both.join(front, "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = seen.union(new.select("node", F.lit(d).alias("depth")))
-    return seen
-
-
-def evaluate(results: DataFrame, cases: DataFrame, ks=DEFAULTS.ks) -> DataFrame:
-    """One row a case: first relevant rank (0: none) and recall at each k. results: query_id, rank, source; cases: query_id, relevant."""
-    hit = results.join(cases.select("query_id", F.explode("relevant").alias("want")), "query_id").where(F.contains("source", "want"))
-    firsts = hit.groupBy("query_id", "want").agg(F.min("rank").alias("r"))
-    per = firsts.groupBy("query_id").agg(F.min("r").alias("first"), *[F.count(F.when(F.col("r") <= k, 1)).alias(f"h{k}") for k in ks])
-    out = cases.join(per, "query_id", "left")
-    return out.select("query_id", F.coalesce("first", F.lit(0)).alias("first_rank"), *[(F.coalesce(f"h{k}", F.lit(0)) / F.size("relevant")).alias(f"recall_{k}") for k in ks])
+    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("seen").select("query_id", "id", "score", "rank", *(["distance"] if more else []))
 
 
-def percentile(x: Column, p: float) -> Column:
-    """The element at the lower nearest rank p/100 * (n - 1)."""
-    s = F.array_sort(F.collect_list(x))
-    return F.element_at(s, F.floor(F.lit(p) / 100 * (F.size(s) - 1)).cast("int") + 1)
+def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """For each group the elements at the lower nearest ranks p/100 * (n - 1): counts by value, and where their running sum gets there."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value))
+    ranked = counts.withColumn("__upto", upto).join(total, keys)
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("__upto") > F.floor(F.lit(p) / 100 * (F.col("__all") - 1)), F.col(value))).alias(name) for name, p in ps.items()])

@@ -48,19 +48,15 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract(files: DataFrame, pdf=None) -> DataFrame:
-    """(path, modificationTime, content_type, text) of files (path, content, modificationTime). pdf: a column function for PDF bytes."""
-    ext, raw = T.extension(F.col("path")), F.decode("content", "UTF-8")
-    plain = F.when(F.length("content") < DEFAULTS.min_file_bytes, "").when(F.instr(F.hex("content"), "00") % 2 == 1, "")
+    """(path, modificationTime, content_type, text, error) of files (path, content, modificationTime). pdf: a column function for
+    PDF bytes; without it such files have an error and no text. Bytes that are no UTF-8 become U+FFFD."""
+    ext, raw = T.extension(F.col("path")), F.make_valid_utf8(F.col("content").cast("string"))
+    nul = F.instr(F.decode("content", "ISO-8859-1"), "\x00") > 0
+    plain = F.when(F.length("content") < DEFAULTS.min_file_bytes, "").when(nul, "")
     text = (
-        F.when(ext == ".docx", _docx("content")).when(ext == ".pdf", pdf(F.col("content")) if pdf else F.lit(""))
+        F.when(ext == ".docx", _docx("content")).when(ext == ".pdf", F.regexp_replace(pdf(F.col("content")), "\r\n", "\n") if pdf else F.lit(""))
         .when(plain.isNotNull(), plain).when(ext.isin(".md", ".markdown"), T.clean_markdown(raw)).when(ext.isin(".html", ".htm"), T.strip_html(raw)).otherwise(raw)
     )
+    error = F.lit(None).cast("string") if pdf else F.lit("no function for PDF text was given")
     text = F.when(F.octet_length(text) < DEFAULTS.min_file_bytes, "").otherwise(text)
-    return files.where(T.is_supported(F.col("path"))).select("path", "modificationTime", T.content_type(F.col("path")).alias("content_type"), text.alias("text"))
-
-
-def write_snapshot(tables: dict[str, DataFrame], base: str, version: int) -> str:
-    """Each table into base/v=N; the caller names the new version only after all are written."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{base}/v={version}/{name}")
-    return f"{base}/v={version}"
+    return files.where(T.is_supported(F.col("path"))).select("path", "modificationTime", T.content_type(F.col("path")).alias("content_type"), text.alias("text"), F.when(ext == ".pdf", error).alias("error"))
