@@ -70,6 +70,7 @@ def without_context(question: Column) -> Column:
 
 def grounding(checked: Column, supported: Column, unsupported: Column) -> Column:
     """The report under an answer: nothing if no claim was checked. unsupported: array of claims."""
-    share = F.format_string("\n--- grounding: %.0f%% (%d/%d claims supported)", 100.0 * supported / F.when(checked > 0, checked), supported, checked)
+    percent = F.bround(100.0 * supported / F.when(checked > 0, checked), 0)
+    share = F.format_string("\n--- grounding: %.0f%% (%d/%d claims supported)", percent, supported, checked)
     lines = F.array_join(F.transform(unsupported, lambda c: F.concat(F.lit("  ! not in your documents: "), head(c, 120), F.lit("\n"))), "")
     return F.when(checked == 0, "").otherwise(F.concat(share, F.when(F.size(unsupported) == 0, " ---\n").otherwise(F.concat(F.format_string(", %d unsupported ---\n", F.size(unsupported)), lines))))

@@ -61,13 +61,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, below: float | None
     nq, nv = _blocks(queries, queries), _blocks(vectors, vectors)
     part = lambda id, n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("query_id").cast("long").alias("id"), "embedding", part("query_id", nq).alias("x")).withColumn("y", each(nv))
-    right = vectors.select(F.col("id").cast("long").alias("id"), "embedding", part("id", nv).alias("y")).withColumn("x", each(nq))
+    left = queries.select(F.col("query_id").cast("long").alias("id"), F.col("embedding").alias("q"), part("query_id", nq).alias("x")).withColumn("y", each(nv))
+    right = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").alias("v"), part("id", nv).alias("y")).withColumn("x", each(nq))
 
     def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if a.num_rows and b.num_rows:
-            qi, vi, q, v = a["id"].to_numpy(), b["id"].to_numpy(), _matrix(a["embedding"]), _matrix(b["embedding"])
+            qi, vi, q, v = a["id"].to_numpy(), b["id"].to_numpy(), _matrix(a["q"]), _matrix(b["v"])
             order = np.argsort(vi, kind="stable")
             vi, v = vi[order], v[order]
             for i in range(0, len(qi), 512):
