@@ -4,16 +4,20 @@ A document is the set of its distinct shingles of five words (A-Z lower-cased),
 hash names one of 256 buckets; of a bucket's least hash the register keeps the number of leading zeros and the next ten
 bits (Yu and Weber 2017). Documents of equal sets are one class from the start. Bands of registers propose groups;
 for this alone an empty register borrows from another one by a fixed probe sequence (Shrivastava 2017), so that small
-sets do not meet on a single common shingle. Groups of the same members count once, and a large group is dealt to blocks
-of at most 512 members each way.
+sets do not meet on a single common shingle. Groups of the same members count once.
 
+0. A group of over ``BLOCK`` members is first linked to its least member: registers estimate, full sets confirm. Members that
+   this leaves in different components are banded anew, by ``layout``'s double length and as many bands as its miss
+   probability asks for, each of registers chosen by a fixed draw; these groups take the large one's place. One that is still
+   large is dealt to blocks of at most 512 members each way.
 1. In each block pair, registers cut to eight bits give the Jaccard estimates, less the expected chance collisions. A
    member without any partner within five standard errors of the threshold leaves the block; most leave here.
 2. The others are compared with the least member of their block on the full sets; components of these links follow.
 3. Blocks that still hold several components are compared within, only across components, estimate first (full
    registers) and full sets after; a block hands back at most a spanning forest, never its pairs.
 
-So every pair that shares a band is compared or already connected. ``layout`` takes the longest bands that a pair at the
+So every pair that shares a band of a smaller group, or one of the longer bands, is compared or already connected; the latter
+miss a pair at the threshold with a probability of ``MISS`` too. ``layout`` takes the longest bands that a pair at the
 threshold misses with a probability of ``MISS`` at most: at 0.85 32 bands of 8 registers, all missed with a probability of
 (1 - 0.85^8)^32, about 4e-5 (at 0.9, 2e-8); at 0.8 36 bands of 7, 2e-4.
 
@@ -125,6 +129,23 @@ def layout(percent: int) -> tuple[int, int]:
     return next((r, BUCKETS // r) for r in range(BUCKETS, 0, -1) if r == 1 or (1 - (percent / 100) ** r) ** (BUCKETS // r) <= MISS)
 
 
+def draws(percent: int) -> np.ndarray:
+    """(bands, registers): of double the length, as many as leave a pair of that similarity a probability of MISS to share none."""
+    long = min(BUCKETS, 2 * layout(percent)[0])
+    bands = int(np.ceil(np.log(MISS) / np.log1p(-min((percent / 100) ** long, 1 - 1e-9))))
+    rng = np.random.default_rng(percent)
+    return np.stack([rng.choice(BUCKETS, long, replace=False) for _ in range(bands)])
+
+
+def long_keys(regs: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """(texts, bands) keys of the chosen registers."""
+    full = dense(regs).astype(np.uint64) << np.uint64(8)
+    key = np.broadcast_to(np.arange(len(chosen), dtype=np.uint64) + np.uint64(1 << 20), (len(regs), len(chosen)))
+    for k in range(chosen.shape[1]):
+        key = splitmix(key ^ full[:, chosen[:, k]])
+    return key.view(np.int64)
+
+
 def band_keys(regs: np.ndarray, rows: int, bands: int) -> np.ndarray:
     """(texts, bands) keys."""
     part = dense(regs)[:, : rows * bands].reshape(len(regs), bands, rows)
@@ -191,6 +212,59 @@ def forest(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
+def _groups(members: DataFrame) -> DataFrame:
+    """(key, m, lo) of members (key, doc): groups of two at least, one of those with the same members."""
+    x = F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2")
+    found = members.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("m"), *x).where("lo < hi")
+    return found.groupBy("m", "x1", "x2").agg(F.min(F.struct("key", "lo")).alias("k")).select("k.key", "m", "k.lo")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, shingles) of the wanted documents (doc)."""
+
+    def full(texts: list[bytes]) -> dict:
+        h, n = shingle_sets(texts)
+        upto = np.append(0, np.cumsum(n))
+        return {"shingles": [h[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]}
+
+    chosen = docs.where(F.col("doc_id").isNotNull()).join(wanted.hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi")
+    return cut(map_chunks(chosen, ["text"], full, "shingles binary", ["doc_id"]).withColumnRenamed("doc_id", "doc"))
+
+
+CHECKED = 1 << 22
+
+
+def _check(percent: int):
+    def check(_: list[bytes], a: pa.Array, b: pa.Array) -> dict:
+        return {"ok": [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]}
+
+    return check
+
+
+def _apart(docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of large groups (members: key, doc, lo): links to their least members, and (key, doc) of the longer bands of what these leave apart."""
+    pairs = members.where("doc > lo").select("doc", F.col("lo").alias("centre")).distinct()
+    mine = reps.select("doc", "n", "regs")
+    other = reps.select(F.col("doc").alias("centre"), F.col("n").alias("n2"), F.col("regs").alias("regs2"))
+    both = pairs.join(mine.hint("merge"), "doc").join(other, "centre")
+
+    def near(_: list[bytes], a: pa.Array, b: pa.Array, n: pa.Array, n2: pa.Array) -> dict:
+        return {"near": plausible(_regs(a), _regs(b), n.to_numpy(), n2.to_numpy(), percent)}
+
+    likely = cut(map_chunks(both, ["regs", "regs", "regs2", "n", "n2"], near, "near boolean", ["doc", "centre"]).where("near").select("doc", "centre"))
+    sets = _sets(docs, likely.select("doc").union(likely.select("centre")).distinct())
+    met = likely.join(sets.withColumnRenamed("shingles", "x").hint("merge"), "doc").join(sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("y")).hint("merge"), "centre")
+    links = cut(map_chunks(met, ["x", "x", "y"], _check(percent), "ok boolean", ["doc", "centre"], CHECKED).where("ok").select(F.col("doc").alias("a"), F.col("centre").alias("b")))
+    comp = components(links, "a", "b").withColumnRenamed("node", "doc")
+    placed = cut(members.select("key", "doc").join(comp, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("comp")))
+    apart = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
+    left = cut(placed.join(apart, "key", "left_semi").select("doc", "comp").distinct())
+    chosen = draws(percent)
+    keyed = map_chunks(left.join(mine.hint("merge"), "doc"), ["regs", "regs"], lambda _, regs: {"keys": list(long_keys(_regs(regs), chosen))}, "keys array<long>", ["doc", "comp"]).select("doc", "comp", F.explode("keys").alias("key"))
+    mixed = cut(keyed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key"))
+    return links, cut(keyed.join(mixed.hint("merge"), "key").select("key", "doc"))
+
+
 def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -208,10 +282,15 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     banded = map_chunks(reps, ["regs", "regs"], bands, "keys array<long>", ["doc"]).select("doc", F.explode("keys").alias("key"))
     shared = cut(banded.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"))
     members = cut(banded.join(shared.hint("merge"), "key"))
-    one_each = members.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x2")).where("lo < hi")
-    one_each = cut(one_each.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m"))
+    one_each = cut(_groups(members))
+    hot = one_each.where(F.col("m") > BLOCK)
+    before = None
+    if not hot.isEmpty():
+        before, longer = _apart(docs, reps, cut(members.join(hot.select("key", "lo"), "key")), percent)
+        members = cut(members.join(one_each.where(F.col("m") <= BLOCK).select("key"), "key", "left_semi").union(longer))
+        one_each = cut(_groups(members))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = members.join(one_each, "key").withColumn("bs", blocks).withColumn("b", F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int"))
+    dealt = members.join(one_each.select("key", "m"), "key").withColumn("bs", blocks).withColumn("b", F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int"))
     # a block meets each other block once, and itself (side 2: all pairs within count)
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)))
     dealt = dealt.select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("gid"), "doc", F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"))
@@ -222,19 +301,11 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = placed.where("doc > centre").select("doc", "centre").distinct()
     wanted = met.select("doc").distinct()
 
-    def full(texts: list[bytes]) -> dict:
-        h, n = shingle_sets(texts)
-        upto = np.append(0, np.cumsum(n))
-        return {"shingles": [h[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]}
-
-    chosen = docs.where(F.col("doc_id").isNotNull()).join(wanted.hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi")
-    sets = cut(map_chunks(chosen, ["text"], full, "shingles binary", ["doc_id"]).withColumnRenamed("doc_id", "doc"))
-
-    def check(_: list[bytes], a: pa.Array, b: pa.Array) -> dict:
-        return {"ok": [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]}
+    sets = _sets(docs, wanted)
 
     checked = pairs.join(sets.withColumnRenamed("shingles", "x").hint("merge"), "doc").join(sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("y")).hint("merge"), "centre")
-    links = cut(map_chunks(checked, ["x", "x", "y"], check, "ok boolean", ["doc", "centre"]).where("ok").select(F.col("doc").alias("a"), F.col("centre").alias("b")))
+    links = map_chunks(checked, ["x", "x", "y"], _check(percent), "ok boolean", ["doc", "centre"], CHECKED).where("ok").select(F.col("doc").alias("a"), F.col("centre").alias("b"))
+    links = cut(links if before is None else links.union(before))
     first = components(links, "a", "b")
     own = F.coalesce("component", "doc").alias("comp")
     placed = cut(placed.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("gid", "doc", "side", own))

@@ -353,7 +353,9 @@ def test_decontamination_against_plain_alignment(hits, monkeypatch):
     assert 20 < caught < 70
 
 
-def test_minhash(spark, odd):
+@pytest.mark.parametrize("block", [512, 3])
+def test_minhash(spark, odd, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)  # 3: every group is a large one
     rng = np.random.default_rng(3)
     rows = []
     for g in range(6):
@@ -363,8 +365,9 @@ def test_minhash(spark, odd):
             for _ in range(v // 3):
                 copy[rng.integers(0, 60)] = f"z{rng.integers(0, 9999)}"
             rows.append((g * 10 + v, " ".join(copy)))
+    rows += [(100 + k, " ".join([f"c{x}" for x in range(40)] + [f"d{k}_{x}" for x in range(60)])) for k in range(12)]  # a passage in common, linked with nothing
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in rows}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(a):
