@@ -5,7 +5,7 @@ listed keys; what of the universe passes it is compared with the list. Level 2 i
 level 3 one of the listed keys that level 2 takes for those, and so on until no key is mistaken; the first level that lacks
 a key then decides exactly. Filters are built by partially aggregated bit_or over 64-bit words; only the words of a level,
 whose number follows from the number of its keys, come to the driver, and they enter the plan as a folded constant:
-membership needs no join. A list of more than ``SHARD`` keys (about 7 MB of words) is dealt to so many cascades by the
+membership needs no join. A list of more than ``SHARD`` keys (about 1.3 MB of words) is dealt to so many cascades by the
 keys' hashes, each over its share of the universe; every one of them makes its own pass over the pages.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#``
@@ -34,7 +34,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 SUFFIXES = ("example.com", "example.net", "example.org")
 LISTED = tuple(f"{n}.{s}" for n in NAMES for s in SUFFIXES)
-SHARD, DEPTH = 5_000_000, 40
+SHARD, DEPTH = 1_000_000, 40
 
 ORACLE = f"""
 WITH r AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
