@@ -61,6 +61,15 @@ def test_quality_counts(spark, odd):
         repeated = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
         assert (found[r["doc_id"]]["n_words"], found[r["doc_id"]]["n_repeat_words"]) == (len(words), len(repeated))
         assert found[r["doc_id"]]["word_chars"] == sum(map(len, words))
+        lines, twice = set(), 0
+        for line in r["text"].split("\n"):
+            twice += line in lines and bool(line.split())
+            lines.add(line)
+        assert (found[r["doc_id"]]["n_symbols"], found[r["doc_id"]]["n_dup_lines"]) == (sum(r["text"].count(c) for c in "#*$%&|<>"), twice)
+        assert found[r["doc_id"]]["base_failed"] == (len(words) < 20 or 100 * len(repeated) > 30 * len(words))
+        assert not (found[r["doc_id"]]["base_failed"] and found[r["doc_id"]]["kept"])
+    named = quality.judge(quality.score(odd, quality.fit(odd)))
+    assert {c for c in odd.columns if c not in ("kept",)} <= set(named.columns) and named.count() == 11
 
 
 def test_model_sums_to_one(spark):
@@ -539,6 +548,71 @@ def test_stages_on_odd_tables(spark, odd):
             assert len(rows) == {"language ID": 7, "MinHash near-dedup": 9}.get(name, 11) * (docs is odd), (name, len(rows))
 
 
+def symbols_of(word: str) -> list[list[int]]:
+    """The symbols of each character of a word."""
+    out = []
+    for ch in word:
+        c = ord(ch)
+        out.append([c - 96] if "a" <= ch <= "z" else [27 + (c >> 6), c & 63] if c < 0x7C0 else [58 + (c >> 18), c >> 12 & 63, c >> 6 & 63, c & 63])
+    return out
+
+
+def test_model_against_dictionaries(spark):
+    """Modified Kneser-Ney from dictionaries, text by text, and the bands from sorted lists."""
+    rng = np.random.default_rng(15)
+    words = {"en": ["the", "then", "hat", "hats", "That", "eat"], None: ["été", "tée", "日本", "et", "te"]}
+    rows = [(i, " ".join(rng.choice(words[lang], int(rng.integers(25, 60)))), lang) for i, lang in enumerate(["en", None] * 12)]
+    rows.append((99, " ".join(rng.choice(["zq", "xj#w", "qqv"], 30)), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, order = by_id(quality.digest(docs)), quality.ORDER
+    perplexity = {}
+    for lang in ("en", None):
+        tables = [defaultdict(int) for _ in range(order + 1)]
+        for _, text, of in rows:
+            for word in text.split() if of == lang else ():
+                flat = [0] * (order - 1) + [x for c in symbols_of(word) for x in c] + [0]
+                for k in range(order - 1, len(flat)):
+                    tables[order][tuple(flat[k - order + 1 : k + 1])] += 1
+        for n in range(order - 1, 0, -1):
+            for g in tables[n + 1]:
+                tables[n][g[1:]] += 1
+        off, after = {}, {}
+        for n in range(1, order + 1):
+            m = [max(1, sum(v == k for v in tables[n].values())) for k in (1, 2, 3, 4)]
+            y = m[0] / (m[0] + 2 * m[1])
+            off[n] = [min(top, max(0.1, k - (k + 1) * y * m[k] / m[k - 1])) for k, top in ((1, 0.95), (2, 1.9), (3, 2.9))]
+            after[n] = defaultdict(list)
+            for g, v in tables[n].items():
+                after[n][g[:-1]].append(v)
+
+        def p(g, n):
+            if not n:
+                return 1 / 64
+            seen = after[n].get(g[:-1])
+            if not seen:
+                return p(g[1:], n - 1)
+            v, d = tables[n].get(g, 0), lambda v: off[n][min(v, 3) - 1]
+            return ((v - d(v)) if v else 0) / sum(seen) + sum(map(d, seen)) / sum(seen) * p(g[1:], n - 1)
+
+        for i, text, of in rows:
+            if of == lang:
+                total, n = 0.0, 0
+                for word in text.split():
+                    chars = symbols_of(word)
+                    flat = [0] * (order - 1) + [x for c in chars for x in c] + [0]
+                    total += sum(np.log(p(tuple(flat[k - order + 1 : k + 1]), order)) for k in range(order - 1, len(flat)))
+                    n += len(chars) + 1
+                perplexity[i] = -total / n
+        own = sorted(perplexity[i] for i, _, of in rows if of == lang and not got[i]["base_failed"])
+        low, mid, high = (own[int(np.ceil(q * len(own))) - 1] for q in (0.25, 0.5, 0.75))
+        for i, text, of in rows:
+            if of == lang and own:
+                wide = max(1.0, (quality.STEADY / len(text.split())) ** 0.5)
+                assert abs(got[i]["log_ppl"] - perplexity[i]) < 1e-4, i
+                assert abs(got[i]["ppl_low"] - (mid - wide * quality.LOW * (mid - low))) < 1e-3 and abs(got[i]["ppl_high"] - (mid + wide * quality.HIGH * (high - mid))) < 1e-3
+                assert got[i]["kept"] == (not got[i]["base_failed"] and got[i]["ppl_low"] <= got[i]["log_ppl"] <= got[i]["ppl_high"])
+
+
 def test_model_of_every_language(spark):
     """20 languages in three scripts, each its own model and band; no two characters share their symbols."""
     assert len({tuple(quality.grams_of([chr(c).encode()])[0]) for c in range(0x21, 0x3000)}) == 0x3000 - 0x21
