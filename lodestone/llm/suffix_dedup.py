@@ -201,7 +201,8 @@ def repeated(parts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.nda
     same = np.flatnonzero(common[:n] < 0)
     if not len(same):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    inside = np.union1d(same, same - 1)
+    flag[same] = flag[same - 1] = True
+    inside = np.flatnonzero(flag)
     return order[inside].astype(np.int64), np.cumsum(common[inside] >= 0)
 
 
