@@ -17,6 +17,7 @@ from lodestone.operators import retrieval as R
 from lodestone.plans.catalogue import DIST, EDGES, EVERY, FACT, FIELDS, GRAPH, NEAR, TOKENS, bm25_sql, docs, edges_of, pack_sql, query, questions, read, vectors
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+CAPITALS = str.maketrans(ALPHABET, ALPHABET.upper())
 
 
 class Letters:
@@ -135,7 +136,7 @@ def retrieve_hybrid(spark, sf):
 def ends_of(prompts: list[str]) -> list[str]:
     """A rewriter's reply: the first five and the last five words of the question, and the first five in capitals again."""
     asked = [p.split("question: ", 1)[1].rsplit("\nLOOKUPS:", 1)[0] for p in prompts]
-    return ["LOOKUPS:\n- " + " ".join(a.split()[:5]) + "\n2) " + " ".join(a.split()[-5:]) + "\n" + " ".join(a.upper().split()[:5]) + "\nx" for a in asked]
+    return ["LOOKUPS:\n- " + " ".join(a.split()[:5]) + "\n2) " + " ".join(a.split()[-5:]) + "\n" + " ".join(a.split()[:5]).translate(CAPITALS) + "\nx" for a in asked]
 
 
 @query(f"""WITH q AS (SELECT item_id AS query_id, text, {FIELDS.format(x='text')} AS w FROM benchmark),
