@@ -387,13 +387,13 @@ def cases(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def holders(d: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, id): documents (id, text) that contain an item's text (query_id, text). Its rarest six-word run meets theirs by an
-    equi-join, and what meets is compared; shorter items meet by their first word."""
-    runs = lambda t, n: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i, n), " ")))
+    """(query_id, id): documents (id, text) that contain an item's text (query_id, text). Its first whole six words meet every
+    six of theirs by an equi-join, and what meets is compared; shorter items meet by their first word."""
+    run = lambda t, i: F.xxhash64(*[F.get(t, i + k) for k in range(6)])
     words = T.tokens(F.col("text"))
     asked = items.select("query_id", F.col("text").alias("item"), F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))).alias("w"))  # the ends may be parts of words
-    near = asked.where(F.size("w") >= 6).select("query_id", "item", F.element_at(runs(F.col("w"), 6), 1).alias("run"))
-    have = d.select("id", "text", words.alias("t")).where(F.size("t") >= 6).select("id", F.explode(F.array_distinct(runs(F.col("t"), 6))).alias("run"))
+    near = asked.where(F.size("w") >= 6).select("query_id", "item", run(F.col("w"), F.lit(0)).alias("run"))
+    have = d.select("id", words.alias("t")).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - 6, F.lit(0))), lambda i: run(F.col("t"), i))).alias("run"))
     met = near.select("query_id", "run").join(have, "run").select("query_id", "id").distinct()
     pairs = met.join(items, "query_id").withColumnRenamed("text", "item").join(d.select("id", "text"), "id").where(F.contains("text", "item"))
     short = asked.where(F.size("w") < 6).select("query_id", "item").join(d.select("id", "text"), F.contains("text", "item"))
