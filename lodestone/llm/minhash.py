@@ -6,10 +6,10 @@ bits (Yu and Weber 2017). Documents of equal sets are one class from the start.
 for this alone an empty register borrows from another one by a fixed probe sequence (Shrivastava 2017), so that small
 sets do not meet on a single common shingle. Groups of the same members count once.
 
-0. A group of over ``BLOCK`` members is first linked to its least member: registers estimate, full sets confirm. Members that
-   this leaves in different components are banded anew, by ``layout``'s double length and as many bands as its miss
-   probability asks for, each of registers chosen by a fixed draw; these groups take the large one's place. One that is still
-   large is dealt to blocks of at most 512 members each way.
+0. A group of over ``BLOCK`` members is first linked to its least member: registers estimate, full sets confirm. If that
+   connects all of it, it is done. Else it is dealt to blocks of at most ``BLOCK`` members each way; but where that makes more
+   rows (for m members m / BLOCK rows each) than banding its members anew, by ``layout``'s double length and as many bands as its
+   miss probability asks for, each of registers chosen by a fixed draw, these longer bands take the group's place.
 1. In each block pair, registers cut to eight bits give the Jaccard estimates, less the expected chance collisions. A
    member without any partner within five standard errors of the threshold leaves the block; most leave here.
 2. The others are compared with the least member of their block on the full sets; components of these links follow.
@@ -241,8 +241,9 @@ def _check(percent: int):
     return check
 
 
-def _apart(docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of large groups (members: key, doc, lo): links to their least members, and (key, doc) of the longer bands of what these leave apart."""
+def _apart(docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int, longer_from: int) -> tuple[DataFrame, DataFrame]:
+    """Of large groups (members: key, doc, lo, m): links to their least members, and (key, doc) of what these leave apart: the groups
+    themselves, or the longer bands of those of over longer_from members."""
     pairs = members.where("doc > lo").select("doc", F.col("lo").alias("centre")).distinct()
     mine = reps.select("doc", "n", "regs")
     other = reps.select(F.col("doc").alias("centre"), F.col("n").alias("n2"), F.col("regs").alias("regs2"))
@@ -256,17 +257,21 @@ def _apart(docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int) -
     met = likely.join(sets.withColumnRenamed("shingles", "x").hint("merge"), "doc").join(sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("y")).hint("merge"), "centre")
     links = cut(map_chunks(met, ["x", "x", "y"], _check(percent), "ok boolean", ["doc", "centre"], CHECKED).where("ok").select(F.col("doc").alias("a"), F.col("centre").alias("b")))
     comp = components(links, "a", "b").withColumnRenamed("node", "doc")
-    placed = cut(members.select("key", "doc").join(comp, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("comp")))
+    placed = cut(members.select("key", "doc", "m").join(comp, "doc", "left").select("key", "doc", "m", F.coalesce("component", "doc").alias("comp")))
     apart = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
-    left = cut(placed.join(apart, "key", "left_semi").select("doc", "comp").distinct())
+    open_ = cut(placed.join(apart, "key", "left_semi"))
+    whole, left = open_.where(F.col("m") <= longer_from).select("key", "doc"), open_.where(F.col("m") > longer_from).select("doc", "comp").distinct()
+    if left.isEmpty():
+        return links, whole
     chosen = draws(percent)
     keyed = map_chunks(left.join(mine.hint("merge"), "doc"), ["regs", "regs"], lambda _, regs: {"keys": list(long_keys(_regs(regs), chosen))}, "keys array<long>", ["doc", "comp"]).select("doc", "comp", F.explode("keys").alias("key"))
     mixed = cut(keyed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key"))
-    return links, cut(keyed.join(mixed.hint("merge"), "key").select("key", "doc"))
+    return links, whole.union(cut(keyed.join(mixed.hint("merge"), "key").select("key", "doc")))
 
 
-def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+def group(docs: DataFrame, percent: int = PERCENT, longer_from: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs. longer_from: the size of a group from which longer bands make
+    fewer rows than blocks."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = cut(map_chunks(docs, ["text"], sketch, "n_shingles long, k1 long, k2 long, regs binary", ["doc_id"]))
     real = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -286,8 +291,9 @@ def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     hot = one_each.where(F.col("m") > BLOCK)
     before = None
     if not hot.isEmpty():
-        before, longer = _apart(docs, reps, cut(members.join(hot.select("key", "lo"), "key")), percent)
-        members = cut(members.join(one_each.where(F.col("m") <= BLOCK).select("key"), "key", "left_semi").union(longer))
+        most = BLOCK * len(draws(percent)) if longer_from is None else longer_from
+        before, apart = _apart(docs, reps, cut(members.join(hot.select("key", "lo", "m"), "key")), percent, most)
+        members = cut(members.join(one_each.where(F.col("m") <= BLOCK).select("key"), "key", "left_semi").union(apart))
         one_each = cut(_groups(members))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = members.join(one_each.select("key", "m"), "key").withColumn("bs", blocks).withColumn("b", F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int"))

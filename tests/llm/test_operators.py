@@ -362,9 +362,9 @@ def test_decontamination_against_plain_alignment(hits, monkeypatch):
     assert 20 < caught < 70
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_minhash(spark, odd, block, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", block)  # 3: every group is a large one
+@pytest.mark.parametrize(("block", "longer"), [(512, None), (3, None), (3, 3)])
+def test_minhash(spark, odd, block, longer, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)  # 3: every group is a large one, and with longer = 3 banded anew
     rng = np.random.default_rng(3)
     rows = []
     for g in range(6):
@@ -387,7 +387,7 @@ def test_minhash(spark, odd, block, monkeypatch):
             if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    got = by_id(minhash.group(docs))
+    got = by_id(minhash.group(docs, longer_from=longer))
     assert all(got[i]["component_id"] == find(i) and got[i]["n_shingles"] == len(sets[i]) for i in sets)
     found = by_id(minhash.label(odd))
     assert found[6]["component_id"] == 3 and found[0]["n_shingles"] == 0 and found[None]["kept"] and found[1]["component_id"] == 1
