@@ -127,7 +127,8 @@ def build(vectors: DataFrame, rows: int = 5000, m: int = 16, effort: int = 200)
         return pd.DataFrame({"part": [key[0]], "n": [len(out)], "graph": [out.dump()]})
 
     dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    return dealt.groupBy("part").applyInPandas(graph, "part int, n long, graph binary")
+    # the number is stated, as building a graph takes long for its few bytes and small partitions would be merged
+    return dealt.repartition(parts, "part").groupBy("part").applyInPandas(graph, "part int, n long, graph binary")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 64, block: int = 2000) -> DataFrame:

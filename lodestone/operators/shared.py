@@ -36,6 +36,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """df over all cores, where it is a small table that comes in fewer pieces than there are; a larger one is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+
+
 def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal", start: int = 0) -> DataFrame:
     """df with the running number of each row among those of its keys, from ``start``.
 

@@ -36,7 +36,7 @@ def vectors(spark, sf) -> DataFrame:
 
 
 def docs(spark, sf) -> DataFrame:
-    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang", "n_chars")
+    return shared.spread_out(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang", "n_chars"))
 
 
 #: The searches ask for every row whose id this divides, against all rows.
@@ -446,6 +446,6 @@ def index_counts(spark, sf):
 def ann_recall(spark, sf):
     """Share of the exact ten nearest that the graphs find, over the asked vectors."""
     v, q = vectors(spark, sf), asked(spark, sf)
-    got = ann.search(shared.kept(ann.build(v, 1000)), q, 10)
+    got = ann.search(shared.kept(ann.build(v, 250)), q, 10)
     exact = R.nearest(q, v, 10)
     return exact.join(got.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
