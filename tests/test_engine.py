@@ -273,6 +273,12 @@ def test_documents(spark):
     assert len(p) == 1 and p[0]["content"] == "one two th\n\n[truncated]" and p[0]["truncated"] and p[0]["chunk_ids"] == [1, 2] and p[0]["saved_at"] == "1970-01-01T00:00:02Z"
 
 
+def test_ends_of_names_in_any_case(spark):
+    c = spark.createDataFrame([(1, "\u00c8lan des marins du port%% ", "https://h.net/1"), (2, "x", "https://h.net/\u00e9t\u00e9")], "id long, source string, origin string")
+    got = documents.resolve(c, spark.createDataFrame([("\u00c8lan des marins du port%% ",), ("NET/\u00c9T\u00c9",)], "identifier string")).collect()
+    assert {r["doc_key"] for r in got} == {"https://h.net/1", "https://h.net/\u00e9t\u00e9"}
+
+
 def test_catalogue_matches_its_oracles(spark):
     import duckdb
 
