@@ -279,6 +279,19 @@ def test_ends_of_names_in_any_case(spark):
     assert {r["doc_key"] for r in got} == {"https://h.net/1", "https://h.net/\u00e9t\u00e9"}
 
 
+def test_rewritten_questions_against_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestone.plans import catalogue, knowledge_queries
+
+    rows = [(1, "a short one and another part"), (2, " ".join(f"w{i}" for i in range(26))), (3, "who? what?"), (4, "one two"), (5, " ".join(f"v{i}" for i in range(25)) + " and")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = knowledge_queries.rewrite_questions(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalogue.ORACLES["rewrite_questions"]).fetchall()) and len(got) == 9
+
+
 def test_catalogue_matches_its_oracles(spark):
     import duckdb
 
