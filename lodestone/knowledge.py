@@ -208,7 +208,7 @@ class KnowledgeBase:
         """The API's graph: nodes within depth hops (1 by default) with a preview, and the edges among them."""
         key, s = self._resolve(identifier), self.settings
         nodes, edges = self.graph()
-        nodes, edges = kept(nodes), kept(edges)
+        nodes = kept(nodes)
         found, inside = graph.neighbourhood(nodes, edges, key, min(depth if depth and depth > 0 else 1, s.max_depth))
         ids = nodes.select("doc_key", "id")
         a, b = ids.select(F.col("doc_key").alias("a"), F.col("id").alias("source_node_id")), ids.select(F.col("doc_key").alias("b"), F.col("id").alias("target_node_id"))

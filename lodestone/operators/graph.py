@@ -47,6 +47,7 @@ def neighbourhood(graph_nodes: DataFrame, edges: DataFrame, root: str, depth: in
     A root that has no node is an error."""
     if graph_nodes.where(F.col("doc_key") == root).isEmpty():
         raise LookupError(f"{root!r} has no graph node")
+    edges = kept(edges)  # the walk and the edges among its nodes read it
     seen = walk(edges, root, depth)
     inside = seen.select(F.col("node").alias("a"))
     found = graph_nodes.join(seen.withColumnRenamed("node", "doc_key"), "doc_key")

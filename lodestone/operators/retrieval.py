@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULTS
+from lodestone.operators import blocks
 from lodestone.operators.shared import kept
 
 
@@ -38,88 +41,107 @@ def knn(vectors: DataFrame, query: list[float], k: int, floor: float | None = No
 BLOCK = 4096
 
 
-def _blocks(v: DataFrame, n: DataFrame | int) -> int:
-    return max(1, -(-(n if isinstance(n, int) else n.count()) // BLOCK))
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine distances of rows in double precision, summed in the order of the components."""
+    return 1.0 - np.add.accumulate(a.astype(np.float64) * b.astype(np.float64), axis=1)[:, -1] if len(a) else np.empty(0)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float32)
+def _slack(q: np.ndarray, v: np.ndarray) -> float:
+    """What a product of rows in single precision may be off by, at most (twice the bound)."""
+    size = np.sqrt(float(np.einsum("ij,ij->i", q, q).max(initial=0)) * float(np.einsum("ij,ij->i", v, v).max(initial=0)))
+    return 1.2e-7 * (q.shape[1] + 8) * max(1.0, size)
 
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine distances of rows in double precision, summed in the order of the components."""
-    return 1.0 - np.add.accumulate(a.astype(np.float64) * b.astype(np.float64), axis=1)[:, -1] if len(a) else np.empty(0)
+def _products(qi: np.ndarray, q: np.ndarray, chunks: list[blocks.Chunk], which: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, float]]:
+    """(first query row, products in single precision, ids, vectors, slack) of blocks of queries with all chunks, -inf where an id is not asked for."""
+    for c in chunks:
+        if which == "earlier" and c.first >= qi.max():
+            continue
+        for begin in range(0, c.rows, BLOCK):
+            vi, v = c.read(begin, begin + BLOCK)
+            slack = _slack(q, v)
+            for i in range(0, len(qi), 512):
+                ids = qi[i : i + 512, None]
+                if which == "earlier" and vi[0] >= ids.max():
+                    continue
+                m = q[i : i + 512] @ v.T
+                if which == "other" and vi[0] <= ids.max() and ids.min() <= vi[-1]:
+                    m[vi[None, :] == ids] = -np.inf
+                elif which == "earlier" and vi[-1] >= ids.min():
+                    m[vi[None, :] >= ids] = -np.inf
+                yield i, m, vi, v, slack
+
+
+def _scan(qi: np.ndarray, q: np.ndarray, chunks: list[blocks.Chunk], k: int, below: float | None, which: str) -> pa.RecordBatch:
+    """The k nearest of each query among the chunks: what the k-th so far does not rule out is worked out exactly."""
+    far, none = np.full((len(qi), k), np.inf), np.full((len(qi), k), np.iinfo(np.int64).max)
+    for i, m, vi, v, slack in _products(qi, q, chunks, which):
+        least = 1 - far[i : i + 512, k - 1]
+        fresh = np.isinf(least)
+        if k < len(vi) and fresh.any():
+            least[fresh] = np.partition(m[fresh], len(vi) - k, axis=1)[:, len(vi) - k]
+        least = np.maximum(least, -1e30 if below is None else 1 - below) - slack
+        row, col = np.nonzero(m >= least[:, None].astype(np.float32))
+        if not len(row):
+            continue
+        d = np.concatenate([exact(q[i + row[a : a + 65536]], v[col[a : a + 65536]]) for a in range(0, len(row), 65536)])
+        if below is not None:
+            row, col, d = row[d < below], col[d < below], d[d < below]
+        held = np.unique(row)
+        rows, ds, ids = np.concatenate([row, np.repeat(held, k)]), np.concatenate([d, far[i + held].ravel()]), np.concatenate([vi[col], none[i + held].ravel()])
+        by = np.lexsort((ids, ds, rows))
+        rows, ds, ids = rows[by], ds[by], ids[by]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, ds, ids, rank = rows[rank < k], ds[rank < k], ids[rank < k], rank[rank < k]
+        far[i + rows, rank], none[i + rows, rank] = ds, ids
+    row, at = np.nonzero(np.isfinite(far))
+    return pa.record_batch({"query_id": qi[row], "id": none[row, at], "distance": far[row, at]})
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, below: float | None = None, which: str = "any") -> DataFrame:
     """(query_id, id, distance, rank from 1): the k nearest of each query (query_id, embedding), ties by id.
 
     below: only what is nearer. which: any, other (not the query's own id) or earlier (smaller ids). Queries and vectors are
-    dealt to blocks that meet by an equi-join on the pair's name, so nothing is broadcast; a block pair is one matrix product,
-    exact distances of what may be among the k nearest, and at most k rows a query.
-    """
-    nq, nv = _blocks(queries, queries), _blocks(vectors, vectors)
-    part = lambda id, n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("query_id").cast("long").alias("id"), F.col("embedding").alias("q"), part("query_id", nq).alias("x")).withColumn("y", each(nv))
-    right = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").alias("v"), part("id", nv).alias("y")).withColumn("x", each(nq))
-
-    def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if a.num_rows and b.num_rows:
-            qi, vi, q, v = a["id"].to_numpy(), b["id"].to_numpy(), _matrix(a["q"]), _matrix(b["v"])
-            order = np.argsort(vi, kind="stable")
-            vi, v = vi[order], v[order]
-            for i in range(0, len(qi), 512):
-                m = q[i : i + 512] @ v.T
-                ids = qi[i : i + 512, None]
-                if which != "any":
-                    m[(vi[None, :] == ids) if which == "other" else (vi[None, :] >= ids)] = -np.inf
-                least = np.partition(m, len(vi) - k, axis=1)[:, len(vi) - k] if k < len(vi) else np.full(len(m), -np.inf)
-                least = np.maximum(least, -1e30 if below is None else 1 - below) - 1e-4  # what single precision may hide
-                row, col = np.nonzero(m >= least[:, None])
-                d = exact(q[i + row], v[col])
-                if below is not None:
-                    row, col, d = row[d < below], col[d < below], d[d < below]
-                by = np.lexsort((col, d, row))
-                row, col, d = row[by], col[by], d[by]
-                rank = np.arange(len(row)) - np.searchsorted(row, row)
-                out.append((qi[i + row[rank < k]], vi[col[rank < k]], d[rank < k]))
-        joined = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table({"query_id": joined[0], "id": joined[1], "distance": joined[2]})
-
-    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(meet, "query_id long, id long, distance double")
+    written once; a task holds a block of queries and reads the vectors in chunks (a share of them, where there are too few blocks
+    for all cores), so the pairs cost time but no disk, no shuffle and no memory. At most k rows a query leave a task."""
+    chunks = blocks.store(vectors)
+    asked = chunks if queries is vectors else blocks.store(queries.select(F.col("query_id").alias("id"), "embedding"))
+    return _nearest(queries.sparkSession, asked, chunks, k, below, which)
+
+
+def _nearest(spark: SparkSession, asked: list[blocks.Chunk], chunks: list[blocks.Chunk], k: int, below: float | None, which: str) -> DataFrame:
+    packed = blocks.packed(asked, BLOCK)[::-1]  # of earlier ids the last blocks have most
+    shares = max(1, min(len(chunks), -(-2 * spark.sparkContext.defaultParallelism // max(1, len(packed)))))
+    works = [(p, s) for p in packed for s in range(shares)]
+    found = blocks.each(spark, works, lambda w: [_scan(*blocks.load(w[0]), chunks[w[1] :: shares], k, below, which)], "query_id long, id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def edges(vectors: DataFrame, threshold: float, most: int = DEFAULTS.max_edges, which: str = "other", queries: DataFrame | None = None) -> DataFrame:
     """(source_id, target_id, distance): of each vector the nearest others under the threshold."""
-    asked = (vectors if queries is None else queries).select(F.col("id").alias("query_id"), "embedding")
-    return nearest(asked, vectors, most, threshold, which).select(F.col("query_id").alias("source_id"), F.col("id").alias("target_id"), "distance")
+    chunks = blocks.store(vectors)
+    asked = chunks if queries is None else blocks.store(queries)
+    return _nearest(vectors.sparkSession, asked, chunks, most, threshold, which).select(F.col("query_id").alias("source_id"), F.col("id").alias("target_id"), "distance")
 
 
 def neighbours(vectors: DataFrame, threshold: float) -> DataFrame:
     """(source_id, target_id, distance) of all ordered pairs nearer than the threshold, distances in double precision.
 
-    Each unordered pair of blocks is one equi-joined group and one matrix product; distances are worked out there."""
-    n = _blocks(vectors, vectors)
-    part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    dealt = vectors.select(F.col("id").cast("long").alias("id"), "embedding", part.alias("b")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.select("id", "embedding", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
-
-    def near(key: tuple, table: pa.Table) -> pa.Table:
-        ids, m, block = table["id"].to_numpy(), _matrix(table["embedding"]), table["b"].to_numpy()
-        a, b = np.flatnonzero(block == key[0].as_py()), np.flatnonzero(block == key[1].as_py())
-        i, j = np.nonzero(m[a] @ m[b].T > 1 - threshold - 1e-4)
-        i, j = a[i], b[j]
-        once = ids[i] < ids[j] if key[0] == key[1] else ids[i] != ids[j]
-        i, j = i[once], j[once]
-        d = exact(m[i], m[j])
-        i, j, d = ids[i[d < threshold]], ids[j[d < threshold]], d[d < threshold]
-        return pa.table({"source_id": np.concatenate([i, j]), "target_id": np.concatenate([j, i]), "distance": np.concatenate([d, d])})
-
-    return dealt.groupBy("x", "y").applyInArrow(near, "source_id long, target_id long, distance double")
+    A task holds a block and reads the chunks before it; pairs leave it as they are found, both ways."""
+    chunks = blocks.store(vectors)
+
+    def near(work: list) -> Iterator[pa.RecordBatch]:
+        qi, q = blocks.load(work)
+        for i, m, vi, v, slack in _products(qi, q, chunks, "earlier"):
+            row, col = np.nonzero(m >= np.float32(1 - threshold - slack))
+            for a in range(0, len(row), 65536):
+                r, c = row[a : a + 65536], col[a : a + 65536]
+                d = exact(q[i + r], v[c])
+                r, c, d = qi[i + r[d < threshold]], vi[c[d < threshold]], d[d < threshold]
+                yield pa.record_batch({"source_id": np.concatenate([r, c]), "target_id": np.concatenate([c, r]), "distance": np.concatenate([d, d])})
+
+    return blocks.each(vectors.sparkSession, blocks.packed(chunks, BLOCK)[::-1], near, "source_id long, target_id long, distance double")
 
 
 def top_edges(pairs: DataFrame, most: int = DEFAULTS.max_edges) -> DataFrame:

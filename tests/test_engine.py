@@ -131,6 +131,14 @@ def test_nearest_against_plain_search(spark, monkeypatch):
     assert pairs == {(i, j) for i in range(40) for j in range(40) if i != j and d[i, j] < 0.5}
 
 
+def test_nearest_copies_no_vector(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 7)
+    df = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(60)], "id long, embedding array<float>")
+    for found in (R.nearest(df.withColumnRenamed("id", "query_id"), df, 3), R.edges(df, 3.0, 3, "earlier"), R.neighbours(df, 3.0)):
+        plan = found._jdf.queryExecution().toString()
+        assert "CoGroup" not in plan and "explode" not in plan and "embedding" not in plan
+
+
 def test_ordinals_of_one_large_key(spark):
     df = spark.range(500).selectExpr("id", "'one' as k", "pmod(hash(id), 97) as o")
     got = [r["ordinal"] for r in shared.ordinals(df, ["k"], ["o", "id"], start=5).orderBy("o", "id").collect()]
