@@ -139,6 +139,16 @@ def test_nearest_copies_no_vector(spark, monkeypatch):
         assert "CoGroup" not in plan and "explode" not in plan and "embedding" not in plan
 
 
+def test_delete_cascade_makes_no_list_of_all_pairs(spark, monkeypatch):
+    from lodestone.plans import catalogue
+
+    def refuse(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(R, "neighbours", refuse)
+    assert catalogue.delete_cascade(spark, "/root/testdata/sf0.001").groupBy("source_id").count().where("count > 8").isEmpty()
+
+
 def test_ordinals_of_one_large_key(spark):
     df = spark.range(500).selectExpr("id", "'one' as k", "pmod(hash(id), 97) as o")
     got = [r["ordinal"] for r in shared.ordinals(df, ["k"], ["o", "id"], start=5).orderBy("o", "id").collect()]
