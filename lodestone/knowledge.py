@@ -69,10 +69,10 @@ class KnowledgeBase:
         if notes.isEmpty():
             return pieces
         asked = notes.select(F.col("new").alias("query_id"), "embedding")
-        near = R.nearest(asked, vectors.unionByName(pieces.where("key IS NOT NULL").select(F.col("new").alias("id"), "embedding")), 1, s.dedup_distance + 1e-12, "earlier").select(F.col("query_id").alias("id"), F.lit(False).alias("kept"))
-        own = R.neighbours(asked.withColumnRenamed("query_id", "id"), s.dedup_distance + 1e-12)
-        ids = asked.select(F.col("query_id").alias("id")).join(near, "id", "left")
-        out = R.greedy_near_dups(own, ids).where("NOT kept").select(F.col("id").alias("new"))
+        near = R.nearest(asked, vectors.unionByName(pieces.where("key IS NOT NULL").select(F.col("new").alias("id"), "embedding")), 1, s.dedup_distance + 1e-12, "earlier").select("query_id")
+        left = kept(asked.join(near, "query_id", "left_anti").withColumnRenamed("query_id", "id"))
+        stay = R.leaders(left, s.dedup_distance + 1e-12)
+        out = notes.select("new").join(stay.withColumnRenamed("id", "new"), "new", "left_anti")
         return kept(pieces.join(out, "new", "left_anti"))
 
     @staticmethod

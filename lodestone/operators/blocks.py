@@ -78,11 +78,14 @@ def store(vectors: DataFrame) -> list[Chunk]:
     return sorted((Chunk(*r) for r in found), key=lambda c: (c.first, c.path))
 
 
-def packed(chunks: list[Chunk], rows: int) -> list[list[tuple[Chunk, int, int]]]:
-    """Slices (chunk, begin, end) in blocks of about ``rows`` rows."""
+def packed(chunks: list[Chunk], rows: int, after: int | None = None) -> list[list[tuple[Chunk, int, int]]]:
+    """Slices (chunk, begin, end) in blocks of about ``rows`` rows, of greater ids than ``after``."""
     out, n = [], rows
     for c in chunks:
-        for begin in range(0, c.rows, rows):
+        if after is not None and c.last <= after:
+            continue
+        start = 0 if after is None or c.first > after else int(np.searchsorted(np.fromfile(c.path, np.int64, c.rows), after, "right"))
+        for begin in range(start, c.rows, rows):
             end = min(begin + rows, c.rows)
             if n + end - begin > rows:
                 out.append([])

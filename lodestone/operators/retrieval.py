@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,6 +166,73 @@ def greedy_near_dups(pairs: DataFrame, ids: DataFrame) -> DataFrame:
             return state
 
 
+#: Rows that one round of leaders() takes on at first, and of which one task decides at most so many in order.
+ROUND, DECIDED = 16384, 8192
+
+
+def leaders(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id) of vectors (id, embedding) that are kept when in order of id each goes that has a kept one before it nearer than the threshold.
+
+    A round takes the next rows in order, drops in parallel those near to what is kept already, and decides the rest, so far as
+    one task can, one after another. Rounds grow where little is left to decide. Pairs are never listed: only what is kept is written."""
+    spark, at = vectors.sparkSession, blocks.place(vectors.sparkSession)
+    chunks = blocks.store(vectors.repartitionByRange("id").sortWithinPartitions("id"))
+    held: list[blocks.Chunk] = []
+    begin, rows = (chunks[0].first if chunks else 0) - 1, ROUND
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each row of a is nearer to one of b."""
+        m, slack = a @ b.T, _slack(a, b)
+        best = m.max(axis=1, initial=-np.inf)
+        out = best > 1 - threshold + slack
+        for i in np.flatnonzero(~out & (best >= 1 - threshold - slack)):
+            j = np.flatnonzero(m[i] >= 1 - threshold - slack)
+            out[i] = (exact(np.broadcast_to(a[i], (len(j), a.shape[1])), b[j]) < threshold).any()
+        return out
+
+    def open_rows(work: tuple) -> Iterator[pa.RecordBatch]:
+        slices, before = work
+        ids, v = blocks.load(slices)
+        for c in before:
+            for b in range(0, c.rows, BLOCK):
+                if len(ids):
+                    gone = np.concatenate([near(v[i : i + 512], c.read(b, b + BLOCK)[1]) for i in range(0, len(ids), 512)])
+                    ids, v = ids[~gone], v[~gone]
+        if len(ids):
+            yield blocks.rows_of([blocks.put(at, ids, v)])
+
+    def decide(work: list[blocks.Chunk]) -> Iterator[pa.RecordBatch]:
+        ids, v = blocks.load([(c, 0, c.rows) for c in work])
+        ids, v, alive, kept_rows = ids[:DECIDED], v[:DECIDED], np.ones(min(len(ids), DECIDED), bool), []
+        for i in range(len(ids)):
+            if alive[i]:
+                kept_rows.append(i)
+                rest = i + 1 + np.flatnonzero(alive[i + 1 :])
+                alive[rest[near(v[rest], v[i : i + 1])]] = False
+        yield blocks.rows_of([blocks.put(at, ids[kept_rows], v[kept_rows])._replace(last=int(ids[-1]))])
+
+    while True:
+        ahead, n = [], 0
+        for s in blocks.packed(chunks, BLOCK, begin):
+            if n >= rows:
+                break
+            ahead.append(s)
+            n += sum(b - a for _, a, b in s)
+        if not ahead:
+            break
+        left = sorted((blocks.Chunk(*r) for r in blocks.each(spark, [(s, held) for s in ahead], open_rows, blocks.SCHEMA).collect()), key=lambda c: c.first)
+        c, _, end = ahead[-1][-1]
+        left_rows, begin = sum(c.rows for c in left), int(c.read(end - 1, end)[0][0])
+        if left:
+            new = blocks.Chunk(*blocks.each(spark, [left], decide, blocks.SCHEMA).first())
+            held.append(new)
+            begin = new.last if left_rows > DECIDED else begin
+            for c in left:
+                os.remove(c.path)
+        rows = rows * 2 if left_rows < DECIDED // 2 else max(ROUND, rows // 2) if left_rows > DECIDED else rows
+    return blocks.each(spark, held, lambda c: [pa.record_batch({"id": c.read()[0]})], "id long")
+
+
 def rrf(lists: DataFrame, k: int, c: int = DEFAULTS.rrf_k) -> DataFrame:
     """Fuse ranked lists (query_id, list_no, rank from 1, id): (query_id, id, score, rank), ties by first appearance. If the
     lists have a distance, an item keeps that of its first appearance."""

@@ -149,6 +149,35 @@ def test_delete_cascade_makes_no_list_of_all_pairs(spark, monkeypatch):
     assert catalogue.delete_cascade(spark, "/root/testdata/sf0.001").groupBy("source_id").count().where("count > 8").isEmpty()
 
 
+def test_leaders_against_a_plain_walk(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 30)
+    monkeypatch.setattr(R, "ROUND", 64)
+    monkeypatch.setattr(R, "DECIDED", 40)
+    v = np.random.default_rng(4).standard_normal((300, 4)).astype(np.float32)
+    v[200:260] = v[40]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i * 3, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<float>").repartition(3)
+    for threshold in (0.01, 0.6):
+        want = []
+        for i in range(300):
+            if not (R.exact(np.broadcast_to(v[i], (len(want), 4)), v[want]) < threshold).any():
+                want.append(i)
+        assert sorted(r["id"] // 3 for r in R.leaders(df, threshold).collect()) == want, threshold
+    assert R.leaders(df.limit(0), 0.1).count() == 0
+
+
+def test_notes_list_no_pairs(spark, tmp_path, monkeypatch):
+    from lodestone.knowledge import KnowledgeBase
+
+    def refuse(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(R, "neighbours", refuse)
+    rows = spark.createDataFrame([("Remember to oil the hinges of the boathouse door.", "typed", "", i) for i in range(50)], "text string, source string, origin string, seq long")
+    got = KnowledgeBase(spark, str(tmp_path / "kb")).add(rows).groupBy("outcome").count().collect()
+    assert {r["outcome"]: r["count"] for r in got} == {"saved": 1, "too similar": 49}
+
+
 def test_ordinals_of_one_large_key(spark):
     df = spark.range(500).selectExpr("id", "'one' as k", "pmod(hash(id), 97) as o")
     got = [r["ordinal"] for r in shared.ordinals(df, ["k"], ["o", "id"], start=5).orderBy("o", "id").collect()]
