@@ -184,6 +184,13 @@ def test_ordinals_of_one_large_key(spark):
     assert got == list(range(5, 505))
 
 
+def test_ordinals_move_rows_once(spark):
+    df = spark.range(50).selectExpr("id", "repeat('x', 9) as text")
+    got = shared.ordinals(df, [], ["id"])
+    assert "__range" not in "".join(x for x in got._jdf.queryExecution().toString().splitlines() if "Window" in x and "text" in x)
+    assert "row_number" not in got._jdf.queryExecution().toString() and [r["ordinal"] for r in got.orderBy("id").collect()] == list(range(50))
+
+
 def test_greedy_near_dups_keeps_the_end_of_a_chain(spark):
     pairs = spark.createDataFrame([(2, 1), (1, 2), (3, 2), (2, 3)], "source_id long, target_id long")
     ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
