@@ -191,6 +191,13 @@ def test_ordinals_move_rows_once(spark):
     assert "row_number" not in got._jdf.queryExecution().toString() and [r["ordinal"] for r in got.orderBy("id").collect()] == list(range(50))
 
 
+def test_chunks_come_a_few_documents_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "STEP", 2)
+    df = spark.createDataFrame([(i, f"# H{i}\nOne line.", "markdown", f"k{i}") for i in range(7)], "id long, text string, content_type string, key string")
+    got = chunking.chunk(df, carry=("key", "content_type")).orderBy("id").collect()
+    assert [(r["id"], r["heading_path"], r["text"], r["key"], r["content_type"]) for r in got] == [(i, f"H{i}", f"H{i}: One line.", f"k{i}", "markdown") for i in range(7)]
+
+
 def test_greedy_near_dups_keeps_the_end_of_a_chain(spark):
     pairs = spark.createDataFrame([(2, 1), (1, 2), (3, 2), (2, 3)], "source_id long, target_id long")
     ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
