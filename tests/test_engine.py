@@ -198,6 +198,13 @@ def test_chunks_come_a_few_documents_at_a_time(spark, monkeypatch):
     assert [(r["id"], r["heading_path"], r["text"], r["key"], r["content_type"]) for r in got] == [(i, f"H{i}", f"H{i}: One line.", f"k{i}", "markdown") for i in range(7)]
 
 
+def test_cases_are_worked_out_once(spark):
+    from lodestone.plans import catalogue
+
+    held = catalogue.cases(spark, "/root/testdata/sf0.001")[1]
+    assert "Join" not in held._jdf.queryExecution().toString() and held.columns == ["query_id", "relevant"]
+
+
 def test_greedy_near_dups_keeps_the_end_of_a_chain(spark):
     pairs = spark.createDataFrame([(2, 1), (1, 2), (3, 2), (2, 3)], "source_id long, target_id long")
     ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
