@@ -205,6 +205,16 @@ def test_cases_are_worked_out_once(spark):
     assert "Join" not in held._jdf.queryExecution().toString() and held.columns == ["query_id", "relevant"]
 
 
+def test_saving_an_index_makes_postings_once(spark, tmp_path, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("sampled for ranges")
+
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", refuse)
+    keyword.build(spark.createDataFrame([(1, "keels of oak"), (2, "an oak keel")], "id long, text string")).save(f"{tmp_path}/index")
+    found = keyword.bm25(keyword.Index.load(spark, f"{tmp_path}/index"), spark.createDataFrame([(7, "keel")], "query_id long, text string"), 5)
+    assert {r["id"] for r in found.collect()} == {1, 2}
+
+
 def test_greedy_near_dups_keeps_the_end_of_a_chain(spark):
     pairs = spark.createDataFrame([(2, 1), (1, 2), (3, 2), (2, 3)], "source_id long, target_id long")
     ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
