@@ -198,6 +198,31 @@ def test_chunks_come_a_few_documents_at_a_time(spark, monkeypatch):
     assert [(r["id"], r["heading_path"], r["text"], r["key"], r["content_type"]) for r in got] == [(i, f"H{i}", f"H{i}: One line.", f"k{i}", "markdown") for i in range(7)]
 
 
+def test_refused_texts_stay_in_the_jvm(spark, monkeypatch):
+    rows = [(1, "x" * 500_001, "text"), (2, None, "markdown"), (3, "One. Two.", "text"), (4, "\u00e9" * 250_001, "markdown"), (5, "plain", None)]
+    df, real, sent = spark.createDataFrame(rows, "id long, text string, content_type string"), type(spark.range(1)).mapInArrow, []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, *a, **b: sent.append(self) or real(self, *a, **b))
+    got = {r["id"]: (r["text"], r["error"]) for r in chunking.chunk(df).collect()}
+    assert got == {1: (None, "over 500000 bytes"), 2: (None, "no text"), 3: ("One. Two.", None), 4: (None, "over 500000 bytes"), 5: ("plain", None)}
+    assert sum(len(x) for r in sent[0].collect() for x in r if isinstance(x, str)) < 200
+
+
+def test_prose_by_the_rule_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestone.plans import catalogue
+
+    rng, bits = np.random.default_rng(3), ["a", "e.g", "E.G", "Dr", "approx", "x1", "\u017ft", "\u212a", "no", ".", "!", "?", "..", ".?", " ", "  ", "\n", "\t", "\r", "\x01", "\x02", "\xa0", "\u3000", "\x85", "\u00e9", "word"]
+    rows = [(i, "".join(rng.choice(bits, rng.integers(0, 16))), "en", "s", 1) for i in range(2000)] + [(2000, "Sir. " * 900 + "?" * 20_000 + "x. Dr. Who", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalogue.chunk_prose(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT id, chunk_index, text FROM ({catalogue.ORACLES['chunk_prose']})").fetchall()
+    assert sorted(map(tuple, made.select("id", "chunk_index", "text").collect())) == sorted(want)
+    assert "regexp" not in made._jdf.queryExecution().toString()  # sentences are cut where they are packed
+
+
 def test_cases_are_worked_out_once(spark):
     from lodestone.plans import catalogue
 
