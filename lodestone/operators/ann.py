@@ -1,6 +1,7 @@
 """Approximate search: a hierarchical small-world graph (Malkov and Yashunin 2016) for each share of the vectors, answers merged.
 
-Graphs are built once and kept as rows of a table (build, then write it); a search reads them and builds nothing."""
+Graphs are built once and kept as rows of a table (build, then write it); a search reads them and builds nothing. There are at most
+GRAPHS of them by default, so what a question costs grows with the logarithm of the rows: a larger table has larger graphs."""
 
 from __future__ import annotations
 
@@ -8,26 +9,55 @@ import heapq
 import math
 import pickle
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FORMAT = 1
+from lodestone.operators import blocks
+from lodestone.operators.retrieval import exact
+
+FORMAT = 2
+#: Graphs of an index, at most; products that are held at a time while one is filled.
+GRAPHS, PRODUCTS = 64, 1 << 22
+
+
+def pick(d: np.ndarray, v: np.ndarray, most: int) -> list[int]:
+    """Places of candidates (distances in order, vectors) that are not nearer to one picked before; filled up with the nearest left over."""
+    if len(d) <= 1:
+        return list(range(min(len(d), most)))
+    chosen, open_ = [], np.ones(len(d), bool)
+    while len(chosen) < most:
+        i = int(open_.argmax())
+        if not open_[i]:
+            break
+        chosen.append(i)
+        open_ &= 1 - v @ v[i] > d
+        open_[i] = False
+    if len(chosen) < most:
+        held = set(chosen)
+        chosen += [i for i in range(min(len(d), most + len(chosen))) if i not in held][: most - len(chosen)]
+    return chosen
 
 
 class Graph:
     def __init__(self, dim: int, m: int = 16, build: int = 200, seed: int = 42):
         self.dim, self.m, self.build, self.rng = dim, m or 16, build or 200, np.random.default_rng(seed)
-        self.vectors: list[np.ndarray] = []
-        self.ids: list[int | None] = []  # None: replaced since
+        self.rows = np.empty((64, dim), np.float32)  # of the nodes so far, and room for more
+        self.ids: list[list[int]] = []  # in order, of all rows with a node's vector; none: replaced since
         self.place: dict[int, int] = {}
         self.links: list[list[list[int]]] = []
-        self.entry, self.top = -1, -1
+        self.entry, self.top, self.gone = -1, -1, 0  # gone: nodes without ids
+
+    @property
+    def vectors(self) -> np.ndarray:
+        return self.rows[: len(self.ids)]
 
     def _far(self, q: np.ndarray, nodes: list[int]) -> list[float]:
-        return (1 - np.stack([self.vectors[i] for i in nodes]) @ q).tolist() if nodes else []
+        return (1 - self.rows.take(nodes, axis=0) @ q).tolist() if nodes else []
 
     def _search(self, q: np.ndarray, starts: list[int], ef: int, layer: int) -> list[tuple[float, int]]:
         seen, first = set(starts), list(zip(self._far(q, starts), starts, strict=True))
@@ -50,21 +80,25 @@ class Graph:
 
     def _choose(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Near ones that are not nearer to one chosen before; filled up with the nearest left over."""
-        chosen: list[int] = []
-        for d, i in found:
-            if len(chosen) < most and all(x > d for x in self._far(self.vectors[i], chosen)):
-                chosen.append(i)
-        return chosen + [i for _, i in found if i not in chosen][: most - len(chosen)]
+        nodes = [i for _, i in found]
+        return [nodes[i] for i in pick(np.array([d for d, _ in found], np.float32), self.rows[nodes], most)]
+
+    def _level(self) -> int:
+        return int(-math.log(1 - self.rng.random()) / math.log(self.m))
 
     def add(self, id: int, vector: np.ndarray) -> None:
         if len(vector) != self.dim:
             raise ValueError(f"{len(vector)} dimensions instead of {self.dim}")
         if id in self.place:
-            self.ids[self.place[id]] = None  # stays as a way through, but is no answer any more
-        level, node = int(-math.log(1 - self.rng.random()) / math.log(self.m)), len(self.ids)
-        self.ids.append(id)
+            held = self.ids[self.place[id]]
+            held.remove(id)  # the node stays as a way through
+            self.gone += not held
+        level, node = self._level(), len(self.ids)
+        if node == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty((max(64, node), self.dim), np.float32)])
+        self.rows[node] = vector
+        self.ids.append([id])
         self.place[id] = node
-        self.vectors.append(vector)
         self.links.append([[] for _ in range(level + 1)])
         if self.entry >= 0:
             near = [self.entry]
@@ -83,6 +117,53 @@ class Graph:
         if level > self.top:
             self.entry, self.top = node, level
 
+    def fill(self, ids: np.ndarray, v: np.ndarray) -> None:
+        """Different ids, ascending, and their rows into an empty graph: as by add() in their order, but the candidates of a node are the
+        exactly nearest of those before it, by products of blocks; lists are cut once; equal rows are one node."""
+        if self.ids or v.shape[1] != self.dim:
+            raise ValueError(f"not empty, or {v.shape[1]} dimensions instead of {self.dim}")
+        seen: dict[bytes, int] = {}
+        for id, row in zip(ids.tolist(), np.ascontiguousarray(v, np.float32), strict=True):
+            node = seen.setdefault(row.tobytes(), len(self.ids))
+            if node == len(self.ids):
+                self.ids.append([])
+            self.ids[node].append(id)
+            self.place[id] = node
+        if self.ids:
+            self.rows = np.ascontiguousarray(v[np.searchsorted(ids, [x[0] for x in self.ids])], np.float32)
+        levels = np.array([self._level() for _ in self.ids], np.int64)
+        self.links = [[[] for _ in range(n + 1)] for n in levels.tolist()]
+        self.top = int(levels.max(initial=-1))
+        self.entry = int(levels.argmax()) if len(levels) else -1
+        for layer in range(self.top + 1):
+            self._connect(np.flatnonzero(levels >= layer), layer)
+
+    def _connect(self, nodes: np.ndarray, layer: int) -> None:
+        w, most, begin = self.rows[nodes], self.m * (2 if layer == 0 else 1), 0
+        out: list[list[int]] = [[] for _ in range(len(nodes))]
+        while begin < len(nodes):
+            end = min(len(nodes), begin + max(1, min(512, PRODUCTS // (begin + 512))))
+            far = 1 - w[begin:end] @ w[:end].T
+            far[np.arange(begin, end)[:, None] <= np.arange(end)] = np.inf
+            near = np.argpartition(far, self.build, axis=1)[:, : self.build] if end > self.build else np.broadcast_to(np.arange(end), far.shape)
+            d = np.take_along_axis(far, near, 1)
+            by = np.lexsort((near, d))
+            near, d = np.take_along_axis(near, by, 1), np.take_along_axis(d, by, 1)
+            for i, (c, x) in enumerate(zip(near, d, strict=True), begin):
+                c, x = c[: min(i, len(c))], x[: min(i, len(c))]
+                out[i] = c[pick(x, w[c], self.m)].tolist()
+            begin = end
+        for i, chosen in enumerate([list(c) for c in out]):
+            for j in chosen:
+                out[j].append(i)
+        for i, mine in enumerate(out):
+            if len(mine) > most:
+                c = np.array(mine)
+                x = 1 - w[c] @ w[i]
+                by = np.lexsort((c, x))
+                mine = c[by][pick(x[by], w[c[by]], most)].tolist()
+            self.links[nodes[i]][layer] = nodes[mine].tolist()
+
     def __len__(self) -> int:
         return len(self.place)
 
@@ -94,16 +175,17 @@ class Graph:
         near = [self.entry]
         for layer in range(self.top, 0, -1):
             near = [self._search(q, near, 1, layer)[0][1]]
-        dead = len(self.ids) - len(self.place)
-        found = self._search(q, near, max(ef, k) + min(dead, ef), 0)
-        return [(d, self.ids[i]) for d, i in found if self.ids[i] is not None][:k]
+        found = [i for _, i in self._search(q, near, max(ef, k) + min(self.gone, ef), 0)]
+        v = self.rows[found]
+        far = exact(np.broadcast_to(np.asarray(q), v.shape), v).tolist()  # the same for the same vector in every graph
+        return sorted((d, id) for d, i in zip(far, found, strict=True) for id in self.ids[i][:k])[:k]
 
     def bytes(self) -> int:
         """Vectors and links in memory."""
         return 4 * self.dim * len(self.ids) + 8 * sum(len(layer) for node in self.links for layer in node)
 
     def dump(self) -> bytes:
-        return pickle.dumps({"format": FORMAT, "dim": self.dim, "m": self.m, "build": self.build, "rng": self.rng, "vectors": np.stack(self.vectors) if self.vectors else None, "ids": self.ids, "place": self.place, "links": self.links, "entry": self.entry, "top": self.top})
+        return pickle.dumps({"format": FORMAT, "dim": self.dim, "m": self.m, "build": self.build, "rng": self.rng, "rows": self.vectors, "ids": self.ids, "gone": self.gone, "place": self.place, "links": self.links, "entry": self.entry, "top": self.top})
 
     @classmethod
     def restore(cls, data: bytes) -> Graph:
@@ -111,19 +193,19 @@ class Graph:
         if held.pop("format", None) != FORMAT:
             raise ValueError("an index of another format")
         out = cls(held["dim"], held["m"], held["build"])
-        held["vectors"] = list(held["vectors"]) if held["vectors"] is not None else []
         out.__dict__.update(held)
         return out
 
 
-def build(vectors: DataFrame, rows: int = 5000, m: int = 16, effort: int = 200) -> DataFrame:
-    """(part, n, graph): an index of vectors (id, embedding), a graph for about ``rows`` of them. Of repeated ids the last in a part counts."""
-    parts = max(1, -(-vectors.count() // rows))
+def build(vectors: DataFrame, rows: int = 5000, m: int = 16, effort: int = 200, most: int = GRAPHS) -> DataFrame:
+    """(part, n, graph): an index of vectors (id, embedding), a graph for about ``rows`` of them, or for more where that would be more
+    than ``most`` graphs. Of repeated ids the last in a part counts."""
+    parts = max(1, min(most, -(-vectors.count() // rows)))
 
     def graph(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = Graph(len(pdf["embedding"].iloc[0]), m, effort)
-        for id, v in pdf[["id", "embedding"]].sort_values("id", kind="stable").itertuples(index=False):
-            out.add(int(id), np.asarray(v, np.float32))
+        held = pdf[["id", "embedding"]].sort_values("id", kind="stable").drop_duplicates("id", keep="last")
+        out = Graph(len(held["embedding"].iloc[0]), m, effort)
+        out.fill(held["id"].to_numpy(np.int64), np.stack(held["embedding"].to_list()).astype(np.float32, copy=False))
         return pd.DataFrame({"part": [key[0]], "n": [len(out)], "graph": [out.dump()]})
 
     dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
@@ -132,21 +214,20 @@ def build(vectors: DataFrame, rows: int = 5000, m: int = 16, effort: int = 200)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 64, block: int = 2000) -> DataFrame:
-    """(query_id, id, distance, rank) of queries (query_id, embedding), which meet every graph in blocks; graphs are not copied to tasks
-    that do not search them."""
-    blocks = max(1, -(-queries.count() // block))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.crossJoin(index.select(F.col("part").alias("at")))  # a row for each graph, of which there are few
-    graphs = index.select("part", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for data in g["graph"]:
-            held = Graph.restore(data)
-            rows += [(int(i), int(j), float(d)) for i, v in q[["query_id", "embedding"]].itertuples(index=False) for d, j in held.search(np.asarray(v, np.float32), k, ef)]
-        return pd.DataFrame(rows, columns=["query_id", "id", "distance"])
-
-    local = asked.groupBy("at", "block").cogroup(graphs.groupBy("part", "block")).applyInPandas(run, "query_id long, id long, distance double")
+    """(query_id, id, distance, rank) of queries (query_id, embedding), which meet every graph. Queries are written once as files in the
+    shared folder; a task holds one graph and reads them in blocks, so neither graphs nor queries are copied."""
+    asked = blocks.packed(blocks.store(queries.select(F.col("query_id").alias("id"), "embedding")), block)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for data in batch["graph"]:
+                held = Graph.restore(data.as_py())
+                for slices in asked:
+                    rows = [(i, j, d) for i, q in zip(*blocks.load(slices), strict=True) for d, j in held.search(q, k, ef)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "distance"])
+
+    # a partition for each graph, as it is; hashed, several would meet in one
+    local = index.select("part", "graph").repartitionById(GRAPHS, F.pmod("part", F.lit(GRAPHS))).select("graph").mapInArrow(run, "query_id long, id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -363,6 +363,25 @@ def test_graph_index(spark):
     assert len(swept) == 4 and all(0 <= r["recall"] <= 1 and r["bytes"] > 0 for r in swept) and ann.crossover(spark.createDataFrame(swept)).count() <= 2
 
 
+def test_questions_meet_a_bounded_number_of_graphs(spark):
+    v = ann.clustered(500, 16)
+    g, ids = ann.Graph(16), np.arange(0, 1000, 2)
+    g.fill(ids, np.where(ids[:, None] % 3 == 0, v[6], v))  # every third a copy of one vector
+    assert len(g) == 500 and [i for _, i in g.search(v[6], 9)] == ids[ids % 3 == 0][:9].tolist() and max(len(n[0]) for n in g.links) <= 32
+    g.add(6, -v[6])
+    again = ann.Graph.restore(g.dump())
+    assert [i for _, i in again.search(v[6], 3)] == [0, 12, 18] and again.search(-v[6], 1)[0][1] == 6 and len(again) == 500
+    again.add(1001, v[3] * -1)
+    assert again.search(v[3] * -1, 1)[0][1] == 1001
+    df = ann.synthetic(spark, 700, 16, rows=200)
+    copies = df.unionAll(df.selectExpr("id + 1000 AS id", "embedding")).unionAll(df.selectExpr("id + 2000 AS id", "embedding"))
+    index = shared.kept(ann.build(copies, 5))
+    assert 32 < index.count() <= ann.GRAPHS and index.agg(F.sum("n")).first()[0] == 2100
+    q = df.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    got, want = ann.search(index, q, 5, block=4), R.nearest(q, copies, 5)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))  # ties by id, distances alike
+
+
 def test_documents(spark):
     rows = [(1, "one two", "/d/a.txt", "", 1), (2, "two three", "/d/a.txt", "", 2), (3, "note", "typed", "", 0), (4, "web", "Title", "https://h.net/A_b", 0)]
     c = spark.createDataFrame(rows, "id long, text string, source string, origin string, chunk_index int").withColumn("created_at", F.timestamp_seconds(F.col("id")))
